@@ -1,0 +1,45 @@
+"""Reliable checkpoints at fork points of a plan.
+
+Where one intermediate frame feeds both a small summary and the final join (the
+cross-block carry, the level filter), Spark would compute it twice. A reliable
+checkpoint writes it once to ``spark.checkpoint.dir`` (a shared folder on a
+cluster), cuts the lineage so a lost executor does not replay the windows, and
+keeps the frame's hash partitioning, so neither consumer re-shuffles it.
+"""
+
+from __future__ import annotations
+
+import os
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+class CheckpointDirUnset(RuntimeError):
+    pass
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder.
+
+    ``spark.checkpoint.dir`` is used when set. Only a local-mode session (tests,
+    one machine) without one gets a scratch folder; a cluster must name a shared one.
+    """
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        sc.setCheckpointDir(configured)
+        return sc.getCheckpointDir()
+    if not sc.master.startswith("local"):
+        raise CheckpointDirUnset("set spark.checkpoint.dir to a shared folder (e.g. on HDFS or object storage)")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="barsignals-ckpt-", dir=os.environ.get("TMPDIR", "/tmp")))
+    return sc.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Eager reliable checkpoint of ``df`` (never ``localCheckpoint``)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -40,6 +41,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Eager reliable checkpoint of ``df`` (never ``localCheckpoint``)."""
+    """Eager reliable checkpoint of ``df`` (never ``localCheckpoint``).
+
+    A reliable checkpoint runs its job, then writes the files from a second pass;
+    persisting first makes that second pass read the blocks just computed instead
+    of recomputing the plan. The cache is dropped once the files exist.
+    """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist()

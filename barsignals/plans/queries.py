@@ -16,7 +16,7 @@ from barsignals.functions.scalar import symbol_base
 from barsignals.operators.charts import (bollinger_series, ema_series, level_series, price_overlay_series,
                                          rsi_series, sma_series, stochastic_series, volume_series)
 from barsignals.operators.filters import default_range, for_symbols, in_range
-from barsignals.operators.levels import local_extrema
+from barsignals.operators.levels import filter_levels, last_levels, local_extrema
 from barsignals.operators.profile import symbol_profile
 from barsignals.operators.snapshot import latest_snapshot
 from barsignals.operators.votes import vote_share
@@ -140,10 +140,14 @@ def q_symbol_base(spark, sf):
                     symbol_base(named).alias("name_base"))
 
 
+def _last_levels_of(enriched: DataFrame) -> DataFrame:
+    """A2 from the extremum flags already in the enriched frame (no second layout)."""
+    return last_levels(filter_levels(local_extrema(enriched)))
+
+
 def _charted(spark, sf, fn, with_levels: bool):
-    bars = monthly(spark, sf)
-    e = enrich(bars)
-    out = fn(e, support_resistance(bars)) if with_levels else fn(e)
+    e = enrich(monthly(spark, sf))
+    out = fn(e, _last_levels_of(e)) if with_levels else fn(e)
     return rounded(out)
 
 
@@ -180,9 +184,8 @@ def q_volume_chart(spark, sf):
 
 
 def q_symbol_profile(spark, sf):
-    bars = monthly(spark, sf)
-    prof = symbol_profile(enrich(bars), support_resistance(bars), B.supplier_fundamentals(spark, sf),
-                          B.event_votes(spark, sf))
+    e = enrich(monthly(spark, sf))
+    prof = symbol_profile(e, _last_levels_of(e), B.supplier_fundamentals(spark, sf), B.event_votes(spark, sf))
     return rounded(prof)
 
 

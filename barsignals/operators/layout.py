@@ -106,21 +106,44 @@ def own(col: Column) -> Column:
     return F.when(F.col("_role") == 0, col)
 
 
-def carry_last(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+DEFAULT_CARRY_FANOUT = 4096
+
+
+def _last_before(summary: DataFrame, key: str, cols: Sequence[str], fanout: int) -> DataFrame:
+    """``<col>_carry``: the last non-NULL ``<col>_last`` of a smaller ``key`` (same symbol).
+
+    Two levels, so no window group grows with the series: a scan inside groups of
+    ``fanout`` keys, and a scan over one summary row per group (``fanout`` times
+    fewer rows again). Both tables are small next to the bars.
+    """
+    grp = F.floor(F.col(key) / F.lit(fanout)).cast("long")
+    keyed = summary.withColumn("_grp", grp)
+    inner = Window.partitionBy(SYMBOL, "_grp").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    within = keyed.select(SYMBOL, key, "_grp", *[
+        F.last(c + "_last", ignorenulls=True).over(inner).alias(c + "_in") for c in cols])
+    groups = keyed.groupBy(SYMBOL, "_grp").agg(*[
+        F.max_by(F.col(c + "_last"), F.when(F.col(c + "_last").isNotNull(), F.col(key))).alias(c + "_g")
+        for c in cols])
+    outer = Window.partitionBy(SYMBOL).orderBy("_grp").rowsBetween(Window.unboundedPreceding, -1)
+    before = groups.select(SYMBOL, "_grp", *[
+        F.last(c + "_g", ignorenulls=True).over(outer).alias(c + "_out") for c in cols])
+    return (within.join(before, [SYMBOL, "_grp"], "left")
+            .select(SYMBOL, key, *[F.coalesce(F.col(c + "_in"), F.col(c + "_out")).alias(c + "_carry")
+                                   for c in cols]))
+
+
+def carry_last(df: DataFrame, cols: Sequence[str], fanout: int = DEFAULT_CARRY_FANOUT) -> DataFrame:
     """For each column add ``<col>_carry``: its last non-NULL value in earlier blocks.
 
     ``df`` holds own rows only, partitioned by ``(symbol, _blk)`` after the
     windows. It feeds both the summary and the join, so it is checkpointed once
     (reliable, in ``spark.checkpoint.dir``) instead of running the windows twice;
     the checkpoint keeps the partitioning, so the summary aggregation and the join
-    need no shuffle of it. The summary has one row per block; its scan and the
-    join back move only that small table (adaptive execution broadcasts it at run
-    time when it measures small).
+    need no shuffle of it. The summary has one row per block and is scanned in two
+    levels (``_last_before``); the join back moves only that small table (adaptive
+    execution broadcasts it at run time when it measures small).
     """
     df = materialize(df)
     summary = df.groupBy(SYMBOL, "_blk").agg(
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_t"))).alias(c + "_last") for c in cols])
-    earlier = Window.partitionBy(SYMBOL).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(SYMBOL, "_blk", *[
-        F.last(c + "_last", ignorenulls=True).over(earlier).alias(c + "_carry") for c in cols])
-    return df.join(carry, [SYMBOL, "_blk"], "left")
+    return df.join(_last_before(summary, "_blk", cols, fanout), [SYMBOL, "_blk"], "left")

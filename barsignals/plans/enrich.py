@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from barsignals.operators.indicators import (DEFAULT, Params, apply_stages, col_names, ema_stages,
                                              extremum_stages, merge_stages, moving_average_stages,
                                              rsi_stages, stochastic_stages)
-from barsignals.operators.layout import carry_last, lay_out, make_layout, own_rows
+from barsignals.operators.layout import DEFAULT_CARRY_FANOUT, carry_last, lay_out, make_layout, own_rows
 from barsignals.operators.levels import filter_levels, last_levels, local_extrema
 from barsignals.operators.signals import RULES, condition_stages, latch_prices
 from barsignals.schema import BAR_COLUMNS, conform_bars
@@ -55,7 +55,8 @@ def _expand(include: Iterable[str]) -> set[str]:
 
 
 def enrich(bars: DataFrame, params: Params = DEFAULT, include: Iterable[str] = GROUPS,
-           block_rows: int = DEFAULT_BLOCK_ROWS, segment: str = "year") -> DataFrame:
+           block_rows: int = DEFAULT_BLOCK_ROWS, segment: str = "year",
+           carry_fanout: int = DEFAULT_CARRY_FANOUT) -> DataFrame:
     """Bars with the requested indicator groups (all by default).
 
     ``bars`` must already be range- and symbol-filtered (rule Q18). ``segment`` is
@@ -89,7 +90,7 @@ def enrich(bars: DataFrame, params: Params = DEFAULT, include: Iterable[str] = G
     df = own_rows(df)
     carried = ([f"ema{s}_local" for s in spans] if "ema" in inc else []) + [f"_s_{r}" for r in rules]
     if carried:
-        df = carry_last(df, carried)
+        df = carry_last(df, carried, carry_fanout)
     final = {}
     if "ema" in inc:
         final.update({f"ema{s}": F.coalesce(F.col(f"ema{s}_local"), F.col(f"ema{s}_local_carry")) for s in spans})

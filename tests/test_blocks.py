@@ -29,7 +29,7 @@ def _rows(df):
 
 def test_block_size_does_not_change_results(spark, daily):
     big = _rows(enrich(daily))
-    small = _rows(enrich(daily, block_rows=345))
+    small = _rows(enrich(daily, block_rows=345, carry_fanout=1))
     assert big.keys() == small.keys()
     for key, a in big.items():
         b = small[key]
@@ -69,8 +69,8 @@ def test_ema_long_gap_matches_pandas(spark):
     rows = [("G", start + dt.timedelta(days=i), None if np.isnan(v) else float(v), None, None,
              None if np.isnan(v) else float(v), None, None) for i, v in enumerate(x)]
     bars = spark.createDataFrame(rows, BARS_DDL)
-    for block_rows in (8192, 345):
-        got = enrich(bars, include=("ema",), block_rows=block_rows).orderBy("bar_date").toPandas()
+    for block_rows, fanout in ((8192, 4096), (345, 2), (345, 1)):
+        got = enrich(bars, include=("ema",), block_rows=block_rows, carry_fanout=fanout).orderBy("bar_date").toPandas()
         for col, want in (("ema5", want5), ("ema15", want15)):
             g = got[col].to_numpy(dtype=float)
             assert np.array_equal(np.isnan(g), np.isnan(want)), (block_rows, col)
@@ -101,3 +101,16 @@ def test_input_order_does_not_matter(spark, daily):
     a = _rows(enrich(daily.repartition(3)))
     b = _rows(enrich(daily.orderBy(F.rand(5))))
     assert a == b
+
+
+def test_ema_across_a_block_with_no_values(spark):
+    n = 1800
+    x = np.cumsum(np.random.default_rng(11).normal(0, 1, n)) + 50.0
+    x[400:1200] = np.nan  # block 2 (rows 690-1034) has no value of its own
+    want = pd.Series(x).ewm(span=15).mean().to_numpy()
+    start = dt.date(2000, 1, 1)
+    rows = [("H", start + dt.timedelta(days=i), None if np.isnan(v) else float(v), None, None,
+             None if np.isnan(v) else float(v), None, None) for i, v in enumerate(x)]
+    got = (enrich(spark.createDataFrame(rows, BARS_DDL), include=("ema",), block_rows=345, carry_fanout=2)
+           .orderBy("bar_date").toPandas()["ema15"].to_numpy(dtype=float))
+    assert np.max(np.abs(got - want) / np.abs(want)) < 1e-12

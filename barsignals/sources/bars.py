@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barsignals.operators.filters import for_symbols, in_range
-from barsignals.schema import BARS_SCHEMA, conform_bars
+from barsignals.schema import BARS_SCHEMA, SchemaError, conform_bars, duplicate_keys
 
 DATE_UNITS = ("year", "quarter", "month", "week", "day")
 TIME_UNITS = ("hour", "minute", "second")
@@ -17,11 +17,13 @@ TIME_UNITS = ("hour", "minute", "second")
 
 def load_bars(spark: SparkSession, path: str, fmt: str = "parquet", symbols=None,
               start=None, end=None, schema: T.StructType | None = None,
-              options: dict[str, str] | None = None) -> DataFrame:
+              options: dict[str, str] | None = None, check_unique: bool = False) -> DataFrame:
     """Read stored bars, check the schema, then apply P1/P3 before any window.
 
     The range and symbol filters are plain predicates on the scan, so Catalyst pushes
-    them into the Parquet reader (row-group skipping).
+    them into the Parquet reader (row-group skipping). ``check_unique`` runs one
+    grouped count (a job) and rejects duplicate ``(symbol, bar_date)`` keys (T1):
+    positions, and with them every indicator, are undefined on duplicates.
     """
     reader = spark.read.format(fmt).options(**(options or {}))
     if fmt in ("csv", "json"):
@@ -35,6 +37,10 @@ def load_bars(spark: SparkSession, path: str, fmt: str = "parquet", symbols=None
         bars = in_range(bars, start, end)
     if symbols is not None:
         bars = for_symbols(bars, symbols)
+    if check_unique:
+        dup = duplicate_keys(bars).limit(1).collect()
+        if dup:
+            raise SchemaError(f"duplicate (symbol, bar_date) in {path}: {dup[0]['symbol']!r}, {dup[0]['bar_date']}")
     return bars
 
 

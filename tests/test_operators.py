@@ -145,3 +145,19 @@ def test_windows_share_one_exchange_and_sort(spark):
 def test_watchlist_and_event_bindings(spark):
     assert B.watchlist(spark, SF_SMALL).count() > 0
     assert B.event_votes(spark, SF_SMALL).columns == ["symbol", "BUY", "SELL", "NEUTRAL", "STRONG_BUY"]
+
+
+def test_load_votes_and_unique_check(spark, tmp_path):
+    from barsignals import load_votes
+    from barsignals.schema import SchemaError
+    path = str(tmp_path / "votes")
+    spark.createDataFrame([("TATA", 7, 3, None)], "symbol string, BUY long, SELL long, OTHER long").write.parquet(path)
+    votes = load_votes(spark, path)
+    assert votes.columns == ["symbol", "BUY", "SELL"]
+    assert {r["label"]: r["share"] for r in vote_share(votes).collect()} == {"BUY": 0.7, "SELL": 0.3}
+    bars = spark.createDataFrame(golden_bars() + golden_bars()[:1], BARS_DDL)
+    dup = str(tmp_path / "dup")
+    bars.write.parquet(dup)
+    with pytest.raises(SchemaError):
+        load_bars(spark, dup, check_unique=True)
+    assert load_bars(spark, dup).count() == 41

@@ -44,11 +44,12 @@ def load_bars(spark: SparkSession, path: str, fmt: str = "parquet", symbols=None
     return bars
 
 
-def bar_key(ts: Column, unit: str) -> Column:
-    """Bar start for a tick time: DATE for calendar units, TIMESTAMP_NTZ below a day.
+def bar_key(ts: Column, unit: str, ntz: bool = True) -> Column:
+    """Bar start for a tick time: DATE for calendar units, a timestamp below a day.
 
-    Calendar units go through ``to_date`` so the result does not depend on the
-    session time zone; sub-day units truncate the wall-clock time.
+    Calendar units go through ``to_date``. Sub-day bars of wall-clock (NTZ) times are
+    rebuilt from their own fields, so no session time zone (or DST gap) is involved;
+    zoned timestamps truncate in the session zone.
     """
     unit = unit.lower()
     if unit == "day":
@@ -56,7 +57,12 @@ def bar_key(ts: Column, unit: str) -> Column:
     if unit in DATE_UNITS:
         return F.trunc(F.to_date(ts), unit)
     if unit in TIME_UNITS:
-        return F.date_trunc(unit, ts).cast("timestamp_ntz")
+        if not ntz:
+            return F.date_trunc(unit, ts)
+        zero = F.lit(0)
+        minute = F.minute(ts) if unit in ("minute", "second") else zero
+        second = F.floor(F.second(ts)) if unit == "second" else zero
+        return F.make_timestamp_ntz(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), minute, second)
     raise ValueError(f"unknown bar unit {unit!r}; use one of {DATE_UNITS + TIME_UNITS}")
 
 
@@ -75,7 +81,8 @@ def bars_from_ticks(ticks: DataFrame, symbol: str, ts: str, price: str, volume:
     p = F.col(price).cast("double")
     vol = F.sum(F.col(volume).cast("double")) if volume else F.count(F.lit(1)).cast("double")
     bars = (ticks.filter(F.col(price).isNotNull() & F.col(ts).isNotNull())
-            .groupBy(F.col(symbol).alias("symbol"), bar_key(F.col(ts), unit).alias("bar_date"))
+            .groupBy(F.col(symbol).alias("symbol"),
+                     bar_key(F.col(ts), unit, dict(ticks.dtypes)[ts] != "timestamp").alias("bar_date"))
             .agg(F.min_by(p, order).alias("open"),
                  F.max(p).alias("high"),
                  F.min(p).alias("low"),

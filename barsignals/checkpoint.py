@@ -9,7 +9,6 @@ keeps the frame's hash partitioning, so neither consumer re-shuffles it.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark import StorageLevel
@@ -36,7 +35,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir()
     if not sc.master.startswith("local"):
         raise CheckpointDirUnset("set spark.checkpoint.dir to a shared folder (e.g. on HDFS or object storage)")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="barsignals-ckpt-", dir=os.environ.get("TMPDIR", "/tmp")))
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="barsignals-ckpt-"))
     return sc.getCheckpointDir()
 
 

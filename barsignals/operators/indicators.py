@@ -1,8 +1,10 @@
 """Indicator columns over a laid-out frame (see ``operators.layout``).
 
-Each function takes a frame produced by ``lay_out`` and adds columns with
-``withColumns``; all windows partition by ``(symbol, _blk)`` and share one sort.
-Rule Q1: a rolling value is NULL until its window holds ``n`` non-NULL inputs.
+Each ``*_stages`` function returns its columns as a list of dependency levels
+(dicts of column expressions); ``merge_stages`` lines the indicator groups up level
+by level and ``apply_stages`` adds each level with one ``withColumns`` to a frame
+produced by ``lay_out``. All windows partition by ``(symbol, _blk)`` and share one
+sort. Rule Q1: a rolling value is NULL until its window holds ``n`` non-NULL inputs.
 """
 
 from __future__ import annotations

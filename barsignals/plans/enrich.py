@@ -55,16 +55,19 @@ def _expand(include: Iterable[str]) -> set[str]:
 
 
 def enrich(bars: DataFrame, params: Params = DEFAULT, include: Iterable[str] = GROUPS,
-           block_rows: int = DEFAULT_BLOCK_ROWS, segment: str = "year",
+           block_rows: int = DEFAULT_BLOCK_ROWS, segment: str | None = None,
            carry_fanout: int = DEFAULT_CARRY_FANOUT) -> DataFrame:
     """Bars with the requested indicator groups (all by default).
 
     ``bars`` must already be range- and symbol-filtered (rule Q18). ``segment`` is
-    the time unit of the position step; choose one that holds at most a few
-    million bars of one symbol (``year`` for daily bars, ``day`` for second bars).
+    the time unit of the position step; it should hold at most a few million bars of
+    one symbol. By default ``year`` for DATE bars and ``month`` for timestamp bars
+    (use ``day`` for second bars).
     """
     inc = _expand(include)
     bars = conform_bars(bars)
+    if segment is None:
+        segment = "year" if dict(bars.dtypes)["bar_date"] == "date" else "month"
     back = params.bounded_lookback()
     spans = tuple(sorted({params.ema_fast, params.ema_slow}))
     if "ema" in inc:

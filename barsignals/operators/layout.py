@@ -132,18 +132,29 @@ def _last_before(summary: DataFrame, key: str, cols: Sequence[str], fanout: int)
                                    for c in cols]))
 
 
-def carry_last(df: DataFrame, cols: Sequence[str], fanout: int = DEFAULT_CARRY_FANOUT) -> DataFrame:
+def carry_last(df: DataFrame, cols: Sequence[str], fanout: int = DEFAULT_CARRY_FANOUT,
+               needs_carry: Column | None = None) -> DataFrame:
     """For each column add ``<col>_carry``: its last non-NULL value in earlier blocks.
 
-    ``df`` holds own rows only, partitioned by ``(symbol, _blk)`` after the
-    windows. It feeds both the summary and the join, so it is checkpointed once
-    (reliable, in ``spark.checkpoint.dir``) instead of running the windows twice;
-    the checkpoint keeps the partitioning, so the summary aggregation and the join
-    need no shuffle of it. The summary has one row per block and is scanned in two
-    levels (``_last_before``); the join back moves only that small table (adaptive
-    execution broadcasts it at run time when it measures small).
+    ``df`` holds own rows only, after the windows. It feeds both the summary and
+    the output, so it is checkpointed once (reliable, in ``spark.checkpoint.dir``)
+    instead of running the windows twice. The summary has one row per block and is
+    scanned in two levels (``_last_before``).
+
+    ``needs_carry`` (a non-NULL boolean) marks the rows whose result can depend on
+    earlier blocks; typically a few rows at the start of each block. Only those
+    rows are joined with the carry table and the rest pass through with NULL
+    carries, so the big frame is never shuffled for the join, however many blocks
+    there are. Without it every row is joined.
     """
     df = materialize(df)
     summary = df.groupBy(SYMBOL, "_blk").agg(
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_t"))).alias(c + "_last") for c in cols])
-    return df.join(_last_before(summary, "_blk", cols, fanout), [SYMBOL, "_blk"], "left")
+    carry = _last_before(summary, "_blk", cols, fanout)
+    if needs_carry is None:
+        return df.join(carry, [SYMBOL, "_blk"], "left")
+    types = dict(df.dtypes)
+    rest = df.filter(~needs_carry).withColumns(
+        {c + "_carry": F.lit(None).cast(types[c]) for c in cols})
+    needing = df.filter(needs_carry).join(carry, [SYMBOL, "_blk"], "left")
+    return rest.unionByName(needing)

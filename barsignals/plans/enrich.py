@@ -93,7 +93,15 @@ def enrich(bars: DataFrame, params: Params = DEFAULT, include: Iterable[str] = G
     df = own_rows(df)
     carried = ([f"ema{s}_local" for s in spans] if "ema" in inc else []) + [f"_s_{r}" for r in rules]
     if carried:
-        df = carry_last(df, carried, carry_fanout)
+        # rows whose value can come from an earlier block: no own EMA value yet, or
+        # a condition with no earlier condition in the block (the latch state)
+        need = F.lit(False)
+        for c in carried:
+            if c.startswith("ema"):
+                need = need | F.col(c).isNull()
+        for r in rules:
+            need = need | (F.col(f"_s_{r}").isNotNull() & F.col(f"_p_{r}").isNull())
+        df = carry_last(df, carried, carry_fanout, needs_carry=need)
     final = {}
     if "ema" in inc:
         final.update({f"ema{s}": F.coalesce(F.col(f"ema{s}_local"), F.col(f"ema{s}_local_carry")) for s in spans})

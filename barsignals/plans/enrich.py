@@ -92,6 +92,11 @@ def enrich(bars: DataFrame, params: Params = DEFAULT, include: Iterable[str] = G
     df = apply_stages(df, stages)
     df = own_rows(df)
     carried = ([f"ema{s}_local" for s in spans] if "ema" in inc else []) + [f"_s_{r}" for r in rules]
+    # keep only what the carry and the output read (helpers would be checkpointed too)
+    final_names = {f"ema{s}" for s in spans} | {f"{r}_{side}" for r in rules for side in ("buy", "sell")}
+    keep = [c for c in output_columns(params, inc) if c not in final_names]
+    keep += carried + [f"_p_{r}" for r in rules] + (["_t", "_blk"] if carried else [])
+    df = df.select(*keep)
     if carried:
         # rows whose value can come from an earlier block: no own EMA value yet, or
         # a condition with no earlier condition in the block (the latch state)

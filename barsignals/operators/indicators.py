@@ -35,6 +35,13 @@ class Params:
     rsi_n: int = 5
     level_sensitivity: float = 0.03
 
+    def __post_init__(self):
+        windows = (self.sma_fast, self.sma_slow, self.bb_n, self.stoch_n, self.stoch_d, self.rsi_n)
+        if min(windows) < 1:
+            raise ValueError(f"window sizes must be >= 1: {windows}")
+        if min(self.ema_fast, self.ema_slow) < 2:
+            raise ValueError("EMA spans must be >= 2 (span 1 is the series itself)")
+
     def bounded_lookback(self) -> int:
         """Rows before ``t`` that any bounded indicator at ``t`` reads."""
         return max(self.sma_slow, self.sma_fast, self.bb_n, self.stoch_n + self.stoch_d, self.rsi_n + 1, 2)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barsignals.sources.bars import bars_from_ticks
+from barsignals.sources.bars import bars_from_ticks, spread_small_input
 from barsignals.sources.fundamentals import FUNDAMENTALS_SCHEMA, load_fundamentals
 from barsignals.sources.votes import votes_from_tall
 
@@ -35,12 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lineitem_bars(spark: SparkSession, sf_dir: str, unit: str = "month") -> DataFrame:
-    return bars_from_ticks(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_shipdate", "l_extendedprice",
+    return bars_from_ticks(spread_small_input(table(spark, sf_dir, "lineitem")), "l_suppkey", "l_shipdate", "l_extendedprice",
                            "l_quantity", unit=unit, tiebreak=TICK_TIEBREAK, adj_factor=ADJ_FACTOR)
 
 
 def event_bars(spark: SparkSession, sf_dir: str, unit: str = "hour") -> DataFrame:
-    return bars_from_ticks(table(spark, sf_dir, "events"), "event_type", "ts", "value", None,
+    return bars_from_ticks(spread_small_input(table(spark, sf_dir, "events")), "event_type", "ts", "value", None,
                            unit=unit, tiebreak=("event_id",), adj_factor=ADJ_FACTOR)
 
 

@@ -67,12 +67,12 @@ def bar_key(ts: Column, unit: str, ntz: bool = True) -> Column:
 
 
 def spread_small_input(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer partitions than the cluster has cores.
+    """Round-robin a file scan that yields fewer partitions than the cluster has cores.
 
     A small file with one row group is read by one task, and the map-side partial
     aggregation then runs single-threaded. Large inputs have many more splits than
-    cores and pass through unchanged, so no shuffle is added at scale. Only the
-    planned partition count is read (no job, nothing collected).
+    cores and pass through unchanged, so no shuffle is added at scale. Use it on a
+    plain table scan: its planned partition count comes from file metadata (no job).
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
@@ -94,7 +94,7 @@ def bars_from_ticks(ticks: DataFrame, symbol: str, ts: str, price: str, volume:
     order = F.struct(F.col(ts), *[F.col(c) for c in tiebreak])
     p = F.col(price).cast("double")
     vol = F.sum(F.col(volume).cast("double")) if volume else F.count(F.lit(1)).cast("double")
-    ticks = spread_small_input(ticks.filter(F.col(price).isNotNull() & F.col(ts).isNotNull()))
+    ticks = ticks.filter(F.col(price).isNotNull() & F.col(ts).isNotNull())
     bars = (ticks
             .groupBy(F.col(symbol).alias("symbol"),
                      bar_key(F.col(ts), unit, dict(ticks.dtypes)[ts] != "timestamp").alias("bar_date"))

@@ -33,7 +33,7 @@ def _strip(s: str) -> str:
 def test_enriched_plan_shape(spark, captured, tmp_path):
     path = str(tmp_path / "bars")
     B.lineitem_bars(spark, SF_SMALL, "day").write.parquet(path)
-    out = enrich(spark.read.parquet(path))
+    out = enrich(spark.read.parquet(path), carry="always")
     plan = _strip(captured["windowed"])
     exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
     keys = [", ".join(k.split(", ")[:-1]) for k in exchanges]

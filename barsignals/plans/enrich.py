@@ -56,22 +56,14 @@ def _expand(include: Iterable[str]) -> set[str]:
 
 def enrich(bars: DataFrame, params: Params = DEFAULT, include: Iterable[str] = GROUPS,
            block_rows: int = DEFAULT_BLOCK_ROWS, segment: str | None = None,
-           carry_fanout: int = DEFAULT_CARRY_FANOUT, carry: str = "auto") -> DataFrame:
+           carry_fanout: int = DEFAULT_CARRY_FANOUT) -> DataFrame:
     """Bars with the requested indicator groups (all by default).
 
     ``bars`` must already be range- and symbol-filtered (rule Q18). ``segment`` is
     the time unit of the position step; it should hold at most a few million bars of
     one symbol. By default ``year`` for DATE bars and ``month`` for timestamp bars
     (use ``day`` for second bars).
-
-    ``carry``: the EMA across NULL stretches and the signal latch need state from
-    earlier blocks. With ``"auto"``, one grouped count (a single number to the
-    driver) finds the longest series; when every series fits in one block there is
-    no earlier block and the checkpoint and carry are skipped. ``"always"`` skips
-    the check and always carries.
     """
-    if carry not in ("auto", "always"):
-        raise ValueError("carry must be 'auto' or 'always'")
     inc = _expand(include)
     bars = conform_bars(bars)
     if segment is None:
@@ -105,10 +97,7 @@ def enrich(bars: DataFrame, params: Params = DEFAULT, include: Iterable[str] = G
     keep = [c for c in output_columns(params, inc) if c not in final_names]
     keep += carried + [f"_p_{r}" for r in rules] + (["_t", "_blk"] if carried else [])
     df = df.select(*keep)
-    if carried and carry == "auto" and longest_series(bars) <= layout.block:
-        types = dict(df.dtypes)
-        df = df.withColumns({c + "_carry": F.lit(None).cast(types[c]) for c in carried})
-    elif carried:
+    if carried:
         # rows whose value can come from an earlier block: no own EMA value yet, or
         # a condition with no earlier condition in the block (the latch state)
         need = F.lit(False)
@@ -128,13 +117,6 @@ def enrich(bars: DataFrame, params: Params = DEFAULT, include: Iterable[str] = G
     return df.select(*output_columns(params, inc))
 
 
-def longest_series(bars: DataFrame) -> int:
-    """Bars in the longest series: a grouped count with map-side partial aggregation,
-    then one row to the driver."""
-    row = bars.groupBy("symbol").count().agg(F.max("count")).first()
-    return int(row[0] or 0)
-
-
 def indicators(bars: DataFrame, params: Params = DEFAULT, **kw) -> DataFrame:
     """W1-W11 only (no signals, no extrema)."""
     return enrich(bars, params, include=("sma", "ema", "stochastic", "rsi"), **kw)

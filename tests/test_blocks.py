@@ -114,7 +114,3 @@ def test_ema_across_a_block_with_no_values(spark):
     got = (enrich(spark.createDataFrame(rows, BARS_DDL), include=("ema",), block_rows=345, carry_fanout=2)
            .orderBy("bar_date").toPandas()["ema15"].to_numpy(dtype=float))
     assert np.max(np.abs(got - want) / np.abs(want)) < 1e-12
-
-
-def test_single_block_shortcut_equals_full_carry(spark, daily):
-    assert _rows(enrich(daily, carry="auto")) == _rows(enrich(daily, carry="always"))

@@ -3,7 +3,10 @@
 Each query runs to completion into Spark's ``noop`` sink (every row computed, none
 collected) and is timed; prints one JSON line. Before timing, the flagship query
 runs once on the smallest data set to warm the JVM (class loading, JIT, codegen);
-that run is not timed and is named in the output.
+that run is not timed and is named in the output. Each query runs $BENCH_RUNS times
+(default 2) and the best time is reported: the shared machine is noisy, and no run
+can reuse another's work (caches are released, checkpoints and shuffles belong to
+their own query).
 """
 
 from __future__ import annotations
@@ -44,14 +47,18 @@ def main() -> None:
         warm_dir = sf_dir
     for name in ("enriched", "symbol_profile"):
         table[name](spark, warm_dir).write.format("noop").mode("overwrite").save()
+    runs = max(1, int(os.environ.get("BENCH_RUNS", "2")))
     times = {}
     for name in HEADLINE:
-        t0 = time.perf_counter()
-        table[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - t0, 3)
+        best = float("inf")
+        for _ in range(runs):
+            t0 = time.perf_counter()
+            table[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            best = min(best, time.perf_counter() - t0)
+        times[name] = round(best, 3)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "headline_total_sec", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": sf, "cpus": cpus,
+                      "queries": times, "sf": sf, "cpus": cpus, "runs": runs, "stat": "min",
                       "warmup": f"enriched+symbol_profile on {os.path.basename(warm_dir)}"}))
     spark.stop()
 

@@ -138,3 +138,22 @@ def test_second_symbol_does_not_change_first(spark):
     a = enrich(alone).orderBy("bar_date").collect()
     b = enrich(both).filter(F.col("symbol") == "AAA.NS").orderBy("bar_date").collect()
     assert [tuple(r) for r in a] == [tuple(r) for r in b]
+
+
+def test_nan_input_is_missing_not_a_value(spark):
+    nan = float("nan")
+    with_nan = enrich(series(spark, [1.0, 2.0, nan, 4.0, 5.0]), include=("ema", "sma"))
+    with_null = enrich(series(spark, [1.0, 2.0, None, 4.0, 5.0]), include=("ema", "sma"))
+    assert [tuple(r) for r in with_nan.orderBy("bar_date").collect()][0][8:] == \
+        [tuple(r) for r in with_null.orderBy("bar_date").collect()][0][8:]
+    approx(column(with_nan, "ema5"), [1, 1.6, 1.6, 2.978723, 3.914286])
+    assert column(with_nan, "close")[2] is None
+
+
+def test_sma_within_window_range(spark):
+    closes = [float(x) for x in [5, 9, 2, 7, 7, 1, 8, 3, 6, 4, 10, 2, 9, 5, 6, 1, 7]]
+    got = column(enrich(series(spark, closes), include=("sma",)), "sma5")
+    for i, v in enumerate(got):
+        if v is not None:
+            window = closes[i - 4:i + 1]
+            assert min(window) <= v <= max(window)

@@ -198,10 +198,3 @@ def ema_stages(spans: tuple[int, ...], sub_len: int, x: str = "close") -> Stages
         den = F.col(s0) * scale + decay * F.col(f"_ps0_{span}")
         values[f"ema{span}_local"] = F.last(own(F.when(xv.isNotNull(), safe_div(num, den))), True).over(upto)
     return [sums, prev, values]
-
-
-def ema_helpers(spans: tuple[int, ...]) -> list[str]:
-    return [f"_{p}_{s}" for s in spans for p in ("s1", "s0", "ps1", "ps0")]
-
-
-INDICATOR_HELPERS = ["_bb_mid", "_delta", "_avg_gain", "_avg_loss"]

@@ -34,7 +34,6 @@ from barsignals.checkpoint import materialize
 
 SYMBOL = "symbol"
 BAR_DATE = "bar_date"
-INTERNAL = ["_t", "_blk", "_role", "_sub"]
 
 # Fixed value: an EMA term older than L rows weighs r**L <= exp(-46) ~ 1e-20
 # relative to the newest one, below double precision.

@@ -31,6 +31,8 @@ def conform_bars(df: DataFrame) -> DataFrame:
 
     ``open`` and ``volume`` may be absent (the reference never reads ``open``);
     they are added as NULL. ``adj_close`` falls back to ``close`` when absent.
+    ``symbol`` and ``bar_date`` are keys and must be non-NULL: a row without them
+    has no place in a series, so the enrichment does not return it.
     """
     cols = set(df.columns)
     missing = [c for c in (SYMBOL, BAR_DATE, "high", "low", "close") if c not in cols]

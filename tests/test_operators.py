@@ -161,3 +161,22 @@ def test_load_votes_and_unique_check(spark, tmp_path):
     with pytest.raises(SchemaError):
         load_bars(spark, dup, check_unique=True)
     assert load_bars(spark, dup).count() == 41
+
+
+def test_load_bars_json(spark, tmp_path):
+    path = str(tmp_path / "bars_json")
+    spark.createDataFrame(golden_bars(), BARS_DDL).write.json(path)
+    assert load_bars(spark, path, fmt="json", end="2024-01-11").count() == 10
+
+
+def test_minute_bars_match_duckdb(spark):
+    import duckdb
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    bars = bars_from_ticks(ev, "event_type", "ts", "value", None, unit="minute", tiebreak=("event_id",))
+    got = sorted((r["symbol"], r["bar_date"], r["open"], r["close"], r["volume"]) for r in bars.collect())
+    want = sorted(duckdb.sql(f"""
+        SELECT event_type, date_trunc('minute', ts), first(value ORDER BY ts, event_id),
+               first(value ORDER BY ts DESC, event_id DESC), CAST(count(*) AS DOUBLE)
+        FROM read_parquet('{SF_SMALL}/events.parquet') WHERE value IS NOT NULL AND ts IS NOT NULL
+        GROUP BY 1, 2""").fetchall())
+    assert got == want

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barsignals.checkpoint import materialize
 from barsignals.functions.scalar import symbol_base
 from barsignals.operators.charts import (bollinger_series, ema_series, level_series, price_overlay_series,
                                          rsi_series, sma_series, stochastic_series, volume_series)
@@ -44,6 +45,13 @@ def monthly(spark: SparkSession, sf: str) -> DataFrame:
     return B.lineitem_bars(spark, sf, "month")
 
 
+def stored(bars: DataFrame) -> DataFrame:
+    """Bars built from ticks, written once (reliable checkpoint) before enrichment,
+    as a deployment stores its bars: the position step reads its input twice, and
+    that second read is then of the bars, not another scan of the ticks."""
+    return materialize(bars)
+
+
 def _cols(df: DataFrame, *cols: str) -> DataFrame:
     return rounded(df.select("symbol", "bar_date", *cols))
 
@@ -73,51 +81,51 @@ def q_bars_range(spark, sf):
 def q_recent_window(spark, sf):
     start, end = default_range(RECENT_AS_OF)
     bars = in_range(B.lineitem_bars(spark, sf, "day"), start, end)
-    return _cols(enrich(bars, include=("sma", "rsi")), "close", "sma5", "rsi")
+    return _cols(enrich(stored(bars), include=("sma", "rsi")), "close", "sma5", "rsi")
 
 
 def q_sma(spark, sf):
-    return _cols(enrich(monthly(spark, sf), include=("sma",)), "sma5", "sma15")
+    return _cols(enrich(stored(monthly(spark, sf)), include=("sma",)), "sma5", "sma15")
 
 
 def q_bollinger(spark, sf):
-    return _cols(enrich(monthly(spark, sf), include=("sma",)), "std15", "bb_upper", "bb_lower")
+    return _cols(enrich(stored(monthly(spark, sf)), include=("sma",)), "std15", "bb_upper", "bb_lower")
 
 
 def q_ema(spark, sf):
-    return _cols(enrich(monthly(spark, sf), include=("ema",)), "ema5", "ema15")
+    return _cols(enrich(stored(monthly(spark, sf)), include=("ema",)), "ema5", "ema15")
 
 
 def q_stochastic(spark, sf):
-    return _cols(enrich(monthly(spark, sf), include=("stochastic",)), "hh5", "ll5", "stoch_k", "stoch_d")
+    return _cols(enrich(stored(monthly(spark, sf)), include=("stochastic",)), "hh5", "ll5", "stoch_k", "stoch_d")
 
 
 def q_rsi(spark, sf):
-    return _cols(enrich(monthly(spark, sf), include=("rsi",)), "rsi")
+    return _cols(enrich(stored(monthly(spark, sf)), include=("rsi",)), "rsi")
 
 
 def q_sma_signals(spark, sf):
-    return _fired(enrich(monthly(spark, sf), include=("signals",)), "sma")
+    return _fired(enrich(stored(monthly(spark, sf)), include=("signals",)), "sma")
 
 
 def q_ema_signals(spark, sf):
-    return _fired(enrich(monthly(spark, sf), include=("signals",)), "ema")
+    return _fired(enrich(stored(monthly(spark, sf)), include=("signals",)), "ema")
 
 
 def q_stochastic_signals(spark, sf):
-    return _fired(enrich(monthly(spark, sf), include=("signals",)), "stoch")
+    return _fired(enrich(stored(monthly(spark, sf)), include=("signals",)), "stoch")
 
 
 def q_extrema(spark, sf):
-    return rounded(local_extrema(extrema(monthly(spark, sf))))
+    return rounded(local_extrema(extrema(stored(monthly(spark, sf)))))
 
 
 def q_levels(spark, sf):
-    return rounded(levels(monthly(spark, sf)))
+    return rounded(levels(stored(monthly(spark, sf))))
 
 
 def q_last_levels(spark, sf):
-    return rounded(support_resistance(monthly(spark, sf)))
+    return rounded(support_resistance(stored(monthly(spark, sf))))
 
 
 def q_latest_snapshot(spark, sf):
@@ -146,7 +154,7 @@ def _last_levels_of(enriched: DataFrame) -> DataFrame:
 
 
 def _charted(spark, sf, fn, with_levels: bool):
-    e = enrich(monthly(spark, sf))
+    e = enrich(stored(monthly(spark, sf)))
     out = fn(e, _last_levels_of(e)) if with_levels else fn(e)
     return rounded(out)
 
@@ -184,26 +192,26 @@ def q_volume_chart(spark, sf):
 
 
 def q_symbol_profile(spark, sf):
-    e = enrich(monthly(spark, sf))
+    e = enrich(stored(monthly(spark, sf)))
     prof = symbol_profile(e, _last_levels_of(e), B.supplier_fundamentals(spark, sf), B.event_votes(spark, sf))
     return rounded(prof)
 
 
 def q_adhoc_sql(spark, sf):
-    register_views(enrich(monthly(spark, sf)), "bars_enriched")
+    register_views(enrich(stored(monthly(spark, sf))), "bars_enriched")
     return spark.sql(ADHOC_SQL)
 
 
 def q_enriched(spark, sf):
-    return rounded(enrich(monthly(spark, sf)))
+    return rounded(enrich(stored(monthly(spark, sf))))
 
 
 def q_enriched_daily(spark, sf):
-    return rounded(enrich(B.lineitem_bars(spark, sf, "day")))
+    return rounded(enrich(stored(B.lineitem_bars(spark, sf, "day"))))
 
 
 def q_enriched_events(spark, sf):
-    return rounded(enrich(B.event_bars(spark, sf, "hour")))
+    return rounded(enrich(stored(B.event_bars(spark, sf, "hour"))))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -28,10 +28,10 @@ HEADLINE = ["bars_month", "bars_day", "enriched", "enriched_daily", "signals_dai
 def _extra():
     from barsignals.plans import bindings as B
     from barsignals.plans.enrich import levels, signals
-    from barsignals.plans.queries import rounded
+    from barsignals.plans.queries import rounded, stored
     return {
-        "signals_daily": lambda spark, sf: rounded(signals(B.lineitem_bars(spark, sf, "day"))),
-        "levels_daily": lambda spark, sf: rounded(levels(B.lineitem_bars(spark, sf, "day"))),
+        "signals_daily": lambda spark, sf: rounded(signals(stored(B.lineitem_bars(spark, sf, "day")))),
+        "levels_daily": lambda spark, sf: rounded(levels(stored(B.lineitem_bars(spark, sf, "day")))),
     }
 
 

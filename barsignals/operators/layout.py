@@ -13,8 +13,9 @@ small table), prefix sums over segments, plus ``row_number`` inside a segment.
 Groups are bounded by the segment length, not by the series length.
 
 State that reaches arbitrarily far back (the signal latch, the EMA across NULL
-stretches) is carried between blocks by ``carry_last``: a per-block summary,
-a scan over the small summary table, and a join on ``(symbol, _blk)``.
+stretches) is carried between blocks by ``carry_last``: a per-block summary, a
+two-level scan over that small table, and a join on ``(symbol, _blk)`` of only
+the rows whose result depends on earlier blocks.
 
 Internal columns: ``_t`` (0-based row of the series), ``_blk`` (block),
 ``_role`` (-1 copied from the previous block, 0 own row, 1 copied from the next

@@ -111,6 +111,89 @@ def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _byte_map() -> np.ndarray:
+    """A-Z to a-z, other ASCII but letters to a space, the rest as it is."""
+    m = np.arange(256, dtype=np.uint8)
+    for b in range(128):
+        c = chr(b)
+        m[b] = ord(c.lower()) if c.isalpha() else 32
+    return m
+
+
+LETTERS = _byte_map()
+
+
 def rate_filter(key: Column, rate: Column, seed: int) -> Column:
     """Keep a row with probability ``rate`` by a hash of its key (the same rows each run)."""
     return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) < rate * float(1 << 30)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, eligible: Column, per_class: dict[int, int],
+                    seed: int, name: str) -> DataFrame:
+    """Bounded sample of labelled rows: text, label, weight (rows that one sampled row stands for), order.
+
+    About ``per_class[k]`` rows of each label, chosen by a hash of the id, so the
+    broadcast side has that many rows whatever the input. ``eligible`` reads doc_id.
+    A document labelled twice counts once, with its larger label.
+    """
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(
+        F.col("label").isin(list(per_class)) & eligible)
+    sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    rate = F.lit(0.0)
+    for k, n in sizes.items():
+        rate = F.when(F.col("label") == k, min(1.0, per_class[k] / n)).otherwise(rate)
+    chosen = known.withColumn("rate", rate).filter(rate_filter(F.col("doc_id"), F.col("rate"), seed))
+    chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("rate").alias("rate"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return staged(rows.select(F.coalesce("text", F.lit("")).alias("text"), "label", (1 / F.col("rate")).alias("weight"),
+                              F.xxhash64(F.lit(seed + 1), "doc_id").alias("order")), name)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
+    """Weighted ridge logistic regression by Newton's method; the last coefficient is the intercept."""
+    x = np.column_stack([x, np.ones(len(x))])
+    pull = np.full(x.shape[1], ridge)
+    pull[-1] = 1e-6
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (weight * (p - y)) + pull * w
+        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(pull)
+        step = np.linalg.solve(hess, grad)
+        w -= step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+class Lookup:
+    """Exact vectorised map from uint64 keys to floats: one slot per hash, the rest sorted."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(8, int(len(keys) * 4).bit_length())
+        slot = self._slot(keys)
+        _, first = np.unique(slot, return_index=True)
+        rest = np.ones(len(keys), bool)
+        rest[first] = False
+        self.keys = np.full(1 << self.bits, np.uint64(0xFFFFFFFFFFFFFFFF))
+        self.values = np.zeros(1 << self.bits, np.float32)
+        self.shared = np.zeros(1 << self.bits, bool)
+        self.keys[slot[first]], self.values[slot[first]] = keys[first], values[first]
+        self.shared[slot[rest]] = True
+        by = np.argsort(keys[rest])
+        self.more, self.more_values = keys[rest][by], values[rest][by].astype(np.float32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values, found)."""
+        slot = self._slot(keys)
+        found = self.keys[slot] == keys
+        out = np.where(found, self.values[slot], np.float32(0))
+        again = np.flatnonzero(~found & self.shared[slot])
+        if len(again):
+            at = np.minimum(np.searchsorted(self.more, keys[again]), len(self.more) - 1)
+            hit = self.more[at] == keys[again]
+            out[again[hit]], found[again[hit]] = self.more_values[at[hit]], True
+        return out, found

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barsignals.llm.common import (buffers, documents, in_fold, not_in_fold, per_batch, pieces, rate_filter,
+from barsignals.llm.common import (LETTERS, buffers, documents, in_fold, not_in_fold, per_batch, pieces, rate_filter,
                                    segment_sums)
 
 UND = "und"
@@ -44,18 +44,6 @@ class LangIdParams:
     seed: int = 7
 
 
-def _byte_map() -> np.ndarray:
-    """A-Z to a-z, other ASCII but letters to a space, the rest as it is."""
-    m = np.arange(256, dtype=np.uint8)
-    for b in range(128):
-        c = chr(b)
-        m[b] = ord(c.lower()) if c.isalpha() else 32
-    return m
-
-
-BYTE_MAP = _byte_map()
-
-
 def subwords(data: np.ndarray, offsets: np.ndarray, order: int, bits: int) -> np.ndarray:
     """Bucket of the subword starting at each byte; ``1 << bits`` where there is none.
 
@@ -107,7 +95,7 @@ class LangIdModel:
         p = self.params
         table = np.ascontiguousarray(self.logits.T)
         for i, j, offs, own in pieces(offsets, max(p.orders) - 1):
-            part = BYTE_MAP[data[offs[0]:offs[-1]]]
+            part = LETTERS[data[offs[0]:offs[-1]]]
             local = offs - offs[0]
             for order in p.orders:
                 ids = subwords(part, local, order, p.bits)
@@ -132,7 +120,7 @@ def _features(p: LangIdParams):
                 local = np.array([0, offsets[r + 1] - offsets[r]])
                 acc = np.zeros((1 << p.bits) + 1, np.int64)
                 for _, _, offs, own in pieces(local, max(p.orders) - 1):
-                    part = BYTE_MAP[data[offsets[r] + offs[0]:offsets[r] + offs[-1]]]
+                    part = LETTERS[data[offsets[r] + offs[0]:offsets[r] + offs[-1]]]
                     for order in p.orders:
                         acc += np.bincount(subwords(part, offs - offs[0], order, p.bits)[:own], minlength=len(acc))
                 k = np.flatnonzero(acc[:-1])

@@ -1,7 +1,9 @@
 """Named queries of the training-data operators, over the whole given tables."""
 
 from barsignals.llm.lang_id import op1_language_id
+from barsignals.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op7_toxicity": op7_toxicity,
 }

@@ -1,5 +1,6 @@
 """Named queries of the training-data operators, over the whole given tables."""
 
+from barsignals.llm.decontamination import op6_benchmark_decontamination
 from barsignals.llm.lang_id import op1_language_id
 from barsignals.llm.secrets import op3_secret_scans
 from barsignals.llm.toxicity import op7_toxicity
@@ -7,5 +8,6 @@ from barsignals.llm.toxicity import op7_toxicity
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_secret_scans": op3_secret_scans,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_toxicity": op7_toxicity,
 }

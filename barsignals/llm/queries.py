@@ -4,6 +4,7 @@ from barsignals.llm.decontamination import op6_benchmark_decontamination
 from barsignals.llm.lang_id import op1_language_id
 from barsignals.llm.repeats import op4_suffix_array_dedup
 from barsignals.llm.secrets import op3_secret_scans
+from barsignals.llm.sentencepieces import op8_sentencepiece
 from barsignals.llm.simhash import op5_simhash_near_dedup
 from barsignals.llm.toxicity import op7_toxicity
 
@@ -14,4 +15,5 @@ QUERIES = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_toxicity": op7_toxicity,
+    "op8_sentencepiece": op8_sentencepiece,
 }

@@ -2,6 +2,7 @@
 
 from barsignals.llm.decontamination import op6_benchmark_decontamination
 from barsignals.llm.lang_id import op1_language_id
+from barsignals.llm.lm_scoring import op9_lm_scoring
 from barsignals.llm.repeats import op4_suffix_array_dedup
 from barsignals.llm.secrets import op3_secret_scans
 from barsignals.llm.sentencepieces import op8_sentencepiece
@@ -16,4 +17,5 @@ QUERIES = {
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_toxicity": op7_toxicity,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_lm_scoring": op9_lm_scoring,
 }

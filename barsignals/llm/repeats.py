@@ -352,7 +352,7 @@ def _finish(batches):
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that repeated 400-byte strings cover, and what stays."""
-    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     cover = covered(docs).groupBy(F.col("doc_id").alias("cid"), F.col("th").alias("cth")).agg(
         F.collect_list(F.struct("start", "end")).alias("cover"))
     joined = docs.join(cover, F.col("doc_id").eqNullSafe(F.col("cid")) & (F.col("th") == F.col("cth")), "left")

@@ -7,6 +7,7 @@ from barsignals.llm.repeats import op4_suffix_array_dedup
 from barsignals.llm.secrets import op3_secret_scans
 from barsignals.llm.sentencepieces import op8_sentencepiece
 from barsignals.llm.simhash import op5_simhash_near_dedup
+from barsignals.llm.syncmers import op10_document_fingerprints
 from barsignals.llm.toxicity import op7_toxicity
 
 QUERIES = {
@@ -18,4 +19,5 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_lm_scoring": op9_lm_scoring,
+    "op10_document_fingerprints": op10_document_fingerprints,
 }

@@ -3,6 +3,7 @@
 from barsignals.llm.decontamination import op6_benchmark_decontamination
 from barsignals.llm.lang_id import op1_language_id
 from barsignals.llm.lm_scoring import op9_lm_scoring
+from barsignals.llm.quality import op2_quality_classifier
 from barsignals.llm.repeats import op4_suffix_array_dedup
 from barsignals.llm.secrets import op3_secret_scans
 from barsignals.llm.sentencepieces import op8_sentencepiece
@@ -12,6 +13,7 @@ from barsignals.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_secret_scans": op3_secret_scans,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,

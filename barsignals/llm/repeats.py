@@ -303,9 +303,10 @@ def covered(docs: DataFrame, p: RepeatParams = RepeatParams()) -> DataFrame:
     per_batch(docs.sparkSession, 2000)
     schema = "doc_id long, th long, lo int, hi int, anchor int, a long, s long"
     found = staged(docs.select("doc_id", "th", "text").mapInArrow(_range_rows(p, pa.int64()), schema), "repeats-ranges")
-    again = found.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
+    # written, so that the joins with them stay splittable where one anchor has many rows
+    again = staged(found.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a"), "repeats-again")
     shared = staged(found.join(again, "a", "left_semi"), "repeats-shared")
-    segments = shared.groupBy("a", "s").agg(F.count("*").alias("n"))
+    segments = staged(shared.groupBy("a", "s").agg(F.count("*").alias("n")), "repeats-segments")
     many = segments.filter("n > 1").select("a", "s")
     whole = _whole(shared.join(many, ["a", "s"], "left_semi"), p)
     groups = segments.groupBy("a").agg(F.count("*").alias("segments"), F.min("n").alias("fewest"))

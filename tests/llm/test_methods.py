@@ -74,8 +74,8 @@ def test_kneser_ney_evidence():
     rows = pa.Table.from_batches(list(toxicity._counts(p)([batch]))).group_by("gram").aggregate([("toxic", "sum"), ("ordinary", "sum")])
     by = np.argsort(rows["gram"].to_numpy())
     model = toxicity.KneserNey(*(rows[c].to_numpy()[by].astype(t) for c, t in (("gram", np.uint64), ("toxic_sum", float), ("ordinary_sum", float))), p)
-    e = model.evidence(pa.array(["an idiot in the house", "a house on the hill", "", None, "zz"]), p.windows)
-    assert e[0, 1] > 0.2 > e[1, 1] and e[2, 0] == e[3, 0] == 0 and np.isfinite(e).all()
+    e = model.evidence(pa.array(["the idiot is", "the house is", "", None, "zz"]), p.windows)
+    assert e[0, 0] > 0.5 > -0.5 > e[1, 0] and e[2, 0] == e[3, 0] == 0 and np.isfinite(e).all()
     long = "a house on the hill " * 120_000
     assert np.allclose(model.evidence(pa.array([long]), p.windows)[0, :4], model.evidence(pa.array([long[:200_000]]), p.windows)[0, :4], atol=1e-3)
 

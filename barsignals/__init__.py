@@ -2,14 +2,13 @@
 
 from barsignals.operators.filters import default_range, for_symbols, in_range, select_existing
 from barsignals.operators.indicators import DEFAULT, Params
-from barsignals.operators.charts import (bollinger_series, chart_series, ema_series, level_series,
-                                         price_overlay_series, rsi_series, sma_series, stochastic_series,
-                                         to_series, volume_series)
+from barsignals.operators.charts import chart_columns, chart_series, to_series
 from barsignals.operators.levels import filter_levels, last_levels, local_extrema
 from barsignals.operators.profile import symbol_profile
 from barsignals.operators.snapshot import latest_snapshot
 from barsignals.operators.votes import vote_share, votes_long
-from barsignals.plans.catalog import adhoc_sql, register_views
+from barsignals.plans.catalog import register_views
+from barsignals.plans.charts import chart, chart_titles
 from barsignals.plans.enrich import enrich, extrema, indicators, levels, signals, support_resistance
 from barsignals.sources.bars import bars_from_ticks, load_bars
 from barsignals.sources.fundamentals import FUNDAMENTALS_SCHEMA, load_fundamentals
@@ -20,6 +19,5 @@ __all__ = ["default_range", "for_symbols", "in_range", "select_existing", "DEFAU
            "filter_levels", "last_levels", "local_extrema", "latest_snapshot", "enrich", "extrema",
            "indicators", "levels", "signals", "support_resistance", "bars_from_ticks", "load_bars",
            "FUNDAMENTALS_SCHEMA", "load_fundamentals", "VOTE_LABELS", "load_votes", "votes_from_tall",
-           "bollinger_series", "chart_series", "ema_series", "level_series", "price_overlay_series", "rsi_series",
-           "sma_series", "stochastic_series", "to_series", "volume_series", "symbol_profile", "vote_share",
-           "votes_long", "adhoc_sql", "register_views", "write_enriched"]
+           "chart", "chart_columns", "chart_series", "chart_titles", "to_series", "symbol_profile", "vote_share",
+           "votes_long", "register_views", "write_enriched"]

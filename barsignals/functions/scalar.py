@@ -30,13 +30,13 @@ def nan_to_null(col: Column | str) -> Column:
 
 
 def symbol_base(col: Column | str) -> Column:
-    """text before the first dot (``TATASTEEL.NS`` -> ``TATASTEEL``)."""
+    """text before the first dot (``ACME.NS`` -> ``ACME``)."""
     return F.substring_index(_c(col).cast("string"), ".", 1)
 
 
 def round2(col: Column | str) -> Column:
-    """two decimals, half-even (what Python's ``round`` does on doubles)."""
-    return F.bround(_c(col), 2)
+    """two decimals as numpy rounds: the double times 100 to the nearest integer, ties to even."""
+    return F.rint(_c(col) * 100) / 100
 
 
 def safe_div(num: Column, den: Column) -> Column:
@@ -62,6 +62,16 @@ def crossing_state(fast: Column, slow: Column) -> Column:
     return F.when(is_above(fast, slow), F.lit(1)).when(is_below(fast, slow), F.lit(-1))
 
 
+# The texts that follow the symbol in the titles of the five price charts.
+CHART_TITLES = {
+    "price_overlay": "Price History with buy and sell signals",
+    "sma": "Price History with Buy and Sell Signals (SMA)",
+    "ema": "Price History with Buy and Sell Signals (EMA)",
+    "bollinger": "Price History with Bollinger Bands",
+    "levels": "Price History with Support-Resistance levels",
+}
+
+
 def chart_title(symbol: Column | str, text: str) -> Column:
     """F8: chart title such as ``<symbol> Price History with Bollinger Bands``."""
     return F.concat(_c(symbol).cast("string"), F.lit(" " + text))

@@ -12,16 +12,28 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The traces of each figure, in the reference's drawing order.
-PRICE_OVERLAY = ["adj_close", "sma5", "sma15", "ema5", "ema15", "bb_upper", "bb_lower",
-                 "sma_buy", "sma_sell", "ema_buy", "ema_sell"]
-SMA_CHART = ["adj_close", "sma5", "sma15", "sma_buy", "sma_sell"]
-EMA_CHART = ["adj_close", "ema5", "ema15", "ema_buy", "ema_sell"]
-BOLLINGER_CHART = ["adj_close", "bb_upper", "bb_lower"]
-LEVEL_CHART = ["adj_close"]
-STOCHASTIC_CHART = ["stoch_k", "stoch_d", "stoch_buy", "stoch_sell"]
-RSI_CHART = ["rsi"]
-VOLUME_CHART = ["volume"]
+from barsignals.operators.indicators import DEFAULT, Params, col_names
+
+LEVEL_CHARTS = ("price_overlay", "sma", "ema", "bollinger", "levels")  # charts with level lines
+
+
+def chart_columns(chart: str, p: Params = DEFAULT) -> list[str]:
+    """The traces of each figure, in the reference's drawing order."""
+    n = col_names(p)
+    averages = {"sma": [n["sma_fast"], n["sma_slow"]], "ema": [n["ema_fast"], n["ema_slow"]]}
+    bands = ["bb_upper", "bb_lower"]
+    return {
+        "price_overlay": ["adj_close", *averages["sma"], *averages["ema"], *bands,
+                          "sma_buy", "sma_sell", "ema_buy", "ema_sell"],
+        "sma": ["adj_close", *averages["sma"], "sma_buy", "sma_sell"],
+        "ema": ["adj_close", *averages["ema"], "ema_buy", "ema_sell"],
+        "bollinger": ["adj_close", *bands],
+        "levels": ["adj_close"],
+        "stochastic": ["stoch_k", "stoch_d", "stoch_buy", "stoch_sell"],
+        "rsi": ["rsi"],
+        "volume": ["volume"],
+    }[chart]
+
 
 SERIES_COLUMNS = ["symbol", "bar_date", "series", "value"]
 
@@ -48,43 +60,3 @@ def chart_series(df: DataFrame, columns: Sequence[str], last_levels: DataFrame |
     if last_levels is not None:
         points = points.unionByName(level_lines(df, last_levels))
     return points
-
-
-def price_overlay_series(df, last_levels=None):
-    """V2: price, averages, bands, SMA/EMA markers (and level lines)."""
-    return chart_series(df, PRICE_OVERLAY, last_levels)
-
-
-def sma_series(df, last_levels=None):
-    """V3."""
-    return chart_series(df, SMA_CHART, last_levels)
-
-
-def ema_series(df, last_levels=None):
-    """V4."""
-    return chart_series(df, EMA_CHART, last_levels)
-
-
-def bollinger_series(df, last_levels=None):
-    """V5."""
-    return chart_series(df, BOLLINGER_CHART, last_levels)
-
-
-def level_series(df, last_levels):
-    """V6: price plus the two level lines."""
-    return chart_series(df, LEVEL_CHART, last_levels)
-
-
-def stochastic_series(df):
-    """V7."""
-    return chart_series(df, STOCHASTIC_CHART)
-
-
-def rsi_series(df):
-    """V8."""
-    return chart_series(df, RSI_CHART)
-
-
-def volume_series(df):
-    """V9."""
-    return chart_series(df, VOLUME_CHART)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barsignals.functions.scalar import null_double, safe_div
-from barsignals.operators.layout import block_window, ema_lookback, own, sub_window
+from barsignals.operators.layout import block_window, ema_sub_blocks, own, sub_window
 
 
 @dataclass(frozen=True)
@@ -46,8 +46,8 @@ class Params:
         """Rows before ``t`` that any bounded indicator at ``t`` reads."""
         return max(self.sma_slow, self.sma_fast, self.bb_n, self.stoch_n + self.stoch_d, self.rsi_n + 1, 2)
 
-    def ema_sub_block(self) -> int:
-        return ema_lookback(max(self.ema_fast, self.ema_slow))
+    def ema_sub_blocks(self) -> dict[int, int]:
+        return ema_sub_blocks((self.ema_fast, self.ema_slow))
 
 
 DEFAULT = Params()
@@ -167,24 +167,24 @@ def extremum_stages() -> Stages:
     return [{"extremum": kind}]
 
 
-def ema_stages(spans: tuple[int, ...], sub_len: int, x: str = "close") -> Stages:
+def ema_stages(subs: dict[int, int], x: str = "close") -> Stages:
     """Pandas-style ``ewm(span).mean()`` (normalised weights, rule Q3).
 
     ``ema_t = sum(r^(t-j) x_j) / sum(r^(t-j))`` over non-NULL ``x_j``, ``r = 1 - 2/(span+1)``.
-    The sums run inside sub-blocks of ``sub_len`` rows (scaled by ``r^-k`` so they do
-    not overflow), plus the previous sub-block's closing sums decayed to the row;
-    older terms weigh below ``r^sub_len ~ 1e-20``. Rows with NULL ``x`` repeat the
-    last value. Adds ``ema<span>_local``: NULL where the block's own rows hold no
+    ``subs`` gives each span its own sub-block length. The sums run inside sub-blocks
+    (scaled by ``r^-k``, which stays below ``exp(2 * 46)`` there), plus the previous
+    sub-block's closing sums decayed to the row; older terms weigh below
+    ``r^length ~ 1e-20``. Rows with NULL ``x`` repeat the last value. Adds ``ema<span>_local``: NULL where the block's own rows hold no
     value yet; ``carry_last`` fills those from earlier blocks.
     """
-    k = (F.col("_t") % F.lit(sub_len)).cast("int")
     xv = F.col(x)
-    running = sub_window().rowsBetween(Window.unboundedPreceding, 0)
     before = block_window().rowsBetween(Window.unboundedPreceding, -1)
     upto = block_window().rowsBetween(Window.unboundedPreceding, 0)
-    closing = k == sub_len - 1
     sums, prev, values = {}, {}, {}
-    for span in spans:
+    for span, length in subs.items():
+        k = (F.col("_t") % F.lit(length)).cast("int")
+        closing = k == length - 1
+        running = sub_window(fine=length < max(subs.values())).rowsBetween(Window.unboundedPreceding, 0)
         r = 1.0 - 2.0 / (span + 1.0)
         inv = F.pow(F.lit(1.0 / r), k)
         scale, decay = F.pow(F.lit(r), k), F.pow(F.lit(r), k + 1)

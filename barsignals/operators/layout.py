@@ -19,7 +19,8 @@ the rows whose result depends on earlier blocks.
 
 Internal columns: ``_t`` (0-based row of the series), ``_blk`` (block),
 ``_role`` (-1 copied from the previous block, 0 own row, 1 copied from the next
-block) and ``_sub`` (``_t // back``, the EMA sub-block).
+block), ``_sub`` and ``_fine`` (the EMA sub-blocks of the long and the short span; a
+long one holds whole short ones).
 """
 
 from __future__ import annotations
@@ -31,8 +32,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barsignals.checkpoint import materialize
-
 SYMBOL = "symbol"
 BAR_DATE = "bar_date"
 
@@ -46,42 +45,70 @@ def ema_lookback(span: int) -> int:
     return max(1, math.ceil(EMA_DECAY_EXPONENT / -math.log(r)))
 
 
+def ema_sub_blocks(spans: Sequence[int]) -> dict[int, int]:
+    """Sub-block rows of each span: at least its look-back, and the longest is a multiple of all.
+
+    A short span keeps short sub-blocks however long the other span or the halo is, so
+    its weights ``r^-k`` stay far from overflow.
+    """
+    longest = max(ema_lookback(s) for s in spans)
+    parts = {s: longest // ema_lookback(s) for s in spans}
+    n = max(parts.values())
+    fine = math.ceil(longest / n)
+    return {s: fine if parts[s] == n else n * fine for s in spans}
+
+
 @dataclass(frozen=True)
 class Layout:
     back: int
     ahead: int
     block: int
     segment: str
+    sub: int
+    fine: int
 
 
-def make_layout(back: int, ahead: int = 1, block_rows: int = 8192, segment: str = "year") -> Layout:
-    """``block`` is rounded up to a multiple of ``back`` so EMA sub-blocks align with blocks."""
-    back = max(1, int(back))
-    block = max(back, math.ceil(int(block_rows) / back) * back)
-    return Layout(back=back, ahead=int(ahead), block=block, segment=segment)
+def make_layout(back: int, ahead: int = 1, block_rows: int = 8192, segment: str = "year",
+                sub: int = 1, fine: int = 1) -> Layout:
+    """``back`` and ``block`` are rounded up to multiples of the sub-block, so these align with blocks."""
+    back = math.ceil(max(1, int(back)) / sub) * sub
+    block = max(back, math.ceil(int(block_rows) / sub) * sub)
+    return Layout(back=back, ahead=int(ahead), block=block, segment=segment, sub=sub, fine=fine)
 
 
 def block_window() -> Window:
-    # Ordered by (_sub, _t), which is the _t order; sharing the sort key with
-    # sub_window() lets both window families run on one sort.
-    return Window.partitionBy(SYMBOL, "_blk").orderBy("_sub", "_t")
+    # Ordered by (_sub, _fine, _t), which is the _t order; sharing the sort key with
+    # sub_window() lets all window families run on one sort.
+    return Window.partitionBy(SYMBOL, "_blk").orderBy("_sub", "_fine", "_t")
 
 
-def sub_window() -> Window:
-    return Window.partitionBy(SYMBOL, "_blk", "_sub").orderBy("_t")
+def sub_window(fine: bool = False) -> Window:
+    if fine:
+        return Window.partitionBy(SYMBOL, "_blk", "_sub", "_fine").orderBy("_t")
+    return Window.partitionBy(SYMBOL, "_blk", "_sub").orderBy("_fine", "_t")
 
 
 def with_position(bars: DataFrame, segment: str = "year") -> DataFrame:
-    """Add ``_t``: the 0-based row number of each bar within its symbol, by date."""
+    """Add ``_t``: the 0-based row number of each bar within its symbol, by date.
+
+    A NULL key and a repeated ``(symbol, bar_date)`` (T1) raise an error when the rows
+    are read: such rows have no position. Neither check needs a job or a shuffle.
+    """
     keyed = bars.withColumn("_seg", F.date_trunc(segment, F.col(BAR_DATE)))
     counts = keyed.groupBy(SYMBOL, "_seg").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(SYMBOL).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(SYMBOL, "_seg", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    ranked = keyed.withColumn(
-        "_i", F.row_number().over(Window.partitionBy(SYMBOL, "_seg").orderBy(BAR_DATE)))
-    return (ranked.join(offsets, [SYMBOL, "_seg"])
-            .withColumn("_t", (F.col("_off") + F.col("_i") - 1).cast("long"))
-            .drop("_seg", "_i", "_off"))
+    inside = Window.partitionBy(SYMBOL, "_seg").orderBy(BAR_DATE)
+    ranked = keyed.withColumns({"_i": F.row_number().over(inside), "_before": F.lag(BAR_DATE).over(inside)})
+    repeated = F.raise_error(F.concat(F.lit("duplicate (symbol, bar_date): "), F.col(SYMBOL).cast("string"),
+                                      F.lit(", "), F.col(BAR_DATE).cast("string"))).cast("long")
+    missing = F.raise_error(F.lit("a bar has no symbol or bar_date")).cast("long")
+    place = (F.col("_off") + F.col("_i") - 1).cast("long")
+    # a left join, so that rows with a NULL key come through to the check
+    return (ranked.join(offsets, [SYMBOL, "_seg"], "left")
+            .withColumn("_t", F.when(F.col("_off").isNull(), missing)
+                        .when(F.col("_before") == F.col(BAR_DATE), repeated).otherwise(place))
+            .drop("_seg", "_i", "_before", "_off"))
 
 
 def lay_out(bars: DataFrame, layout: Layout) -> DataFrame:
@@ -94,7 +121,8 @@ def lay_out(bars: DataFrame, layout: Layout) -> DataFrame:
     role = F.col("_role")
     return (pos.withColumn("_role", F.explode(F.array_compact(F.array(*copies))))
             .withColumn("_blk", F.floor(t / b).cast("long") - role)
-            .withColumn("_sub", F.floor(t / F.lit(layout.back)).cast("long")))
+            .withColumn("_sub", F.floor(t / F.lit(layout.sub)).cast("long"))
+            .withColumn("_fine", F.floor(t / F.lit(layout.fine)).cast("long")))
 
 
 def own_rows(df: DataFrame) -> DataFrame:
@@ -109,6 +137,19 @@ def own(col: Column) -> Column:
 DEFAULT_CARRY_FANOUT = 4096
 
 
+def _join_same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on ``keys`` by null-safe equality.
+
+    Plain equality lets the optimizer add "is not NULL" below the right side only;
+    both sides read the same exchange, and that would make it two.
+    """
+    right = right.withColumnsRenamed({k: f"_r{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_r{k}"))
+    return left.join(right, same, "left").drop(*[f"_r{k}" for k in keys])
+
+
 def _last_before(summary: DataFrame, key: str, cols: Sequence[str], fanout: int) -> DataFrame:
     """``<col>_carry``: the last non-NULL ``<col>_last`` of a smaller ``key`` (same symbol).
 
@@ -127,19 +168,20 @@ def _last_before(summary: DataFrame, key: str, cols: Sequence[str], fanout: int)
     outer = Window.partitionBy(SYMBOL).orderBy("_grp").rowsBetween(Window.unboundedPreceding, -1)
     before = groups.select(SYMBOL, "_grp", *[
         F.last(c + "_g", ignorenulls=True).over(outer).alias(c + "_out") for c in cols])
-    return (within.join(before, [SYMBOL, "_grp"], "left")
+    return (_join_same(within, before, [SYMBOL, "_grp"])
             .select(SYMBOL, key, *[F.coalesce(F.col(c + "_in"), F.col(c + "_out")).alias(c + "_carry")
                                    for c in cols]))
 
 
 def carry_last(df: DataFrame, cols: Sequence[str], fanout: int = DEFAULT_CARRY_FANOUT,
-               needs_carry: Column | None = None) -> DataFrame:
+               needs_carry: Column | None = None, pins: Sequence[str] = ()) -> DataFrame:
     """For each column add ``<col>_carry``: its last non-NULL value in earlier blocks.
 
-    ``df`` holds own rows only, after the windows. It feeds both the summary and
-    the output, so it is checkpointed once (reliable, in ``spark.checkpoint.dir``)
-    instead of running the windows twice. The summary has one row per block and is
-    scanned in two levels (``_last_before``).
+    ``df`` holds own rows only, after the windows, and feeds both the summary and the
+    output. The summary keeps every input column alive up to the shared
+    ``(symbol, _blk)`` exchange (``pins``), so both readers have the same exchange
+    and Spark runs it once; nothing is stored and no job runs here. The summary has
+    one row per block and is scanned in two levels (``_last_before``).
 
     ``needs_carry`` (a non-NULL boolean) marks the rows whose result can depend on
     earlier blocks; typically a few rows at the start of each block. Only those
@@ -147,14 +189,16 @@ def carry_last(df: DataFrame, cols: Sequence[str], fanout: int = DEFAULT_CARRY_F
     carries, so the big frame is never shuffled for the join, however many blocks
     there are. Without it every row is joined.
     """
-    df = materialize(df)
-    summary = df.groupBy(SYMBOL, "_blk").agg(
-        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_t"))).alias(c + "_last") for c in cols])
+    first, *rest_cols = cols
+    last = {c: F.max_by(F.struct(F.col(c).alias("v"), *([F.col(x) for x in pins] if c == first else [])),
+                        F.when(F.col(c).isNotNull(), F.col("_t"))) for c in [first, *rest_cols]}
+    summary = df.groupBy(SYMBOL, "_blk").agg(*[agg.alias(c + "_last") for c, agg in last.items()])
+    summary = summary.select(SYMBOL, "_blk", *[F.col(c + "_last.v").alias(c + "_last") for c in cols])
     carry = _last_before(summary, "_blk", cols, fanout)
     if needs_carry is None:
-        return df.join(carry, [SYMBOL, "_blk"], "left")
+        return _join_same(df, carry, [SYMBOL, "_blk"])
     types = dict(df.dtypes)
     rest = df.filter(~needs_carry).withColumns(
         {c + "_carry": F.lit(None).cast(types[c]) for c in cols})
-    needing = df.filter(needs_carry).join(carry, [SYMBOL, "_blk"], "left")
+    needing = _join_same(df.filter(needs_carry), carry, [SYMBOL, "_blk"])
     return rest.unionByName(needing)

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barsignals.checkpoint import materialize
 from barsignals.operators.indicators import DEFAULT
 
 
@@ -32,11 +31,12 @@ def filter_levels(levels: DataFrame, sensitivity: float = DEFAULT.level_sensitiv
     The min/max come from a grouped aggregation (pre-aggregated before its shuffle,
     so a symbol with most of the levels costs one row per map task) and are joined
     back; adaptive execution broadcasts that small table when it measures small,
-    and splits a skewed partition otherwise. The levels feed both sides, so they
-    are checkpointed once rather than recomputed from the bars.
+    and splits a skewed partition otherwise. The bounds read the date too, so both
+    sides need the same columns of the windows' exchange and share it.
     """
-    levels = materialize(levels)
-    bounds = levels.groupBy("symbol", "kind").agg(F.max("level").alias("_hi"), F.min("level").alias("_lo"))
+    point = F.struct("level", "bar_date")
+    bounds = levels.groupBy("symbol", "kind").agg(F.max(point).alias("_max"), F.min(point).alias("_min"))
+    bounds = bounds.select("symbol", "kind", F.col("_max.level").alias("_hi"), F.col("_min.level").alias("_lo"))
     s = F.lit(float(sensitivity))
     lv = F.col("level")
     keep = ((F.col("_hi") - lv) > s * lv) | ((lv - F.col("_lo")) > s * lv)

@@ -12,13 +12,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barsignals.functions.scalar import chart_title, round2, symbol_base
+from barsignals.functions.scalar import CHART_TITLES, chart_title, round2, symbol_base
+from barsignals.operators.indicators import DEFAULT, Params, col_names
 from barsignals.operators.signals import RULES
 
-LAST_INDICATORS = ["sma5", "sma15", "ema5", "ema15", "bb_upper", "bb_lower", "stoch_k", "stoch_d", "rsi"]
 
+def last_indicators(p: Params = DEFAULT) -> list[str]:
+    n = col_names(p)
+    return [n["sma_fast"], n["sma_slow"], n["ema_fast"], n["ema_slow"], "bb_upper", "bb_lower", "stoch_k", "stoch_d", "rsi"]
 
-def last_values(enriched: DataFrame) -> DataFrame:
+
+def last_values(enriched: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Per symbol, in one grouped aggregation (partial aggregation before the shuffle):
     last bar date, rounded last close/high/low, last indicator values, and per rule
     the side, price and date of the last signal."""
@@ -27,7 +31,7 @@ def last_values(enriched: DataFrame) -> DataFrame:
             round2(F.max_by("close", d)).alias("close"),
             round2(F.max_by("high", d)).alias("high"),
             round2(F.max_by("low", d)).alias("low")]
-    aggs += [F.max_by(c, d).alias(c) for c in LAST_INDICATORS if c in enriched.columns]
+    aggs += [F.max_by(c, d).alias(c) for c in last_indicators(params) if c in enriched.columns]
     for r in RULES:
         if f"{r}_buy" not in enriched.columns:
             continue
@@ -50,13 +54,14 @@ def levels_wide(last_levels: DataFrame) -> DataFrame:
 
 
 def symbol_profile(enriched: DataFrame, last_levels: DataFrame | None = None,
-                   fundamentals: DataFrame | None = None, votes: DataFrame | None = None) -> DataFrame:
+                   fundamentals: DataFrame | None = None, votes: DataFrame | None = None,
+                   params: Params = DEFAULT) -> DataFrame:
     """Left joins on ``symbol`` (votes on the symbol without exchange suffix, F1).
 
     Every side has one row per symbol, so no join key is skewed; adaptive
     execution picks broadcast joins when the sides measure small.
     """
-    out = last_values(enriched).withColumn("title", chart_title("symbol", "Price History with buy and sell signals"))
+    out = last_values(enriched, params).withColumn("title", chart_title("symbol", CHART_TITLES["price_overlay"]))
     if last_levels is not None:
         out = out.join(levels_wide(last_levels), "symbol", "left")
     if fundamentals is not None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barsignals.sources.votes import VOTE_LABELS
@@ -23,8 +23,13 @@ def votes_long(votes: DataFrame, labels: Sequence[str] = VOTE_LABELS) -> DataFra
 def vote_share(votes: DataFrame, labels: Sequence[str] = VOTE_LABELS) -> DataFrame:
     """A4: ``n / sum(n)`` per symbol (NULL when a symbol has no votes at all).
 
-    The window partitions by symbol over at most ``len(labels)`` rows per symbol.
+    The total is a sum over the row's label columns before the unpivot: no shuffle.
     """
-    long = votes_long(votes, labels)
-    total = F.sum("n").over(Window.partitionBy("symbol"))
-    return long.withColumn("share", F.try_divide(F.col("n").cast("double"), total.cast("double")))
+    existing = [c for c in labels if c in votes.columns]
+    if not existing:
+        return votes_long(votes, labels).withColumn("share", F.lit(None).cast("double"))
+    counts = {c: F.coalesce(F.col(c).cast("long"), F.lit(0)) for c in existing}
+    total = sum(counts.values(), F.lit(0)).cast("double")
+    wide = votes.select("symbol", total.alias("_total"), *[n.alias(c) for c, n in counts.items()])
+    long = wide.unpivot(["symbol", "_total"], existing, "label", "n")
+    return long.select("symbol", "label", "n", F.try_divide(F.col("n").cast("double"), F.col("_total")).alias("share"))

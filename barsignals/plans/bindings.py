@@ -5,9 +5,10 @@
   l_linenumber, l_extendedprice)`` orders a supplier's ticks uniquely.
 - Intraday ticks: ``events``; symbol = ``event_type``, price = ``value``,
   order ``(ts, event_id)``; hourly bars have a TIMESTAMP ``bar_date``.
-- Votes: one ``events`` row is one vote of ``user_id`` (the symbol); event types map
-  to vote labels below. No type maps to STRONG_SELL, so that label is absent (P5).
-- Fundamentals: ``events.props`` JSON documents, and a document per supplier.
+- Votes: one ``events`` row is one vote of ``user_id`` (the symbol); every event type maps
+  to a vote label below. No type maps to STRONG_SELL, so that label is absent (P5).
+- Fundamentals: ``events.props`` JSON documents, and a document per supplier (one with
+  the name and balance, and one with all nine keys, some of them missing).
 - Watch list: suppliers of the nations of one region (a semi-join, P3).
 """
 
@@ -17,14 +18,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barsignals.sources.bars import bars_from_ticks, spread_small_input
+from barsignals.sources.bars import bars_from_ticks
 from barsignals.sources.fundamentals import FUNDAMENTALS_SCHEMA, load_fundamentals
-from barsignals.sources.votes import votes_from_tall
+from barsignals.sources.votes import VOTE_LABELS, votes_from_tall
 
 # Fixed values for the bindings.
 ADJ_FACTOR = 0.97
 TICK_TIEBREAK = ("l_orderkey", "l_linenumber", "l_extendedprice")
-EVENT_VOTE_LABELS = {"click": "BUY", "error": "SELL", "view": "NEUTRAL", "purchase": "STRONG_BUY"}
+EVENT_VOTE_LABELS = {"click": "BUY", "error": "SELL", "view": "NEUTRAL", "purchase": "STRONG_BUY",
+                     "signup": "NEUTRAL"}
 WATCH_REGION = "ASIA"
 RANGE_START = "1997-01-01"
 RANGE_END = "2000-01-01"
@@ -34,13 +36,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lineitem_bars(spark: SparkSession, sf_dir: str, unit: str = "month") -> DataFrame:
-    return bars_from_ticks(spread_small_input(table(spark, sf_dir, "lineitem")), "l_suppkey", "l_shipdate", "l_extendedprice",
-                           "l_quantity", unit=unit, tiebreak=TICK_TIEBREAK, adj_factor=ADJ_FACTOR)
+def lineitem_bars(spark: SparkSession, sf_dir: str, unit: str = "month", start=None, end=None, symbols=None) -> DataFrame:
+    return bars_from_ticks(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_shipdate", "l_extendedprice",
+                           "l_quantity", unit=unit, tiebreak=TICK_TIEBREAK, adj_factor=ADJ_FACTOR,
+                           start=start, end=end, symbols=symbols)
 
 
 def event_bars(spark: SparkSession, sf_dir: str, unit: str = "hour") -> DataFrame:
-    return bars_from_ticks(spread_small_input(table(spark, sf_dir, "events")), "event_type", "ts", "value", None,
+    return bars_from_ticks(table(spark, sf_dir, "events"), "event_type", "ts", "value", None,
                            unit=unit, tiebreak=("event_id",), adj_factor=ADJ_FACTOR)
 
 
@@ -48,8 +51,7 @@ def event_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     mapping = F.create_map(*[F.lit(x) for kv in EVENT_VOTE_LABELS.items() for x in kv])
     labelled = ev.select("user_id", mapping[F.col("event_type")].alias("label"))
-    labels = [lb for lb in ("BUY", "SELL", "NEUTRAL", "STRONG_BUY", "STRONG_SELL")
-              if lb in EVENT_VOTE_LABELS.values()]
+    labels = [lb for lb in VOTE_LABELS if lb in EVENT_VOTE_LABELS.values()]
     return votes_from_tall(labelled, "user_id", "label", labels)
 
 
@@ -68,6 +70,19 @@ def supplier_fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_fundamentals(s.select(F.col("s_suppkey").alias("symbol"), doc.alias("info")), "info")
 
 
+def supplier_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document per supplier with all nine keys, built from its columns; to_json leaves out missing ones."""
+    k, bal = F.col("s_suppkey"), F.col("s_acctbal")
+    when = lambda m, x: F.when(k % m != 0, x)
+    doc = F.to_json(F.struct(
+        when(2, bal / 16384).alias("profitMargins"), when(3, F.floor(bal * 8)).alias("netIncomeToCommon"),
+        when(5, (k % 64) / 4).alias("enterpriseToEbitda"), when(7, F.floor(bal)).alias("totalCash"),
+        when(4, F.floor(bal / 2)).alias("totalDebt"), when(6, bal / 8192).alias("ebitdaMargins"),
+        when(9, bal / 4096).alias("operatingMargins"), when(10, (k % 32) / 8).alias("debtToEquity"),
+        when(11, F.col("s_name")).alias("longBusinessSummary")))
+    return load_fundamentals(table(spark, sf_dir, "supplier").select(k.alias("symbol"), doc.alias("info")), "info")
+
+
 def watchlist(spark: SparkSession, sf_dir: str, region: str = WATCH_REGION) -> DataFrame:
     r = table(spark, sf_dir, "region").filter(F.col("r_name") == region)
     n = table(spark, sf_dir, "nation").join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left_semi")

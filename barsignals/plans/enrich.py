@@ -1,9 +1,10 @@
 """The enriched frame: bars plus every indicator, signal and extremum flag.
 
 Plan shape (for stored bars): one hash exchange on ``(symbol, segment)`` for row
-positions, one on ``(symbol, _blk)`` for all windows, which share one sort; the
-cross-block carry only moves the one-row-per-block summary. Neither exchange puts
-more than one block (``block_rows`` plus halo) of a symbol into a window group.
+positions, one on ``(symbol, _blk)`` for all windows, which share one sort. The
+cross-block carry reads that exchange again (it is reused, not run again) and only
+moves its one-row-per-block summary. Neither exchange puts more than one block
+(``block_rows`` plus halo) of a symbol into a window group.
 """
 
 from __future__ import annotations
@@ -19,14 +20,17 @@ from barsignals.operators.indicators import (DEFAULT, Params, apply_stages, col_
 from barsignals.operators.layout import DEFAULT_CARRY_FANOUT, carry_last, lay_out, make_layout, own_rows
 from barsignals.operators.levels import filter_levels, last_levels, local_extrema
 from barsignals.operators.signals import RULES, condition_stages, latch_prices
-from barsignals.schema import BAR_COLUMNS, conform_bars
+from barsignals.schema import BAR_COLUMNS, SchemaError, conform_bars
 
 GROUPS = ("sma", "ema", "stochastic", "rsi", "extrema", "signals")
+RULE_GROUP = {"sma": "sma", "ema": "ema", "stoch": "stochastic"}
 DEFAULT_BLOCK_ROWS = 8192
 
 
-def output_columns(p: Params = DEFAULT, include: Iterable[str] = GROUPS) -> list[str]:
-    inc = _expand(include)
+def output_columns(p: Params = DEFAULT, include: Iterable[str] = GROUPS, rules: Iterable[str] = RULES) -> list[str]:
+    """Columns of the enriched frame after any extra columns of the bars."""
+    rules = _rules(rules) if "signals" in set(include) else ()
+    inc = _expand(include, rules)
     n = col_names(p)
     cols = list(BAR_COLUMNS)
     if "sma" in inc:
@@ -40,40 +44,52 @@ def output_columns(p: Params = DEFAULT, include: Iterable[str] = GROUPS) -> list
     if "extrema" in inc:
         cols += ["extremum"]
     if "signals" in inc:
-        cols += [f"{r}_{side}" for r in RULES for side in ("buy", "sell")]
+        cols += [f"{r}_{side}" for r in rules for side in ("buy", "sell")]
     return cols
 
 
-def _expand(include: Iterable[str]) -> set[str]:
+def _rules(rules: Iterable[str]) -> tuple[str, ...]:
+    wanted = set(rules)
+    if wanted - set(RULES):
+        raise ValueError(f"unknown rules {sorted(wanted - set(RULES))}; use {RULES}")
+    return tuple(r for r in RULES if r in wanted)
+
+
+def _expand(include: Iterable[str], rules: Iterable[str]) -> set[str]:
     inc = set(include)
     unknown = inc - set(GROUPS)
     if unknown:
         raise ValueError(f"unknown indicator groups {sorted(unknown)}; use {GROUPS}")
-    if "signals" in inc:
-        inc |= {"sma", "ema", "stochastic"}
+    if "signals" in inc:  # a rule needs its own indicators only
+        inc |= {RULE_GROUP[r] for r in rules}
     return inc
 
 
 def enrich(bars: DataFrame, params: Params = DEFAULT, include: Iterable[str] = GROUPS,
            block_rows: int = DEFAULT_BLOCK_ROWS, segment: str | None = None,
-           carry_fanout: int = DEFAULT_CARRY_FANOUT) -> DataFrame:
-    """Bars with the requested indicator groups (all by default).
+           carry_fanout: int = DEFAULT_CARRY_FANOUT, rules: Iterable[str] = RULES) -> DataFrame:
+    """Bars with the requested indicator groups (all by default) and signal ``rules``.
 
-    ``bars`` must already be range- and symbol-filtered (rule Q18). ``segment`` is
-    the time unit of the position step; it should hold at most a few million bars of
-    one symbol. By default ``year`` for DATE bars and ``month`` for timestamp bars
-    (use ``day`` for second bars).
+    ``bars`` must already be range- and symbol-filtered (rule Q18); their extra columns
+    stay. No job runs here. ``segment`` is the time unit of the position step; it should
+    hold at most a few million bars of one symbol. By default ``year`` for DATE bars and
+    ``month`` for timestamp bars (use ``day`` for second bars).
     """
-    inc = _expand(include)
+    rules = _rules(rules) if "signals" in set(include) else ()
+    inc = _expand(include, rules)
     bars = conform_bars(bars)
+    out_cols = output_columns(params, inc, rules)
+    extra = [c for c in bars.columns if c not in BAR_COLUMNS]
+    clash = [c for c in extra if c in out_cols or c.startswith("_")]
+    if clash:
+        raise SchemaError(f"bars have columns that the result uses: {clash}")
     if segment is None:
         segment = "year" if dict(bars.dtypes)["bar_date"] == "date" else "month"
-    back = params.bounded_lookback()
-    spans = tuple(sorted({params.ema_fast, params.ema_slow}))
-    if "ema" in inc:
-        back = max(back, params.ema_sub_block())
-    layout = make_layout(back, ahead=1 if "extrema" in inc else 0, block_rows=block_rows, segment=segment)
-    df = lay_out(bars.select(*BAR_COLUMNS), layout)
+    subs = params.ema_sub_blocks() if "ema" in inc else {}
+    layout = make_layout(max([params.bounded_lookback(), *subs.values()]), ahead=1 if "extrema" in inc else 0,
+                         block_rows=block_rows, segment=segment,
+                         sub=max(subs.values(), default=1), fine=min(subs.values(), default=1))
+    df = lay_out(bars, layout)
     groups = []
     if "sma" in inc:
         groups.append(moving_average_stages(params))
@@ -83,38 +99,28 @@ def enrich(bars: DataFrame, params: Params = DEFAULT, include: Iterable[str] = G
         groups.append(rsi_stages(params))
     if "extrema" in inc:
         groups.append(extremum_stages())
-    if "ema" in inc:
-        groups.append(ema_stages(spans, sub_len=layout.back))
+    if subs:
+        groups.append(ema_stages(subs))
     stages = merge_stages(*groups)
-    rules = RULES if "signals" in inc else ()
     if rules:
         stages += condition_stages(params, rules)
-    df = apply_stages(df, stages)
-    df = own_rows(df)
-    carried = ([f"ema{s}_local" for s in spans] if "ema" in inc else []) + [f"_s_{r}" for r in rules]
-    # keep only what the carry and the output read (helpers would be checkpointed too)
-    final_names = {f"ema{s}" for s in spans} | {f"{r}_{side}" for r in rules for side in ("buy", "sell")}
-    keep = [c for c in output_columns(params, inc) if c not in final_names]
-    keep += carried + [f"_p_{r}" for r in rules] + (["_t", "_blk"] if carried else [])
-    df = df.select(*keep)
+    df = own_rows(apply_stages(df, stages))
+    carried = [f"ema{s}_local" for s in subs] + [f"_s_{r}" for r in rules]
     if carried:
         # rows whose value can come from an earlier block: no own EMA value yet, or
         # a condition with no earlier condition in the block (the latch state)
         need = F.lit(False)
-        for c in carried:
-            if c.startswith("ema"):
-                need = need | F.col(c).isNull()
+        for s in subs:
+            need = need | F.col(f"ema{s}_local").isNull()
         for r in rules:
             need = need | (F.col(f"_s_{r}").isNotNull() & F.col(f"_p_{r}").isNull())
-        df = carry_last(df, carried, carry_fanout, needs_carry=need)
-    final = {}
-    if "ema" in inc:
-        final.update({f"ema{s}": F.coalesce(F.col(f"ema{s}_local"), F.col(f"ema{s}_local_carry")) for s in spans})
+        df = carry_last(df, carried, carry_fanout, needs_carry=need, pins=bars.columns)
+    final = {f"ema{s}": F.coalesce(F.col(f"ema{s}_local"), F.col(f"ema{s}_local_carry")) for s in subs}
     for r in rules:
         final.update(latch_prices(r))
     if final:
         df = df.withColumns(final)
-    return df.select(*output_columns(params, inc))
+    return df.select(*BAR_COLUMNS, *extra, *out_cols[len(BAR_COLUMNS):])
 
 
 def indicators(bars: DataFrame, params: Params = DEFAULT, **kw) -> DataFrame:

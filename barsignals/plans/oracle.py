@@ -3,25 +3,58 @@
 Written as plain window SQL over one ``PARTITION BY symbol`` per series (no blocks,
 no halo, closed-form EMA), so it checks the Spark layout, the block EMA and the
 cross-block carry rather than repeating them. The EMA closed form is exact for
-the few hundred bars per symbol of the driver data (it overflows after ~1,700).
+the few hundred bars per symbol of the driver data (it overflows after ~1,700); the
+minute bars of ``ema_long`` use truncated weighted sums instead.
 """
 
 from __future__ import annotations
 
 from barsignals.plans import bindings as B
-from barsignals.plans.queries import ADHOC_SQL, DECIMALS, RECENT_AS_OF
+from barsignals.plans.queries import BAND, DECIMALS, FINE_PRICE, LOOSE, LOOSE_DECIMALS, RECENT_AS_OF
 from barsignals.operators.filters import default_range
-from barsignals.operators.charts import (BOLLINGER_CHART, EMA_CHART, LEVEL_CHART, PRICE_OVERLAY, RSI_CHART,
-                                         SMA_CHART, STOCHASTIC_CHART, VOLUME_CHART)
 from barsignals.operators.indicators import DEFAULT
 from barsignals.functions.scalar import TIE_RTOL
 
 D = DECIMALS
 P = DEFAULT
 
+# Fixed values, stated here once more so that a wrong list elsewhere shows: vote labels,
+# traces of each chart, titles.
+LABELS = ("BUY", "SELL", "NEUTRAL", "STRONG_BUY", "STRONG_SELL")
+CHARTS = {
+    "price_overlay": ["adj_close", "sma5", "sma15", "ema5", "ema15", "bb_upper", "bb_lower",
+                      "sma_buy", "sma_sell", "ema_buy", "ema_sell"],
+    "sma_chart": ["adj_close", "sma5", "sma15", "sma_buy", "sma_sell"],
+    "ema_chart": ["adj_close", "ema5", "ema15", "ema_buy", "ema_sell"],
+    "bollinger_chart": ["adj_close", "bb_upper", "bb_lower"],
+    "level_chart": ["adj_close"],
+    "stochastic_chart": ["stoch_k", "stoch_d", "stoch_buy", "stoch_sell"],
+    "rsi_chart": ["rsi"],
+    "volume_chart": ["volume"],
+}
+TITLES = {
+    "price_overlay": "Price History with buy and sell signals",
+    "sma": "Price History with Buy and Sell Signals (SMA)",
+    "ema": "Price History with Buy and Sell Signals (EMA)",
+    "bollinger": "Price History with Bollinger Bands",
+    "levels": "Price History with Support-Resistance levels",
+}
+ADHOC = """SELECT symbol, count(*) AS n_bars, round(avg(rsi), 4) AS avg_rsi,
+       count(sma_buy) AS sma_buys, count(sma_sell) AS sma_sells,
+       count(stoch_buy) AS stoch_buys, round(max(stoch_k), 4) AS max_k
+FROM enr GROUP BY symbol"""
+
+
+def places(name: str) -> int:
+    return LOOSE_DECIMALS if name.startswith(LOOSE) and not name.endswith(("_buy", "_sell", "_price")) else D
+
 
 def r(expr: str, alias: str) -> str:
-    return f"round({expr}, {D}) AS {alias}"
+    return f"round({expr}, {places(alias)}) AS {alias}"
+
+
+def even2(expr: str) -> str:
+    return f"round_even(({expr}) * 100, 0) / 100"
 
 
 def _dbl(x: float) -> str:
@@ -43,9 +76,9 @@ def lineitem_bars_cte(unit: str) -> str:
   GROUP BY 1, 2)"""
 
 
-def event_bars_cte() -> str:
+def event_bars_cte(unit: str = "hour") -> str:
     return f"""bars AS (
-  SELECT event_type AS symbol, date_trunc('hour', ts) AS bar_date,
+  SELECT event_type AS symbol, date_trunc('{unit}', ts) AS bar_date,
          first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low,
          first(value ORDER BY ts DESC, event_id DESC) AS close,
          first(value ORDER BY ts DESC, event_id DESC) * {_dbl(B.ADJ_FACTOR)} AS adj_close,
@@ -133,9 +166,9 @@ enr AS (
   FROM sig)"""
 
 
-def levels_ctes() -> str:
-    """Extrema, the 3 % filter written as its EXISTS definition, and last levels."""
-    s = _dbl(P.level_sensitivity)
+def levels_ctes(sensitivity: float = P.level_sensitivity) -> str:
+    """Extrema, the band filter written as its EXISTS definition, and last levels."""
+    s = _dbl(sensitivity)
     return f"""ext AS (SELECT symbol, extremum AS kind, bar_date, close AS level FROM enr WHERE extremum IS NOT NULL),
 lev AS (SELECT a.* FROM ext a WHERE EXISTS (
   SELECT 1 FROM ext b WHERE b.symbol = a.symbol AND b.kind = a.kind AND abs(a.level - b.level) > {s} * a.level)),
@@ -145,10 +178,10 @@ last_lev AS (SELECT symbol, kind, arg_max_null(level, bar_date) AS level, max(ba
 
 def votes_cte() -> str:
     cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in B.EVENT_VOTE_LABELS.items())
-    labels = [lb for lb in ("BUY", "SELL", "NEUTRAL", "STRONG_BUY", "STRONG_SELL") if lb in B.EVENT_VOTE_LABELS.values()]
-    counts = ", ".join(f"nullif(count(*) FILTER (WHERE label = '{lb}'), 0) AS {lb}" for lb in labels)
+    labels = [lb for lb in LABELS if lb in B.EVENT_VOTE_LABELS.values()]
+    counts = ", ".join(f"count(*) FILTER (WHERE label = '{lb}') AS {lb}" for lb in labels)
     return f"""ev AS (SELECT CAST(user_id AS VARCHAR) AS symbol, CASE event_type {cases} END AS label FROM events),
-votes AS (SELECT symbol, {counts} FROM ev WHERE label IS NOT NULL GROUP BY symbol)"""
+votes AS (SELECT symbol, {counts} FROM ev GROUP BY symbol)"""
 
 
 def _with(*ctes: str) -> str:
@@ -183,7 +216,7 @@ def _fired(rule: str) -> str:
 
 
 def _chart(columns: list[str], with_levels: bool) -> str:
-    parts = [f"SELECT symbol, bar_date, '{c}' AS series, round({c}, {D}) AS value FROM enr WHERE {c} IS NOT NULL"
+    parts = [f"SELECT symbol, bar_date, '{c}' AS series, round({c}, {places(c)}) AS value FROM enr WHERE {c} IS NOT NULL"
              for c in columns]
     if with_levels:
         for edge in ("min", "max"):
@@ -196,8 +229,8 @@ def _chart(columns: list[str], with_levels: bool) -> str:
 
 def _profile() -> str:
     last = ["max(bar_date) AS last_date"]
-    last += [f"round(round_even(arg_max_null({c}, bar_date), 2), {D}) AS {c}" for c in ("close", "high", "low")]
-    last += [f"round(arg_max_null({c}, bar_date), {D}) AS {c}"
+    last += [f"round({even2(f'arg_max_null({c}, bar_date)')}, {D}) AS {c}" for c in ("close", "high", "low")]
+    last += [f"round(arg_max_null({c}, bar_date), {places(c)}) AS {c}"
              for c in ("sma5", "sma15", "ema5", "ema15", "bb_upper", "bb_lower", "stoch_k", "stoch_d", "rsi")]
     for rule in ("sma", "ema", "stoch"):
         fired = f"CASE WHEN {rule}_buy IS NOT NULL OR {rule}_sell IS NOT NULL THEN bar_date END"
@@ -211,7 +244,7 @@ def _profile() -> str:
     CAST(NULL AS BIGINT) AS totalDebt, CAST(NULL AS DOUBLE) AS ebitdaMargins,
     CAST(NULL AS DOUBLE) AS operatingMargins, CAST(NULL AS DOUBLE) AS debtToEquity,
     s_name AS longBusinessSummary FROM supplier)"""
-    labels = [lb for lb in ("BUY", "SELL", "NEUTRAL", "STRONG_BUY", "STRONG_SELL") if lb in B.EVENT_VOTE_LABELS.values()]
+    labels = [lb for lb in LABELS if lb in B.EVENT_VOTE_LABELS.values()]
     return _with(_month(), enriched_ctes(), levels_ctes(), votes_cte(), fund,
                  f"lv AS (SELECT symbol, {', '.join(last)} FROM enr GROUP BY symbol)",
                  """lw AS (SELECT symbol, max(CASE WHEN kind = 'support' THEN level END) AS last_support,
@@ -240,6 +273,44 @@ def _recent() -> str:
     return _with(lineitem_bars_cte("day"), enriched_ctes(src)) + _cols("close", "sma5", "rsi")
 
 
+def _ema_long() -> str:
+    """Each value as weighted sums over the rows that still count (weights below 1e-18 left out)."""
+    parts, joins = [], []
+    for span, rows in ((5, 110), (100, 2200)):
+        ratio = _dbl(1.0 - 2.0 / (span + 1.0))
+        parts.append(f"""e{span} AS (SELECT a.symbol, a.t, sum(b.close * power({ratio}, a.t - b.t)) / sum(power({ratio}, a.t - b.t)) AS ema{span}
+  FROM pos a JOIN pos b ON a.symbol = b.symbol AND b.t BETWEEN a.t - {rows} AND a.t WHERE b.close IS NOT NULL GROUP BY 1, 2)""")
+        joins.append(f"LEFT JOIN e{span} USING (symbol, t)")
+    pos = "pos AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_date) - 1 AS t FROM bars)"
+    return _with(event_bars_cte("minute"), pos, *parts) + \
+        f"SELECT symbol, bar_date, {r('ema5', 'ema5')}, {r('ema100', 'ema100')} FROM pos {' '.join(joins)}"
+
+
+def _fundamentals_full() -> str:
+    keys = {"profitMargins": (2, "s_acctbal / 16384"), "netIncomeToCommon": (3, "CAST(floor(s_acctbal * 8) AS BIGINT)"),
+            "enterpriseToEbitda": (5, "(s_suppkey % 64) / 4.0::DOUBLE"), "totalCash": (7, "CAST(floor(s_acctbal) AS BIGINT)"),
+            "totalDebt": (4, "CAST(floor(s_acctbal / 2) AS BIGINT)"), "ebitdaMargins": (6, "s_acctbal / 8192"),
+            "operatingMargins": (9, "s_acctbal / 4096"), "debtToEquity": (10, "(s_suppkey % 32) / 8.0::DOUBLE"),
+            "longBusinessSummary": (11, "s_name")}
+    cols = []
+    for name, (m, expr) in keys.items():
+        value = f"CASE WHEN s_suppkey % {m} <> 0 THEN {expr} END"
+        exact = "BIGINT" in expr or name == "longBusinessSummary"
+        cols.append(f"{value} AS {name}" if exact else f"round({value}, {D}) AS {name}")
+    return f"SELECT s_suppkey AS symbol, {', '.join(cols)} FROM supplier"
+
+
+def _roundtrip(watch: str) -> str:
+    src = (f"(SELECT * FROM bars WHERE bar_date >= DATE '{B.RANGE_START}' AND bar_date < DATE '{B.RANGE_END}' "
+           f"AND symbol IN ({watch}))")
+    return _with(lineitem_bars_cte("day"), enriched_ctes(src)) + _cols("close", "volume", "sma15", "rsi")
+
+
+def _snapshot(scale: float = 1.0) -> str:
+    cols = ", ".join(f"round({even2(f'arg_max_null({c}, bar_date) * {_dbl(scale)}')}, {D}) AS {c}" for c in ("close", "high", "low"))
+    return _with(_month()) + f"SELECT symbol, max(bar_date) AS bar_date, {cols} FROM bars GROUP BY symbol"
+
+
 def oracle_sql() -> dict[str, str]:
     month_enr = _with(_month(), enriched_ctes())
     month_lev = _with(_month(), enriched_ctes(), levels_ctes())
@@ -263,30 +334,33 @@ def oracle_sql() -> dict[str, str]:
         "extrema": month_lev + f"SELECT symbol, kind, bar_date, round(level, {D}) AS level FROM ext",
         "levels": month_lev + f"SELECT symbol, kind, bar_date, round(level, {D}) AS level FROM lev",
         "last_levels": month_lev + f"SELECT symbol, kind, round(level, {D}) AS level, bar_date FROM last_lev",
-        "latest_snapshot": _with(_month()) + f"""SELECT symbol, max(bar_date) AS bar_date,
-            round(round_even(arg_max_null(close, bar_date), 2), {D}) AS close,
-            round(round_even(arg_max_null(high, bar_date), 2), {D}) AS high,
-            round(round_even(arg_max_null(low, bar_date), 2), {D}) AS low FROM bars GROUP BY symbol""",
+        "latest_snapshot": _snapshot(),
+        "snapshot_rounded": _snapshot(FINE_PRICE),
         "vote_share": _with(votes_cte()) + f"""SELECT symbol, label, n,
             round(CAST(n AS DOUBLE) / nullif(sum(n) OVER (PARTITION BY symbol), 0), {D}) AS share FROM (
             {' UNION ALL '.join(f"SELECT symbol, '{lb}' AS label, coalesce({lb}, 0) AS n FROM votes"
-                                for lb in ('BUY', 'SELL', 'NEUTRAL', 'STRONG_BUY', 'STRONG_SELL')
+                                for lb in LABELS
                                 if lb in B.EVENT_VOTE_LABELS.values())})""",
         "fundamentals": _fundamentals(),
         "symbol_base": """SELECT s_suppkey, CAST(s_suppkey AS VARCHAR) || '.NS' AS ticker,
             split_part(CAST(s_suppkey AS VARCHAR) || '.NS', '.', 1) AS base,
             split_part(s_name || '.BO.X', '.', 1) AS name_base FROM supplier""",
-        "price_overlay": _chart(PRICE_OVERLAY, True),
-        "sma_chart": _chart(SMA_CHART, True),
-        "ema_chart": _chart(EMA_CHART, True),
-        "bollinger_chart": _chart(BOLLINGER_CHART, True),
-        "level_chart": _chart(LEVEL_CHART, True),
-        "stochastic_chart": _chart(STOCHASTIC_CHART, False),
-        "rsi_chart": _chart(RSI_CHART, False),
-        "volume_chart": _chart(VOLUME_CHART, False),
+        **{name: _chart(cols, name in ("price_overlay", "sma_chart", "ema_chart", "bollinger_chart", "level_chart"))
+           for name, cols in CHARTS.items()},
+        "chart_titles": _with(_month()) + " UNION ALL ".join(
+            f"SELECT DISTINCT symbol, '{k}' AS chart, CAST(symbol AS VARCHAR) || ' {t}' AS title FROM bars" for k, t in TITLES.items()),
         "symbol_profile": _profile(),
-        "adhoc_sql": _with(_month(), enriched_ctes(), "bars_enriched AS (SELECT * FROM enr)") + ADHOC_SQL,
+        "adhoc_sql": month_enr + ADHOC,
         "enriched": month_enr + _enriched_select(),
         "enriched_daily": _with(lineitem_bars_cte("day"), enriched_ctes()) + _enriched_select(),
         "enriched_events": _with(event_bars_cte(), enriched_ctes()) + _enriched_select(),
+        "enriched_blocks": _with(lineitem_bars_cte("day"), enriched_ctes()) + _enriched_select(),
+        "signals_daily": _with(lineitem_bars_cte("day"), enriched_ctes()) + _cols(*SIGNAL_COLS),
+        "levels_daily": _with(lineitem_bars_cte("day"), enriched_ctes(), levels_ctes()) +
+        f"SELECT symbol, kind, bar_date, round(level, {D}) AS level FROM lev",
+        "levels_band": _with(_month(), enriched_ctes(), levels_ctes(BAND.level_sensitivity)) +
+        f"SELECT symbol, kind, bar_date, round(level, {D}) AS level FROM lev",
+        "ema_long": _ema_long(),
+        "fundamentals_full": _fundamentals_full(),
+        "load_roundtrip": _roundtrip(watch),
     }

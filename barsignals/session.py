@@ -18,8 +18,6 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # checkpoint files of frames that are no longer referenced are removed
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -37,11 +35,4 @@ def build_session(master: str | None = None, app: str = "barsignals",
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder (see ``barsignals.checkpoint``)."""
-    from barsignals.checkpoint import checkpoint_dir
-    return checkpoint_dir(spark)

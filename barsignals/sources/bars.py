@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barsignals.functions.scalar import nan_to_null
 from barsignals.operators.filters import for_symbols, in_range
 from barsignals.schema import BARS_SCHEMA, SchemaError, conform_bars, duplicate_keys
 
@@ -66,43 +68,76 @@ def bar_key(ts: Column, unit: str, ntz: bool = True) -> Column:
     raise ValueError(f"unknown bar unit {unit!r}; use one of {DATE_UNITS + TIME_UNITS}")
 
 
-def spread_small_input(df: DataFrame) -> DataFrame:
-    """Round-robin a file scan that yields fewer partitions than the cluster has cores.
+def next_edge(end: dt.date | dt.datetime, unit: str) -> dt.date | dt.datetime:
+    """Start of the first bar at or after ``end``: bars that start before ``end`` have no tick from there on."""
+    unit = unit.lower()
+    if unit in TIME_UNITS:
+        t = end if isinstance(end, dt.datetime) else dt.datetime(end.year, end.month, end.day)
+        step = dt.timedelta(**{unit + "s": 1})
+        low = t.replace(microsecond=0, **({"second": 0} if unit != "second" else {}),
+                        **({"minute": 0} if unit == "hour" else {}))
+        return low if low == t else low + step
+    day = end.date() if isinstance(end, dt.datetime) else end
+    if isinstance(end, dt.datetime) and end.time() != dt.time():
+        day += dt.timedelta(days=1)
+    if unit == "day":
+        return day
+    if unit == "week":
+        return day + dt.timedelta(days=-day.weekday() % 7)
+    months = {"month": 1, "quarter": 3, "year": 12}[unit]
+    at = day.year * 12 + day.month - 1 + (day.day > 1)
+    at = -(-at // months) * months
+    return dt.date(at // 12, at % 12 + 1, 1)
 
-    A small file with one row group is read by one task, and the map-side partial
-    aggregation then runs single-threaded. Large inputs have many more splits than
-    cores and pass through unchanged, so no shuffle is added at scale. Use it on a
-    plain table scan: its planned partition count comes from file metadata (no job).
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+
+def _as_time(value) -> dt.date | dt.datetime:
+    if isinstance(value, str):
+        return dt.date.fromisoformat(value) if len(value) == 10 else dt.datetime.fromisoformat(value)
+    return value
+
+
+def trades(ticks: DataFrame, ts: str, price: str) -> DataFrame:
+    """Ticks with a time and a price; a NaN price is none."""
+    return ticks.filter(nan_to_null(price).isNotNull() & F.col(ts).isNotNull())
+
+
+def bar_aggregates(ts: str, price: str, volume: str | None, tiebreak: Sequence[str]) -> list[Column]:
+    """open, high, low, close, volume of a group of ticks, in ``(ts, *tiebreak)`` order."""
+    order = F.struct(F.col(ts), *[F.col(c) for c in tiebreak])
+    p = F.col(price).cast("double")
+    vol = F.sum(nan_to_null(volume)) if volume else F.count(F.lit(1)).cast("double")
+    return [F.min_by(p, order).alias("open"), F.max(p).alias("high"), F.min(p).alias("low"),
+            F.max_by(p, order).alias("close"), vol.alias("volume")]
 
 
 def bars_from_ticks(ticks: DataFrame, symbol: str, ts: str, price: str, volume: str | None = None,
                     unit: str = "day", tiebreak: Sequence[str] = (),
-                    adj_factor: float | None = None) -> DataFrame:
+                    adj_factor: float | None = None, start=None, end=None, symbols=None) -> DataFrame:
     """OHLCV bars from ticks.
 
     ``open``/``close`` are the first/last price in ``(ts, *tiebreak)`` order, which the
     caller makes unique within a symbol. One hash exchange on ``(symbol, bar)``;
     the map side pre-aggregates, so a hot symbol costs no more than its bar count.
     ``adj_close`` is ``close * adj_factor`` (or ``close``). Ticks without a price
-    are not trades and are skipped; missing volume counts ticks.
+    (NULL or NaN) are not trades and are skipped; missing volume counts ticks.
+
+    ``start <= bar_date < end`` and ``symbols`` (P1, P3) select bars. They reach the
+    ticks: the time range, widened to whole bars, is a predicate on the raw tick time,
+    which the scan prunes by, and the symbols are selected before the aggregation.
     """
-    order = F.struct(F.col(ts), *[F.col(c) for c in tiebreak])
-    p = F.col(price).cast("double")
-    vol = F.sum(F.col(volume).cast("double")) if volume else F.count(F.lit(1)).cast("double")
-    ticks = ticks.filter(F.col(price).isNotNull() & F.col(ts).isNotNull())
-    bars = (ticks
-            .groupBy(F.col(symbol).alias("symbol"),
-                     bar_key(F.col(ts), unit, dict(ticks.dtypes)[ts] != "timestamp").alias("bar_date"))
-            .agg(F.min_by(p, order).alias("open"),
-                 F.max(p).alias("high"),
-                 F.min(p).alias("low"),
-                 F.max_by(p, order).alias("close"),
-                 vol.alias("volume")))
+    ticks = trades(ticks, ts, price)
+    date_only = dict(ticks.dtypes)[ts] == "date"
+    if start is not None:
+        ticks = ticks.filter(F.col(ts) >= F.lit(_as_time(start)))
+    if end is not None:
+        ticks = ticks.filter(F.col(ts) < F.lit(next_edge(_as_time(end), unit)))
+    if symbols is not None:
+        ticks = for_symbols(ticks, symbols, symbol)
+    key = bar_key(F.col(ts), unit, date_only or dict(ticks.dtypes)[ts] != "timestamp")
+    bars = ticks.groupBy(F.col(symbol).alias("symbol"), key.alias("bar_date")).agg(
+        *bar_aggregates(ts, price, volume, tiebreak))
+    if start is not None or end is not None:
+        bars = in_range(bars, start, end)
     adj = F.col("close") * F.lit(float(adj_factor)) if adj_factor is not None else F.col("close")
     return bars.select("symbol", "bar_date", "open", "high", "low", "close",
                        adj.alias("adj_close"), "volume")

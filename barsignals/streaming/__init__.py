@@ -1,5 +1,5 @@
 """Streaming entry points. The reference itself has no streaming; this is S2 on a tick stream."""
 
-from barsignals.streaming.bars import run_to_memory, stream_bars
+from barsignals.streaming.bars import stream_bars
 
-__all__ = ["run_to_memory", "stream_bars"]
+__all__ = ["stream_bars"]

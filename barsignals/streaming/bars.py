@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barsignals.sources.bars import bar_aggregates, trades
+
 
 def stream_bars(ticks: DataFrame, symbol: str, ts: str, price: str, volume: str | None = None,
                 bar: str = "1 hour", watermark: str = "10 minutes", tiebreak: Sequence[str] = (),
@@ -24,23 +26,13 @@ def stream_bars(ticks: DataFrame, symbol: str, ts: str, price: str, volume: str
     Spark, as in any watermarked aggregation.
     """
     ntz = dict(ticks.dtypes)[ts] == "timestamp_ntz"
-    order = F.struct(F.col(ts), *[F.col(c) for c in tiebreak])
-    p = F.col(price).cast("double")
-    vol = F.sum(F.col(volume).cast("double")) if volume else F.count(F.lit(1)).cast("double")
     # event time must be TIMESTAMP; wall-clock (NTZ) input is read in the session zone
-    bars = (ticks.filter(F.col(price).isNotNull() & F.col(ts).isNotNull())
+    bars = (trades(ticks, ts, price)
             .withColumn("_event_time", F.col(ts).cast("timestamp"))
             .withWatermark("_event_time", watermark)
             .groupBy(F.col(symbol).alias("symbol"), F.window(F.col("_event_time"), bar).alias("_w"))
-            .agg(F.min_by(p, order).alias("open"), F.max(p).alias("high"), F.min(p).alias("low"),
-                 F.max_by(p, order).alias("close"), vol.alias("volume")))
+            .agg(*bar_aggregates(ts, price, volume, tiebreak)))
     adj = F.col("close") * F.lit(float(adj_factor)) if adj_factor is not None else F.col("close")
     start = F.col("_w.start").cast("timestamp_ntz") if ntz else F.col("_w.start")
     return bars.select("symbol", start.alias("bar_date"), "open", "high", "low", "close",
                        adj.alias("adj_close"), "volume")
-
-
-def run_to_memory(bars: DataFrame, name: str, checkpoint: str):
-    """Start an append-mode query into the memory sink (tests, notebooks)."""
-    return (bars.writeStream.outputMode("append").format("memory").queryName(name)
-            .option("checkpointLocation", checkpoint).start())

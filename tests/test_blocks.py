@@ -114,3 +114,28 @@ def test_ema_across_a_block_with_no_values(spark):
     got = (enrich(spark.createDataFrame(rows, BARS_DDL), include=("ema",), block_rows=345, carry_fanout=2)
            .orderBy("bar_date").toPandas()["ema15"].to_numpy(dtype=float))
     assert np.max(np.abs(got - want) / np.abs(want)) < 1e-12
+
+
+def _bars_of(spark, x, symbol="E"):
+    start = dt.date(1990, 1, 1)
+    return spark.createDataFrame([(symbol, start + dt.timedelta(days=i), *([None if np.isnan(v) else float(v)] * 5), 1.0)
+                                  for i, v in enumerate(x)], BARS_DDL)
+
+
+@pytest.mark.parametrize("params", [{"ema_fast": 5, "ema_slow": 100}, {"ema_fast": 10, "ema_slow": 200},
+                                    {"sma_slow": 2000}, {"ema_fast": 12, "ema_slow": 26}])
+def test_ema_of_unlike_spans_matches_pandas(spark, params):
+    from barsignals import Params
+    n = 5200
+    x = np.cumsum(np.random.default_rng(3).normal(0, 1, n)) + 500.0
+    x[1500:1520] = np.nan
+    x[2500:4800:7] = np.nan
+    p = Params(**params)
+    got = enrich(_bars_of(spark, x), p, include=("ema", "sma"), block_rows=1024, carry_fanout=2).orderBy("bar_date").toPandas()
+    for span in (p.ema_fast, p.ema_slow):
+        want = pd.Series(x).ewm(span=span).mean().to_numpy()
+        g = got[f"ema{span}"].to_numpy(dtype=float)
+        assert np.isfinite(g).all() and np.max(np.abs(g - want) / np.abs(want)) < 1e-12, span
+    mean = pd.Series(x).rolling(p.sma_slow).mean().to_numpy()
+    g = got[f"sma{p.sma_slow}"].to_numpy(dtype=float)
+    assert np.array_equal(np.isnan(g), np.isnan(mean)) and np.allclose(g[~np.isnan(mean)], mean[~np.isnan(mean)], rtol=1e-9)

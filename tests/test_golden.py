@@ -116,17 +116,19 @@ def test_levels_within_band_or_single_vanish(spark, closes):
     assert "support" not in kinds
 
 
-def test_rounding_half_even(spark):
-    vals = [0.125, 0.375, 1.005, 2.675]
-    bars = spark.createDataFrame([(f"S{i}", dt.date(2020, 1, 1), v, v, v, v, v, 1.0) for i, v in enumerate(vals)],
+def test_rounding_as_numpy(spark):
+    import numpy as np
+    vals = [0.125, 0.375, 1.005, 2.675, 1.015, 10.075, *(np.random.default_rng(1).integers(0, 10**8, 500) / 1000).tolist()]
+    bars = spark.createDataFrame([(f"S{i}", dt.date(2020, 1, 1), *([v] * 5), 1.0) for i, v in enumerate(vals)],
                                  BARS_DDL)
     got = {r["symbol"]: r["close"] for r in latest_snapshot(bars).collect()}
-    assert [got[f"S{i}"] for i in range(4)] == [0.12, 0.38, 1.00, 2.68]
+    assert [got[f"S{i}"] for i in range(len(vals))] == np.round(vals, 2).tolist()
+    assert got["S4"] == 1.01 and got["S5"] == 10.07
 
 
 def test_symbol_base(spark):
-    df = spark.createDataFrame([("TATASTEEL.NS",), ("A.B.C",), ("AAA",)], "s string")
-    assert [r[0] for r in df.select(symbol_base("s")).collect()] == ["TATASTEEL", "A", "AAA"]
+    df = spark.createDataFrame([("ACME.NS",), ("A.B.C",), ("AAA",)], "s string")
+    assert [r[0] for r in df.select(symbol_base("s")).collect()] == ["ACME", "A", "AAA"]
 
 
 def test_second_symbol_does_not_change_first(spark):

@@ -49,6 +49,11 @@ def test_load_bars_csv_parquet_roundtrip(spark, tmp_path):
     write_enriched(enrich(bars), out)
     again = load_bars(spark, out, symbols=["AAA.NS"])
     assert again.count() == 40 and "bar_year" in again.columns
+    with pytest.raises(Exception, match="exists"):
+        write_enriched(enrich(bars), out)
+    other = bars.withColumn("bar_date", F.add_months("bar_date", 24))
+    write_enriched(other, out, mode="overwrite")  # replaces the years it holds, not the others
+    assert load_bars(spark, out).count() == 80
 
 
 def test_filters(spark, tmp_path):
@@ -151,7 +156,7 @@ def test_load_votes_and_unique_check(spark, tmp_path):
     from barsignals import load_votes
     from barsignals.schema import SchemaError
     path = str(tmp_path / "votes")
-    spark.createDataFrame([("TATA", 7, 3, None)], "symbol string, BUY long, SELL long, OTHER long").write.parquet(path)
+    spark.createDataFrame([("ACME", 7, 3, None)], "symbol string, BUY long, SELL long, OTHER long").write.parquet(path)
     votes = load_votes(spark, path)
     assert votes.columns == ["symbol", "BUY", "SELL"]
     assert {r["label"]: r["share"] for r in vote_share(votes).collect()} == {"BUY": 0.7, "SELL": 0.3}
@@ -160,7 +165,68 @@ def test_load_votes_and_unique_check(spark, tmp_path):
     bars.write.parquet(dup)
     with pytest.raises(SchemaError):
         load_bars(spark, dup, check_unique=True)
-    assert load_bars(spark, dup).count() == 41
+    with pytest.raises(Exception, match="duplicate"):  # without a check on load, rows without a position raise
+        enrich(load_bars(spark, dup), include=("sma",)).collect()
+    for column in ("symbol", "bar_date"):
+        keyless = spark.createDataFrame(golden_bars(), BARS_DDL).withColumn(
+            column, F.when(F.col("close") > 100, F.col(column)))
+        with pytest.raises(Exception, match="no symbol or bar_date"):
+            enrich(keyless, include=("sma",)).collect()
+
+
+def test_extra_columns_stay(spark):
+    from barsignals.schema import SchemaError
+    bars = spark.createDataFrame(golden_bars(), BARS_DDL).withColumn("note", F.concat("symbol", F.lit("!")))
+    for include in (("sma",), ("signals",), ("extrema", "rsi")):
+        out = enrich(bars, include=include)
+        assert out.columns[:9][-1] == "note" and out.filter("note = 'AAA.NS!'").count() == 40
+    with pytest.raises(SchemaError):
+        enrich(bars.withColumnRenamed("note", "rsi"))
+
+
+def test_rules_compute_only_their_own_columns(spark):
+    bars = spark.createDataFrame(golden_bars(), BARS_DDL)
+    whole = {r["bar_date"]: r for r in enrich(bars).collect()}
+    for rule, columns in (("sma", ["sma5", "sma15"]), ("ema", ["ema5", "ema15"]), ("stoch", ["stoch_k", "stoch_d"])):
+        out = enrich(bars, include=("signals",), rules=(rule,))
+        assert [c for c in out.columns if c.endswith(("_buy", "_sell"))] == [f"{rule}_buy", f"{rule}_sell"]
+        assert set(columns) <= set(out.columns)
+        for r in out.collect():
+            assert r[f"{rule}_buy"] == whole[r["bar_date"]][f"{rule}_buy"]
+            assert r[f"{rule}_sell"] == whole[r["bar_date"]][f"{rule}_sell"]
+    assert not [c for c in enrich(bars, include=("signals",), rules=("sma",)).columns if c.startswith("ema")]
+
+
+def test_bar_edges(spark):
+    from barsignals.sources.bars import bar_key, next_edge
+    rnd = random.Random(9)
+    times = [dt.datetime(2023, 12, 25) + dt.timedelta(seconds=rnd.randrange(0, 90 * 86400)) for _ in range(60)]
+    times += [dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1, 5), dt.datetime(2024, 4, 1)]
+    df = spark.createDataFrame([(t,) for t in times], "ts timestamp_ntz")
+    for unit in ("year", "quarter", "month", "week", "day", "hour", "minute"):
+        keys = [r[0] for r in df.select(bar_key(F.col("ts"), unit)).collect()]
+        for end in (dt.date(2024, 1, 1), dt.date(2024, 2, 29), dt.datetime(2024, 2, 1, 5, 0, 1), dt.datetime(2024, 1, 8)):
+            edge = next_edge(end, unit)
+            as_time = lambda v: v if isinstance(v, dt.datetime) else dt.datetime(v.year, v.month, v.day)
+            assert [as_time(k) < as_time(end) for k in keys] == [t < as_time(edge) for t in times], (unit, end)
+
+
+def test_nan_ticks_are_no_trades(spark):
+    ts = dt.datetime(2024, 1, 1, 9)
+    ticks = spark.createDataFrame([("A", ts, 10.0), ("A", ts + dt.timedelta(minutes=1), float("nan")),
+                                   ("A", ts + dt.timedelta(minutes=2), 11.0)], "s string, ts timestamp_ntz, px double")
+    b = bars_from_ticks(ticks, "s", "ts", "px").collect()[0]
+    assert (b["open"], b["high"], b["low"], b["close"], b["volume"]) == (10.0, 11.0, 10.0, 11.0, 2.0)
+
+
+def test_charts_follow_the_parameters(spark):
+    from barsignals import Params, chart, chart_titles
+    bars = spark.createDataFrame(golden_bars(), BARS_DDL)
+    p = Params(sma_fast=3, sma_slow=7, bb_n=7)
+    assert {"sma3", "sma7"} <= {r["series"] for r in chart(bars, "sma", p).select("series").distinct().collect()}
+    profile = symbol_profile(enrich(bars, p), params=p)
+    assert {"sma3", "sma7", "ema5"} <= set(profile.columns)
+    assert chart_titles(bars).count() == 5
 
 
 def test_load_bars_json(spark, tmp_path):

@@ -6,10 +6,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from barsignals.plans.oracle import oracle_sql
+from barsignals.plans.queries import QUERIES
 from conftest import SF_SMALL
 
 sys_tables = ["region", "nation", "supplier", "lineitem", "events"]
-ORACLE = entry.oracle_sql()
+ORACLE = oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -32,12 +34,12 @@ def _bag(cols, rows):
 
 
 def test_every_query_has_oracle():
-    assert set(entry.queries()) == set(ORACLE)
+    assert set(QUERIES) == set(oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, duck, name):
-    df = entry.queries()[name](spark, SF_SMALL)
+    df = QUERIES[name](spark, SF_SMALL)
     got = _bag(df.columns, [tuple(r) for r in df.collect()])
     res = duck.execute(ORACLE[name])
     want = _bag([d[0] for d in res.description], res.fetchall())

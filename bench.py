@@ -5,8 +5,7 @@ collected) and is timed; prints one JSON line. Before timing, the flagship query
 runs once on the smallest data set to warm the JVM (class loading, JIT, codegen);
 that run is not timed and is named in the output. Each query runs $BENCH_RUNS times
 (default 2) and the best time is reported: the shared machine is noisy, and no run
-can reuse another's work (caches are released, checkpoints and shuffles belong to
-their own query).
+can reuse another's work (staged tables and shuffles belong to their own query).
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -25,23 +25,13 @@ HEADLINE = ["bars_month", "bars_day", "enriched", "enriched_daily", "signals_dai
             "last_levels", "latest_snapshot", "symbol_profile", "price_overlay", "vote_share", "enriched_events"]
 
 
-def _extra():
-    from barsignals.plans import bindings as B
-    from barsignals.plans.enrich import levels, signals
-    from barsignals.plans.queries import rounded, stored
-    return {
-        "signals_daily": lambda spark, sf: rounded(signals(stored(B.lineitem_bars(spark, sf, "day")))),
-        "levels_daily": lambda spark, sf: rounded(levels(stored(B.lineitem_bars(spark, sf, "day")))),
-    }
-
-
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     spark = build_session(f"local[{cpus}]", app="barsignals-bench", shuffle_partitions=max(8, 2 * cpus),
-                          extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
+                          extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g"),
+                                 "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="bench-")})
     table = dict(QUERIES)
-    table.update(_extra())
     warm_dir = os.environ.get("BENCH_WARMUP_DIR", os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001"))
     if not os.path.isdir(warm_dir):
         warm_dir = sf_dir

@@ -6,7 +6,8 @@ which neither class has seen often cancel in the comparison. A text's evidence i
 log-likelihood ratio per character, over the whole text and over its most toxic
 stretches (a short insult in a long text would vanish in the plain mean). A logistic
 curve, fitted on labelled rows that the counts have not seen and weighted back to the
-labels' frequencies, turns the evidence into the score.
+labels' frequencies, turns the evidence into the score. The final counts then take in the
+held-back rows as well.
 
 Counts are summed in Spark over a bounded, hash-chosen sample of labelled rows; only
 the n-grams of that sample are sent to the tasks.
@@ -177,18 +178,21 @@ def _counts(p: ToxicityParams):
     return run
 
 
+def _count(sample: DataFrame, p: ToxicityParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted n-grams of a bounded sample with their counts in toxic and ordinary texts."""
+    got = (sample.select("text", "label").mapInArrow(_counts(p), "gram long, toxic long, ordinary long")
+           .groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).orderBy("gram").toArrow())
+    return tuple(got.column(c).to_numpy().astype(t) for c, t in (("gram", np.uint64), ("toxic", np.float64), ("ordinary", np.float64)))
+
+
 def train(docs: DataFrame, labels: DataFrame, eligible, p: ToxicityParams = ToxicityParams()) -> ToxicityModel | None:
     """Fit both models on a bounded sample of the labelled rows that are ``eligible`` (a column over doc_id)."""
     per_batch(docs.sparkSession, 2000)
     sample = labelled_sample(docs, labels, "toxic", eligible, {1: p.toxic_rows, 0: p.ordinary_rows}, p.seed, "toxicity")
     held = F.pmod(F.col("order"), F.lit(4)) == 0
-    got = (sample.filter(~held).select("text", "label").mapInArrow(_counts(p), "gram long, toxic long, ordinary long")
-           .groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toArrow())
-    if got.num_rows == 0:
+    keys, t, o = _count(sample.filter(~held), p)
+    if not len(keys):
         return None
-    keys, t, o = (got.column(c).to_numpy() for c in ("gram", "toxic", "ordinary"))
-    by = np.argsort(keys)
-    keys, t, o = keys[by].astype(np.uint64), t[by].astype(np.float64), o[by].astype(np.float64)
     windows = p.windows
 
     def features(batches):
@@ -203,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, eligible, p: ToxicityParams = Toxi
         return None
     weight = rows["weight"].to_numpy()
     curve = logistic(np.stack(rows["x"].to_numpy()), rows["label"].to_numpy(), weight * len(weight) / weight.sum(), 0.05)
-    return ToxicityModel(keys, t, o, curve, p)
+    return ToxicityModel(*_count(sample, p), curve, p)
 
 
 def score(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:

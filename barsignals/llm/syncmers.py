@@ -64,6 +64,18 @@ def likeness(a: str, b: str) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(shared / (union - shared))
 
 
+def aligned(rows: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """Positional match of two anchor columns: per ``key`` (unique) the commonest shift and the anchors that agree.
+
+    A hash that a text repeats stands at its first position, so a text gives each hash
+    once. Rows that share no anchor are left out.
+    """
+    first = lambda c, pos: rows.select(key, F.explode(c).alias("x")).groupBy(key, F.col("x.hash").alias("hash")).agg(F.min("x.pos").alias(pos))
+    both = first(a, "p").join(first(b, "q"), [key, "hash"])
+    shifts = both.groupBy(key, (F.col("q") - F.col("p")).alias("shift")).agg(F.count("*").alias("n"))
+    return shifts.groupBy(key).agg(F.max_by("shift", "n").alias("shift"), F.max("n").alias("agree"))
+
+
 def _buckets(docs: DataFrame, p: SyncmerParams) -> Column:
     """Bucket of an id by quantiles of all ids (two levels of splitters); NULL ids are in bucket -1."""
     total = docs.count()

@@ -26,12 +26,20 @@ def rows(df, *columns):
     return Counter(tuple(r[c] for c in columns) for r in df.collect())
 
 
-def test_secrets(spark, awkward):
-    folder, docs = awkward
-    kinds = (("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),)
-    assert kinds  # the full statement runs over made-up texts in test_methods
+def test_secrets(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    kinds = (("assign", r"""(?:(?a:(?i:password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
+             ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24))
+    want = Counter()
+    for doc, text in docs:
+        spans = [(m.start(), order, name, m.end()) for order, (name, pattern, group, least) in enumerate(kinds)
+                 for m in re.finditer(pattern, text or "") if len(m[group]) >= least]
+        n = Counter(s[2] for s in spans)
+        want[(doc, n["assign"], n["access"], n["hex"], sha(",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(spans))))] += 1
     out = QUERIES["op3_secret_scans"](spark, folder)
-    assert rows(out, "doc_id", "n_hex") == Counter((d[0], 0) for d in docs)
+    assert rows(out, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == want
+    assert sum(k[1] + k[3] for k in want) > 0
 
 
 def repeated_bytes(texts, length):
@@ -251,3 +259,13 @@ def test_syncmers_are_chosen_by_their_own_words(spark):
     assert [x for x in a[2] if x[0] >= 2] == [(q - 18, h) for q, h in a[0] if 20 <= q <= 85]
     hs = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in words]
     assert len(hs) == 200 and 0.3 < len(a[0]) / 196 < 0.7
+
+
+def test_aligned_anchors_give_the_shift(spark):
+    from barsignals.llm.syncmers import aligned, with_anchors
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdef"), 5)) for _ in range(120)]
+    rows = [(1, " ".join(words), "in front " + " ".join(words)), (2, " ".join(words[40:]), " ".join(words)), (3, "a b c", "d e f")]
+    df = spark.createDataFrame(rows, "id int, x string, y string")
+    got = {r["id"]: r for r in aligned(with_anchors(with_anchors(df, "x", "a"), "y", "b"), "id", "a", "b").collect()}
+    assert set(got) == {1, 2} and got[1]["shift"] == 2 and got[2]["shift"] == 40 and got[1]["agree"] > 30

@@ -16,6 +16,8 @@ import sentencepiece
 
 MARK = "▁"  # written for a space in a vocabulary file
 UNK_PENALTY = 10.0
+WINDOW = 1 << 18  # bytes of a long stretch whose edges are held at once
+LONGEST = 1 << 10  # bytes that a piece may read beyond its window
 
 
 @dataclass(frozen=True)
@@ -44,6 +46,8 @@ class Vocabulary:
                 pieces.append(bytes([int(name[1:-1], 16)]))
             else:
                 pieces.append(b"" if special[i] else name.replace(MARK, " ").encode())
+        if max(map(len, pieces)) > LONGEST:
+            raise ValueError("a piece is longer than the windows of a stretch allow")
         if any(b" " in p.lstrip(b" ") for p in pieces):
             raise ValueError("a piece with a space after another character: texts can't be cut at spaces")
         return Vocabulary(pieces, np.array([sp.get_score(i) for i in range(n)]), ~special & ~is_byte, byte_ids,
@@ -171,53 +175,75 @@ class PieceModel:
         by = np.argsort(rel, kind="stable")
         return stretch[by], rel[by], length[by], ids[by], weight[by]
 
-    def _steps(self, data, offsets):
+    def _steps(self, data: np.ndarray, offsets: np.ndarray):
+        """Edges as (source cell, target cell, id, weight), cut into steps of one position each.
+
+        A stretch has one more cell than bytes. Targets of one step are distinct. A single
+        stretch beyond ``WINDOW`` comes in windows, so its edges are never held all at once.
+        """
+        n = len(data)
+        if len(offsets) != 2 or n <= WINDOW:
+            yield self._window(data, offsets)
+            return
+        s = 0
+        while s < n:
+            e = min(n, s + WINDOW)
+            while e < n and data[e] & 0xC0 == 0x80:
+                e += 1
+            part = data[s:min(n, e + LONGEST)]
+            while len(part) and s + len(part) < n and data[s + len(part)] & 0xC0 == 0x80:
+                part = part[:-1]  # whole characters only
+            source, target, ids, weight, cuts = self._window(part, np.array([0, len(part)]))
+            own = int(np.searchsorted(source, e - s))
+            cuts = np.append(cuts[cuts < own], own)
+            yield source[:own] + s, target[:own] + s, ids[:own], weight[:own], cuts
+            s = e
+
+    def _window(self, data: np.ndarray, offsets: np.ndarray):
         stretch, rel, length, ids, weight = self.edges(data, offsets)
-        first = offsets[:-1] + np.arange(len(offsets) - 1)  # one more cell than bytes for each stretch
-        source = first[stretch] + rel
+        source = (offsets[:-1] + np.arange(len(offsets) - 1))[stretch] + rel
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(rel)) + 1, [len(rel)]]) if len(rel) else np.zeros(1, np.int64)
-        return first, source, source + length, ids, weight, cuts
+        return source, source + length, ids, weight, cuts
 
     def forward(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Log of the summed weight of all segmentations of each stretch."""
-        first, source, target, _, weight, cuts = self._steps(data, offsets)
+        first = offsets[:-1] + np.arange(len(offsets) - 1)
         alpha = np.full(len(data) + len(offsets) - 1, -np.inf)
         alpha[first] = 0
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):  # targets of one step are distinct
-            t = target[a:b]
-            alpha[t] = np.logaddexp(alpha[t], alpha[source[a:b]] + weight[a:b])
+        for source, target, _, weight, cuts in self._steps(data, offsets):
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                t = target[a:b]
+                alpha[t] = np.logaddexp(alpha[t], alpha[source[a:b]] + weight[a:b])
         return alpha[first + np.diff(offsets)]
 
     def best(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the heaviest segmentation of each stretch: (ids, byte start of each, offsets by stretch)."""
-        first, source, target, ids, weight, cuts = self._steps(data, offsets)
+        first = offsets[:-1] + np.arange(len(offsets) - 1)
         score = np.full(len(data) + len(offsets) - 1, -np.inf)
-        via = np.full(len(score), -1, np.int64)
+        came, piece = np.full(len(score), -1, np.int64), np.full(len(score), -1, np.int32)
         score[first] = 0
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            t = target[a:b]
-            new = score[source[a:b]] + weight[a:b]
-            better = new > score[t]
-            score[t[better]] = new[better]
-            via[t[better]] = np.flatnonzero(better) + a
+        for source, target, ids, weight, cuts in self._steps(data, offsets):
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                new = score[source[a:b]] + weight[a:b]
+                k = np.flatnonzero(new > score[target[a:b]])
+                t = target[a + k]
+                score[t], came[t], piece[t] = new[k], source[a + k], ids[a + k]
         cell = first + np.diff(offsets)
         who = np.flatnonzero(np.diff(offsets) > 0)
         cell = cell[who]
-        out_who, out_edge = [], []
+        out = []
         while len(who):
-            e = via[cell]
-            out_who.append(who)
-            out_edge.append(e)
-            cell = source[e]
+            out.append((who, piece[cell], came[cell]))
+            cell = came[cell]
             go = cell > first[who]
             who, cell = who[go], cell[go]
-        if not out_who:
+        if not out:
             return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-        w, e = np.concatenate(out_who[::-1]), np.concatenate(out_edge[::-1])
+        w, ids, source = (np.concatenate(x) for x in zip(*out[::-1]))
         by = np.argsort(w, kind="stable")
-        w, e = w[by], e[by]
+        w = w[by]
         counts = np.bincount(w, minlength=len(offsets) - 1)
-        return ids[e], source[e] - w, np.concatenate([[0], np.cumsum(counts)])
+        return ids[by], source[by] - w, np.concatenate([[0], np.cumsum(counts)])
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -254,11 +280,13 @@ def by_size(offsets: np.ndarray, limits: tuple[int, ...] = (24, 256, 4096)):
     """Groups of stretches of like size, so that few long ones don't lengthen the steps of all."""
     size = np.diff(offsets)
     low = 0
-    for high in (*limits, None):
-        at = np.flatnonzero((size > low) & (size <= high) if high else size > low)
+    for high in limits:
+        at = np.flatnonzero((size > low) & (size <= high))
         low = high
         if len(at):
             yield at
+    for k in np.flatnonzero(size > low).tolist():
+        yield np.array([k])
 
 
 def take_stretches(data: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barsignals.llm.common import (buffers, chunks, documents, in_fold, labelled_sample, not_in_fold, per_batch,
-                                   rate_filter, staged)
+                                   pieces, rate_filter, staged)
 from barsignals.llm.lm_scoring import words
 
 
@@ -100,25 +100,27 @@ def features(column: pa.Array, p: QualityParams) -> np.ndarray:
     data, offsets, _ = buffers(column)
     width = 1 << p.bits
     out = np.zeros((len(offsets) - 1, N_SHAPES + width * len(p.orders) + N_REPEATS), np.float32)
-    for i, j in chunks(offsets):
-        local = offsets[i:j + 1] - offsets[i]
-        part = SHAPES[data[offsets[i]:offsets[j]]]
+    for i, j, offs, own in pieces(offsets, max(p.orders) - 1):
+        local = offs - offs[0]
+        part = SHAPES[data[offs[0]:offs[-1]]]
         rows = j - i
         row = np.repeat(np.arange(rows), np.diff(local))
-        size = np.maximum(np.diff(local), 1)[:, None]
         at = N_SHAPES
-        out[i:j, :at] = np.sqrt(np.bincount(row * N_SHAPES + part, minlength=rows * N_SHAPES).reshape(rows, -1) / size)
+        out[i:j, :at] += np.bincount((row * N_SHAPES + part)[:own], minlength=rows * N_SHAPES).reshape(rows, -1)
         for order in p.orders:
             n = max(0, len(part) - order + 1)
             gram = np.zeros(n, np.uint32)
             for d in range(order):
                 gram = gram * np.uint32(64) + part[d:d + n]
             gram = ((gram + np.uint32(order)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - p.bits)
-            ok = row[:n] == row[order - 1:order - 1 + n]
-            counts = np.bincount(row[:n][ok] * width + gram[ok], minlength=rows * width).reshape(rows, -1)
-            out[i:j, at:at + width] = np.sqrt(counts / size)
+            ok = (row[:n] == row[order - 1:order - 1 + n])[:own]
+            out[i:j, at:at + width] += np.bincount(
+                (row[:n] * width + gram)[:own][ok], minlength=rows * width).reshape(rows, -1)
             at += width
-        out[i:j, at:] = _repetition(data, offsets[i:j + 1])
+    size = np.maximum(np.diff(offsets), 1).astype(np.float32)[:, None]
+    out[:, :-N_REPEATS] = np.sqrt(out[:, :-N_REPEATS] / size)
+    for i, j in chunks(offsets):
+        out[i:j, -N_REPEATS:] = _repetition(data, offsets[i:j + 1])
     return out
 
 

@@ -136,3 +136,23 @@ def test_fm_index_finds_every_occurrence():
     for k, pattern in enumerate(patterns):
         want = [p for p in range(297) if (symbols[p:p + 4] == pattern).all()]
         assert sorted(index.locate(np.arange(lo[k], hi[k])).tolist()) == want
+
+
+def test_long_texts_have_the_features_of_their_parts():
+    p = quality.QualityParams()
+    text = "Some words, and %%% marks |\n" * 100_000  # more than two pieces
+    long, short = quality.features(pa.array([text, text[:28 * 500], "", None]), p)[[0, 1]]
+    assert np.allclose(long[:-quality.N_REPEATS], short[:-quality.N_REPEATS], atol=2e-2)
+
+
+def test_windows_of_a_long_stretch_change_nothing(monkeypatch):
+    from barsignals.llm import lattice, lm_scoring
+    rng = np.random.default_rng(8)
+    text = "".join(rng.choice(list("abcdefghijklmnoprstu"), 3000)) + "ü😀日" * 300
+    codec = sentencepieces.Codec.load()
+    model, end = lm_scoring.piece_model(sentencepieces.VOCABULARY)
+    whole = codec.encode(pa.array([text]))[0], lm_scoring.log_probability(pa.array([text]), model, end)
+    monkeypatch.setattr(lattice, "WINDOW", 101)
+    monkeypatch.setattr(lattice, "LONGEST", 64)
+    cut = codec.encode(pa.array([text]))[0], lm_scoring.log_probability(pa.array([text]), model, end)
+    assert whole[0].tolist() == cut[0].tolist() and np.allclose(whole[1], cut[1], rtol=1e-12)

@@ -14,8 +14,8 @@ Groups are bounded by the segment length, not by the series length.
 
 State that reaches arbitrarily far back (the signal latch, the EMA across NULL
 stretches) is carried between blocks by ``carry_last``: a per-block summary, a
-two-level scan over that small table, and a join on ``(symbol, _blk)`` of only
-the rows whose result depends on earlier blocks.
+two-level scan over that small table, and a join on ``(symbol, _blk)``, by which the
+rows are already dealt out.
 
 Internal columns: ``_t`` (0-based row of the series), ``_blk`` (block),
 ``_role`` (-1 copied from the previous block, 0 own row, 1 copied from the next
@@ -94,7 +94,9 @@ def with_position(bars: DataFrame, segment: str = "year") -> DataFrame:
     A NULL key and a repeated ``(symbol, bar_date)`` (T1) raise an error when the rows
     are read: such rows have no position. Neither check needs a job or a shuffle.
     """
-    keyed = bars.withColumn("_seg", F.date_trunc(segment, F.col(BAR_DATE)))
+    stop = F.raise_error(F.lit("a bar has no symbol or bar_date"))
+    keyed = bars.withColumns({c: F.coalesce(F.col(c), stop.cast(bars.schema[c].dataType)) for c in (SYMBOL, BAR_DATE)})
+    keyed = keyed.withColumn("_seg", F.date_trunc(segment, F.col(BAR_DATE)))
     counts = keyed.groupBy(SYMBOL, "_seg").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(SYMBOL).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(SYMBOL, "_seg", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
@@ -102,12 +104,9 @@ def with_position(bars: DataFrame, segment: str = "year") -> DataFrame:
     ranked = keyed.withColumns({"_i": F.row_number().over(inside), "_before": F.lag(BAR_DATE).over(inside)})
     repeated = F.raise_error(F.concat(F.lit("duplicate (symbol, bar_date): "), F.col(SYMBOL).cast("string"),
                                       F.lit(", "), F.col(BAR_DATE).cast("string"))).cast("long")
-    missing = F.raise_error(F.lit("a bar has no symbol or bar_date")).cast("long")
     place = (F.col("_off") + F.col("_i") - 1).cast("long")
-    # a left join, so that rows with a NULL key come through to the check
-    return (ranked.join(offsets, [SYMBOL, "_seg"], "left")
-            .withColumn("_t", F.when(F.col("_off").isNull(), missing)
-                        .when(F.col("_before") == F.col(BAR_DATE), repeated).otherwise(place))
+    return (ranked.join(offsets, [SYMBOL, "_seg"])
+            .withColumn("_t", F.when(F.col("_before") == F.col(BAR_DATE), repeated).otherwise(place))
             .drop("_seg", "_i", "_before", "_off"))
 
 
@@ -119,10 +118,13 @@ def lay_out(bars: DataFrame, layout: Layout) -> DataFrame:
     if layout.ahead:
         copies.append(F.when((t % b < layout.ahead) & (t >= b), F.lit(1)))
     role = F.col("_role")
+    # the filter drops nothing: joins on these keys add it to one side only, and readers of
+    # one exchange must all have it
     return (pos.withColumn("_role", F.explode(F.array_compact(F.array(*copies))))
             .withColumn("_blk", F.floor(t / b).cast("long") - role)
             .withColumn("_sub", F.floor(t / F.lit(layout.sub)).cast("long"))
-            .withColumn("_fine", F.floor(t / F.lit(layout.fine)).cast("long")))
+            .withColumn("_fine", F.floor(t / F.lit(layout.fine)).cast("long"))
+            .filter(F.col(SYMBOL).isNotNull() & F.col("_blk").isNotNull()))
 
 
 def own_rows(df: DataFrame) -> DataFrame:
@@ -137,19 +139,6 @@ def own(col: Column) -> Column:
 DEFAULT_CARRY_FANOUT = 4096
 
 
-def _join_same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join on ``keys`` by null-safe equality.
-
-    Plain equality lets the optimizer add "is not NULL" below the right side only;
-    both sides read the same exchange, and that would make it two.
-    """
-    right = right.withColumnsRenamed({k: f"_r{k}" for k in keys})
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_r{k}"))
-    return left.join(right, same, "left").drop(*[f"_r{k}" for k in keys])
-
-
 def _last_before(summary: DataFrame, key: str, cols: Sequence[str], fanout: int) -> DataFrame:
     """``<col>_carry``: the last non-NULL ``<col>_last`` of a smaller ``key`` (same symbol).
 
@@ -158,7 +147,8 @@ def _last_before(summary: DataFrame, key: str, cols: Sequence[str], fanout: int)
     fewer rows again). Both tables are small next to the bars.
     """
     grp = F.floor(F.col(key) / F.lit(fanout)).cast("long")
-    keyed = summary.withColumn("_grp", grp)
+    # dealt out once, for both readers below
+    keyed = summary.withColumn("_grp", grp).repartition(SYMBOL, "_grp")
     inner = Window.partitionBy(SYMBOL, "_grp").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     within = keyed.select(SYMBOL, key, "_grp", *[
         F.last(c + "_last", ignorenulls=True).over(inner).alias(c + "_in") for c in cols])
@@ -168,37 +158,26 @@ def _last_before(summary: DataFrame, key: str, cols: Sequence[str], fanout: int)
     outer = Window.partitionBy(SYMBOL).orderBy("_grp").rowsBetween(Window.unboundedPreceding, -1)
     before = groups.select(SYMBOL, "_grp", *[
         F.last(c + "_g", ignorenulls=True).over(outer).alias(c + "_out") for c in cols])
-    return (_join_same(within, before, [SYMBOL, "_grp"])
+    return (within.join(before, [SYMBOL, "_grp"], "left")
             .select(SYMBOL, key, *[F.coalesce(F.col(c + "_in"), F.col(c + "_out")).alias(c + "_carry")
                                    for c in cols]))
 
 
 def carry_last(df: DataFrame, cols: Sequence[str], fanout: int = DEFAULT_CARRY_FANOUT,
-               needs_carry: Column | None = None, pins: Sequence[str] = ()) -> DataFrame:
+               pins: Sequence[str] = ()) -> DataFrame:
     """For each column add ``<col>_carry``: its last non-NULL value in earlier blocks.
 
     ``df`` holds own rows only, after the windows, and feeds both the summary and the
     output. The summary keeps every input column alive up to the shared
     ``(symbol, _blk)`` exchange (``pins``), so both readers have the same exchange
     and Spark runs it once; nothing is stored and no job runs here. The summary has
-    one row per block and is scanned in two levels (``_last_before``).
-
-    ``needs_carry`` (a non-NULL boolean) marks the rows whose result can depend on
-    earlier blocks; typically a few rows at the start of each block. Only those
-    rows are joined with the carry table and the rest pass through with NULL
-    carries, so the big frame is never shuffled for the join, however many blocks
-    there are. Without it every row is joined.
+    one row per block and is scanned in two levels (``_last_before``). It is joined on
+    the key by which ``df`` is already dealt out and sorted, so that join moves only
+    the summary, whatever its size.
     """
-    first, *rest_cols = cols
+    first = cols[0]
     last = {c: F.max_by(F.struct(F.col(c).alias("v"), *([F.col(x) for x in pins] if c == first else [])),
-                        F.when(F.col(c).isNotNull(), F.col("_t"))) for c in [first, *rest_cols]}
+                        F.when(F.col(c).isNotNull(), F.col("_t"))) for c in cols}
     summary = df.groupBy(SYMBOL, "_blk").agg(*[agg.alias(c + "_last") for c, agg in last.items()])
     summary = summary.select(SYMBOL, "_blk", *[F.col(c + "_last.v").alias(c + "_last") for c in cols])
-    carry = _last_before(summary, "_blk", cols, fanout)
-    if needs_carry is None:
-        return _join_same(df, carry, [SYMBOL, "_blk"])
-    types = dict(df.dtypes)
-    rest = df.filter(~needs_carry).withColumns(
-        {c + "_carry": F.lit(None).cast(types[c]) for c in cols})
-    needing = _join_same(df.filter(needs_carry), carry, [SYMBOL, "_blk"])
-    return rest.unionByName(needing)
+    return df.join(_last_before(summary, "_blk", cols, fanout), [SYMBOL, "_blk"], "left")

@@ -107,14 +107,7 @@ def enrich(bars: DataFrame, params: Params = DEFAULT, include: Iterable[str] = G
     df = own_rows(apply_stages(df, stages))
     carried = [f"ema{s}_local" for s in subs] + [f"_s_{r}" for r in rules]
     if carried:
-        # rows whose value can come from an earlier block: no own EMA value yet, or
-        # a condition with no earlier condition in the block (the latch state)
-        need = F.lit(False)
-        for s in subs:
-            need = need | F.col(f"ema{s}_local").isNull()
-        for r in rules:
-            need = need | (F.col(f"_s_{r}").isNotNull() & F.col(f"_p_{r}").isNull())
-        df = carry_last(df, carried, carry_fanout, needs_carry=need, pins=bars.columns)
+        df = carry_last(df, carried, carry_fanout, pins=bars.columns)
     final = {f"ema{s}": F.coalesce(F.col(f"ema{s}_local"), F.col(f"ema{s}_local_carry")) for s in subs}
     for r in rules:
         final.update(latch_prices(r))

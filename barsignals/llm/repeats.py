@@ -278,14 +278,17 @@ def _hot(rows: DataFrame, p: RepeatParams) -> list[DataFrame]:
     while width > 1 and not rows.isEmpty():
         width = -(-width // 3)
         rows = staged(_narrow(rows, width, p).withColumn("s", F.xxhash64(F.lit(1), "seg", F.col("anchor") - F.col("lo"))), "repeats-narrow")
-        segments = rows.groupBy("key", "s").agg(F.count("*").alias("n"), F.min(F.col("single").cast("int")).alias("alone"))
-        groups = segments.groupBy("key").agg(F.count("*").alias("segments"), F.sum("n").alias("ranges")).filter("ranges > 1")
+        segments = staged(rows.groupBy("key", "s").agg(
+            F.count("*").alias("n"), F.min(F.col("single").cast("int")).alias("alone")), "repeats-narrow-segments")
+        groups = staged(segments.groupBy("key").agg(F.count("*").alias("segments"), F.sum("n").alias("ranges"))
+                        .filter("ranges > 1"), "repeats-narrow-groups")
         # a segment that occurs twice, or stands for copies, is repeated whole
         many = segments.filter((F.col("n") > 1) | (F.col("alone") == 0)).select("key", "s")
         out.append(_whole(rows.join(many, ["key", "s"], "left_semi").filter("single"), p))
-        rest = rows.join(groups.filter("segments > 1"), "key").drop("ranges")
+        # one range of each segment, which stands for its copies
+        rest = rows.dropDuplicates(["key", "s"]).join(groups.filter("segments > 1"), "key").drop("ranges")
         marked = rest.join(many.withColumn("twice", F.lit(True)), ["key", "s"], "left")
-        marked = marked.withColumn("single", F.col("single") & F.col("twice").isNull()).drop("twice").dropDuplicates(["key", "s"])
+        marked = marked.withColumn("single", F.col("single") & F.col("twice").isNull()).drop("twice")
         marked = staged(marked, "repeats-marked")
         if width > 1:
             out.append(_transform(marked.filter(F.col("segments") <= p.group), p))

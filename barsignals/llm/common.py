@@ -123,6 +123,11 @@ def _byte_map() -> np.ndarray:
 LETTERS = _byte_map()
 
 
+def sample_key() -> Column:
+    """What a sample of documents is chosen by: the id, or where it is NULL the text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+
+
 def rate_filter(key: Column, rate: Column, seed: int) -> Column:
     """Keep a row with probability ``rate`` by a hash of its key (the same rows each run)."""
     return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) < rate * float(1 << 30)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barsignals.llm.common import (buffers, chunks, documents, in_fold, labelled_sample, not_in_fold, per_batch,
-                                   pieces, rate_filter, staged)
+                                   pieces, rate_filter, sample_key, staged)
 from barsignals.llm.lm_scoring import words
 
 
@@ -215,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, eligible: Column, p: QualityParams
     per_batch(docs.sparkSession, 1000)
     positives = labelled_sample(docs, labels, "quality", eligible, {1: p.positives}, p.seed, "quality")
     total = docs.agg(F.count("*")).first()[0]
-    unlabelled = docs.filter(rate_filter(F.col("doc_id"), F.lit(min(1.0, p.unlabelled / max(1, total))), p.seed + 2))
+    unlabelled = docs.filter(rate_filter(sample_key(), F.lit(min(1.0, p.unlabelled / max(1, total))), p.seed + 2))
     unlabelled = staged(unlabelled.select(F.coalesce("text", F.lit("")).alias("text"),
                                           F.xxhash64(F.lit(p.seed + 3), "doc_id").alias("order")), "quality-unlabelled")
     pos, unl = _rows(positives, p), _rows(unlabelled, p)

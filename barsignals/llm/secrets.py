@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barsignals.llm.common import documents, per_batch, rate_filter
+from barsignals.llm.common import documents, per_batch, rate_filter, sample_key
 
 # Fixed values of the contract: kinds in their order, patterns, least lengths.
 KINDS = ("assign", "access", "hex", "random")
@@ -136,7 +136,7 @@ def train(docs: DataFrame, p: SecretParams = SecretParams()) -> tuple[np.ndarray
     """Learn from the tokens of a bounded sample of documents."""
     per_batch(docs.sparkSession, 2000)
     total = docs.agg(F.count("*")).first()[0]
-    sample = docs.filter(rate_filter(F.col("doc_id"), F.lit(min(1.0, p.sample_docs / max(1, total))), p.seed))
+    sample = docs.filter(rate_filter(sample_key(), F.lit(min(1.0, p.sample_docs / max(1, total))), p.seed))
     rows = (sample.select("text").mapInArrow(_labelled_tokens(p), "secret boolean, token string")
             .groupBy("secret", "token").agg(F.count("*").alias("n")).orderBy("secret", "token").toArrow())
     secret = [t for t, s in zip(rows.column("token").to_pylist(), rows.column("secret").to_pylist()) if s]

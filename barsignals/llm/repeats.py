@@ -313,7 +313,7 @@ def covered(docs: DataFrame, p: RepeatParams = RepeatParams()) -> DataFrame:
     many = segments.filter("n > 1").select("a", "s")
     whole = _whole(shared.join(many, ["a", "s"], "left_semi"), p)
     groups = segments.groupBy("a").agg(F.count("*").alias("segments"), F.min("n").alias("fewest"))
-    groups = groups.filter("segments > 1 and fewest = 1").select("a", "segments")
+    groups = staged(groups.filter("segments > 1 and fewest = 1").select("a", "segments"), "repeats-groups")
     one = segments.join(groups, "a").select("a", "s", "segments", (F.col("n") == 1).alias("single"))
     chosen = shared.dropDuplicates(["a", "s"]).join(one, ["a", "s"])
     wanted = chosen.groupBy("doc_id", "th").agg(F.collect_list(F.struct(

@@ -5,8 +5,11 @@ runs). The method adds spans of kind ``random``: token-like runs whose character
 likelier under a first-order Markov model of random strings than under one of ordinary
 identifiers. Both models are trained from labelled samples: tokens inside base spans
 of a bounded, hash-chosen sample of documents and drawn random strings are labelled
-random, the other tokens of these documents ordinary. The threshold on the ratio per
-character lies above all but ``false_rate`` of the ordinary sample.
+random. Of the other tokens of these documents, those whose parts are words or numbers
+(and drawn numbers) are labelled ordinary. The rest has no label, as it holds the very
+strings to be found: it enters the ordinary model by its probability of being ordinary
+(expectation maximisation that starts from the labelled tokens). A token is random where
+its ratio exceeds the log-odds against a stated prior, which no token of the sample moves.
 
 NULL and empty texts have no spans. Offsets are code points, end exclusive. Repeated
 rows give repeated results.
@@ -35,6 +38,9 @@ LEAST_VALUE, LEAST_ACCESS = 6, 20
 
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 WORD = re.compile(r"[A-Za-z0-9+/_-]{8,}")
+# parts that are a word, words joined by their capitals, or a number
+PLAIN = re.compile(r"(?:[+/_-]|(?<![A-Za-z0-9])(?:[0-9]+|(?:[a-z]+|[A-Z]+|[A-Z]?[a-z]{2,}(?:[A-Z][a-z]{2,})*)[0-9]{0,4})(?![A-Za-z0-9]))+")
+LEAST_MEAN = 0.5  # nats per character that a random token has at least
 
 
 @dataclass(frozen=True)
@@ -42,8 +48,8 @@ class SecretParams:
     sample_docs: int = 4000  # bound on the documents whose tokens are learned from
     tokens_per_doc: int = 200  # and on the ordinary tokens of each, chosen by hash
     drawn: int = 4000  # random strings drawn as labelled samples
-    false_rate: float = 1e-5
-    margin: float = 0.25  # above that quantile, in nats per character
+    prior: float = 1e-5  # share of random strings among token-like runs
+    rounds: int = 6  # of expectation maximisation over the tokens without a label
     seed: int = 13
 
 
@@ -92,11 +98,12 @@ def _labelled_tokens(p: SecretParams):
     return run
 
 
-def _transitions(tokens: list[str], weight: float = 1.0) -> np.ndarray:
-    """Counts of character pairs; row 0 holds first characters."""
+def _transitions(tokens: list[str], weight: np.ndarray | None = None) -> np.ndarray:
+    """Counts of character pairs, by the weights of the tokens; row 0 holds first characters."""
     out = np.zeros((128, 128))
     data = np.frombuffer(("\0" + "\0".join(tokens) + "\0").encode("ascii", "replace"), np.uint8).astype(np.int64)
-    np.add.at(out, (data[:-1], data[1:]), weight)
+    of = 1.0 if weight is None else np.append(weight, 0.0)[np.cumsum(data == 0)[:-1] - 1]
+    np.add.at(out, (data[:-1], data[1:]), of)
     out[:, 0] = 0
     return out
 
@@ -112,7 +119,7 @@ def _log_chain(counts: np.ndarray, alphabet: np.ndarray, strength: float) -> np.
 
 
 def fit(secret: list[str], ordinary: list[str], p: SecretParams) -> tuple[np.ndarray, float]:
-    """(log-likelihood ratio of each character pair, threshold per character)."""
+    """(log-likelihood ratio of each character pair, log-odds that a random token exceeds)."""
     text = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
     alphabet = np.frombuffer(text.encode(), np.uint8).astype(np.int64)
     rng = np.random.default_rng(p.seed)
@@ -121,15 +128,26 @@ def fit(secret: list[str], ordinary: list[str], p: SecretParams) -> tuple[np.nda
     known = _transitions(secret)
     extra = _transitions(drawn)
     scale = max(1.0, known.sum() / max(extra.sum(), 1))  # observed and drawn strings weigh alike
-    ratio = _log_chain(known + scale * extra, alphabet, 5.0) - _log_chain(_transitions(ordinary), alphabet, 5.0)
-    plain = np.sort([_mean_ratio(w, ratio) for w in ordinary if len(w) >= 16] or [0.0])
-    at = min(len(plain) - 1, int(np.ceil(len(plain) * (1 - p.false_rate))))
-    return ratio, max(0.5, float(plain[at]) + p.margin)
+    random = _log_chain(known + scale * extra, alphabet, 5.0)
+    numbers = ["".join(rng.choice(list(text[52:62]), 16)) for _ in range(p.drawn // 20)]  # ordinary, however few the sample has
+    plain = _transitions([w for w in ordinary if PLAIN.fullmatch(w)] + numbers)
+    open_ = [w for w in ordinary if not PLAIN.fullmatch(w)]
+    odds = float(np.log((1 - p.prior) / p.prior))
+    ratio = random - _log_chain(plain, alphabet, 5.0)
+    for _ in range(p.rounds if open_ else 0):
+        likely = 1 / (1 + np.exp(np.clip(_ratios(open_, ratio) - odds, -50, 50)))
+        ratio = random - _log_chain(plain + _transitions(open_, likely), alphabet, 5.0)
+    return ratio, odds
 
 
-def _mean_ratio(token: str, ratio: np.ndarray) -> float:
-    d = np.frombuffer(("\0" + token).encode("ascii", "replace"), np.uint8)
-    return float(ratio[d[:-1], d[1:]].sum() / max(1, len(token)))
+def _ratios(tokens: list[str], ratio: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratio of each token, over all its characters."""
+    data = np.frombuffer(("\0" + "\0".join(tokens)).encode("ascii", "replace"), np.uint8)
+    return np.add.reduceat(np.append(np.where(data[1:] == 0, 0.0, ratio[data[:-1], data[1:]]), 0.0), np.flatnonzero(data == 0))
+
+
+def _is_random(token: str, ratio: np.ndarray, odds: float) -> bool:
+    return float(_ratios([token], ratio)[0]) > max(odds, LEAST_MEAN * len(token))
 
 
 def train(docs: DataFrame, p: SecretParams = SecretParams()) -> tuple[np.ndarray, float]:
@@ -149,7 +167,7 @@ def all_spans(text: str, ratio: np.ndarray, threshold: float) -> list[tuple[int,
     base = base_spans(text)
     out, covered = list(base), Covered(base)
     for m in TOKEN.finditer(text):
-        if not covered.meets(m.start(), m.end()) and _mean_ratio(m.group(), ratio) > threshold:
+        if not covered.meets(m.start(), m.end()) and _is_random(m.group(), ratio, threshold):
             out.append((m.start(), 3, m.end()))
     return sorted(out)
 

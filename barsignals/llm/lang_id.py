@@ -136,8 +136,8 @@ def train(docs: DataFrame, label: Column, eligible: Column, p: LangIdParams = La
     """Learn from a bounded sample of ``docs`` rows that are ``eligible`` and have a label."""
     rows = docs.select(F.col("text"), label.alias("label"), F.col("doc_id"), eligible.alias("ok"))
     rows = rows.filter(F.col("ok") & F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = {r["label"]: r["n"] for r in docs.select(label.alias("label"), eligible.alias("ok"))
-             .filter(F.col("ok") & F.col("label").isNotNull()).groupBy("label").agg(F.count("*").alias("n")).collect()}
+    # of the rows that can be learned from; a language without any is not in the model
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
     rate = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, p.per_language / n)))])

@@ -37,3 +37,14 @@ def test_bare_keys_are_found_in_and_out_of_the_sample(spark, tmp_path, table, sh
     assert len(keys) >= 5
     assert {d for d, key in keys.items() if key not in found.get(d, ())} == set()
     assert sum(name in found.get(d, ()) for d, name in names.items()) <= len(names) // 100
+
+
+def test_a_language_of_mostly_empty_rows_is_learned(spark, tmp_path):
+    rng = random.Random(4)
+    text = lambda syllables: " ".join("".join(rng.choice(syllables) for _ in range(3)) for _ in range(60))
+    docs = [(k, text(["ka", "lo", "mi"]), "aa") for k in range(400)]
+    docs += [(1000 + k, text(["sch", "ung", "ver"]), "bb") for k in range(12)]
+    docs += [(2000 + k, (None, "", "12 %")[k % 3], "bb") for k in range(9000)]
+    docs += [(20000 + k, " - ", "cc") for k in range(20)]
+    out = QUERIES["op1_language_id"](spark, write(tmp_path, docs)).filter("doc_id < 2000").collect()
+    assert {(r["doc_id"] >= 1000, r["lang_pred"]) for r in out} == {(False, "aa"), (True, "bb")}

@@ -242,6 +242,8 @@ def _candidate_runs(data, offsets, lookup: Lookup, b: Benchmark, least: int, n_w
         part = data[offs[0]:offs[-1]]
         local = offs - offs[0]
         low, starts, ends, hashes = words(part, local)
+        if not len(starts):
+            continue  # a gap; the pending run may go on behind it
         ids, known = lookup.get(hashes)
         row = np.searchsorted(local, starts, side="right") - 1 + i
         count = np.bincount(row - i, minlength=j - i)

@@ -48,3 +48,14 @@ def test_a_language_of_mostly_empty_rows_is_learned(spark, tmp_path):
     docs += [(20000 + k, " - ", "cc") for k in range(20)]
     out = QUERIES["op1_language_id"](spark, write(tmp_path, docs)).filter("doc_id < 2000").collect()
     assert {(r["doc_id"] >= 1000, r["lang_pred"]) for r in out} == {(False, "aa"), (True, "bb")}
+
+
+def test_a_window_around_a_long_gap_is_found(spark, tmp_path):
+    item = [f"word{k}x" for k in range(13)]
+    gap = " -" * (2 << 20)
+    texts = [" ".join(item[:6]) + gap + " ".join(item[6:]), " ".join(item[:6]) + gap, " ".join(item[6:]),
+             "a b " + " ".join(item[:1]) + gap + " ".join(item[1:]) + gap + "c"]
+    out = QUERIES["op6_benchmark_decontamination"](
+        spark, write(tmp_path, [(k, t, "en") for k, t in enumerate(texts)], bench=[(7, " ".join(item))]))
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in out.collect()}
+    assert got == {0: (13, 13, 1), 1: (6, 0, 0), 2: (7, 0, 0), 3: (16, 13, 1)}

@@ -3,10 +3,11 @@
 A linear model over shape n-grams (letters, capitals, digits, spaces and each mark as
 classes of characters) and repetition counts minimises the non-negative unbiased risk
 ``prior * P_loss(+) + max(0, U_loss(-) - prior * P_loss(-))`` with the logistic loss,
-from trusted positives (rows labelled 1) and unlabelled text. The class prior is
-estimated from the scores of a positive-against-unlabelled classifier on held-back
-rows: the least ratio of the unlabelled to the positive share above a threshold, with
-a margin for chance. No negative label is read.
+from trusted positives (rows labelled 1) and a bounded sample of unlabelled text. The
+class prior is estimated from the scores that a positive-against-unlabelled classifier
+gives to held-back positives and to all rows but those it learned from: the least ratio
+of the unlabelled to the positive share above a threshold, with a margin for chance. No
+negative label is read.
 
 NULL texts count as empty; these and texts without words get the score of their (zero)
 features. Repeated rows give repeated results. Without positives every score is 0.
@@ -14,6 +15,7 @@ features. Repeated rows give repeated results. Without positives every score is
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -132,10 +134,11 @@ def _sample_features(p: QualityParams):
     return run
 
 
-def _rows(sample: DataFrame, p: QualityParams) -> np.ndarray:
+def _rows(sample: DataFrame, p: QualityParams) -> tuple[np.ndarray, np.ndarray]:
+    """(features, order) of a sample."""
     got = sample.select("order", "text").mapInArrow(_sample_features(p), "order long, x array<float>").orderBy("order").toArrow()
     width = N_SHAPES + (1 << p.bits) * len(p.orders) + N_REPEATS
-    return got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, width)
+    return got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, width), got.column("order").to_numpy()
 
 
 @dataclass(frozen=True)
@@ -168,28 +171,52 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
     Above any threshold the unlabelled share is at least prior times the positive
     share; the tightest such bound, with a margin for chance, estimates the prior.
     """
-    cuts = np.unique(np.concatenate([[-np.inf], np.quantile(pos, np.linspace(0, 0.95, 200))]))
+    return _prior(pos, _bins(unl, _cuts(pos)))
+
+
+def _cuts(pos: np.ndarray) -> np.ndarray:
+    return np.unique(np.concatenate([[-np.inf], np.quantile(pos, np.linspace(0, 0.95, 200))]))
+
+
+def _bins(scores: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Scores by the number of cuts that they reach."""
+    return np.bincount(np.searchsorted(cuts, scores, side="right"), minlength=len(cuts) + 1)
+
+
+def _prior(pos: np.ndarray, bins: np.ndarray) -> float:
+    """``estimate_prior`` from the unlabelled scores counted between the cuts."""
+    n, cuts = int(bins.sum()), _cuts(pos)
     p = 1 - np.searchsorted(np.sort(pos), cuts) / len(pos)
-    u = 1 - np.searchsorted(np.sort(unl), cuts) / len(unl)
-    chance = np.sqrt(np.log(100) / 2 / len(unl)) + np.sqrt(np.log(100) / 2 / len(pos))
+    u = (n - np.cumsum(bins)[:-1]) / n
+    chance = np.sqrt(np.log(100) / 2 / n) + np.sqrt(np.log(100) / 2 / len(pos))
     best = np.argmin(u / p + chance / p)
     return float(np.clip(u[best] / p[best], 0.05, 0.995))
 
 
-def fit(pos: np.ndarray, unl: np.ndarray, p: QualityParams) -> QualityModel:
+def fit(pos: np.ndarray, unl: np.ndarray, p: QualityParams, hu: np.ndarray | None = None,
+        tally: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> QualityModel:
+    """Model from feature rows; ``hu`` marks the unlabelled ones that the prior's classifier leaves out.
+
+    ``tally(weights, cuts)`` counts all rows it did not learn from in the bins of their
+    scores (without it: the left-out rows).
+    """
     mean, scale = unl.mean(0), unl.std(0) + 0.02
+    hu = np.arange(len(unl)) % 3 == 0 if hu is None else hu
+    raw = lambda w: np.append(w[:-1] / scale, w[-1] - (w[:-1] / scale) @ mean)
+    held = pos[np.arange(len(pos)) % 3 == 0]
     one = lambda x: np.column_stack([(x - mean) / scale, np.ones(len(x))])
     pos, unl = one(pos), one(unl)
     rng = np.random.default_rng(p.seed)
     # prior: logistic regression of positive against unlabelled on two thirds, scores on the rest
-    hp, hu = np.arange(len(pos)) % 3 == 0, np.arange(len(unl)) % 3 == 0
-    a, b = pos[~hp], unl[~hu]
+    a, b = pos[np.arange(len(pos)) % 3 != 0], unl[~hu]
 
     def plain(w, _):
         return (a.T @ (_sigmoid(a @ w) - 1) / len(a) + b.T @ _sigmoid(b @ w) / len(b)) / 2 + 1e-3 * w
 
     w = _descend(plain, pos.shape[1], 150, 0.02) if len(a) and len(b) else np.zeros(pos.shape[1])
-    prior = estimate_prior(pos[hp] @ w, unl[hu] @ w) if hp.any() and hu.any() else 0.5
+    scores = held @ raw(w)[:-1] + raw(w)[-1]
+    bins = tally(raw(w), _cuts(scores)) if tally else _bins(unl[hu] @ w, _cuts(scores))
+    prior = _prior(scores, bins) if bins.sum() else 0.5
     per = max(1, -(-len(unl) // p.batch))
     order: list = []
 
@@ -206,20 +233,40 @@ def fit(pos: np.ndarray, unl: np.ndarray, p: QualityParams) -> QualityModel:
         return prior * (x.T @ (_sigmoid(zx) - 1)) / len(x) + grad_negative + p.ridge * w
 
     w = _descend(risk, pos.shape[1], p.epochs * per, p.rate)
-    raw = w[:-1] / scale
-    return QualityModel(np.append(raw, w[-1] - raw @ mean), prior, p)
+    return QualityModel(raw(w), prior, p)
+
+
+def _tally(docs: DataFrame, p: QualityParams):
+    """Counts of the rows of ``docs`` by the cuts that their scores reach."""
+    def counts(weights: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        def run(batches):
+            for b in batches:
+                n = _bins(features(b.column("text"), p) @ weights[:-1] + weights[-1], cuts)
+                k = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n[k], pa.int64())], ["bin", "n"])
+
+        out = np.zeros(len(cuts) + 1, np.int64)
+        for r in docs.select("text").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+            out[r["bin"]] = r["n"]
+        return out
+    return counts
 
 
 def train(docs: DataFrame, labels: DataFrame, eligible: Column, p: QualityParams = QualityParams()) -> QualityModel | None:
-    """Learn from rows labelled 1 that are ``eligible`` (a column over doc_id) and unlabelled text."""
+    """Learn from rows labelled 1 that are ``eligible`` (a column over doc_id) and unlabelled text.
+
+    The risk reads a bounded sample of the text, the prior the scores of all of it.
+    """
     per_batch(docs.sparkSession, 1000)
     positives = labelled_sample(docs, labels, "quality", eligible, {1: p.positives}, p.seed, "quality")
     total = docs.agg(F.count("*")).first()[0]
-    unlabelled = docs.filter(rate_filter(sample_key(), F.lit(min(1.0, p.unlabelled / max(1, total))), p.seed + 2))
-    unlabelled = staged(unlabelled.select(F.coalesce("text", F.lit("")).alias("text"),
-                                          F.xxhash64(F.lit(p.seed + 3), "doc_id").alias("order")), "quality-unlabelled")
-    pos, unl = _rows(positives, p), _rows(unlabelled, p)
-    return fit(pos, unl, p) if len(pos) and len(unl) else None
+    sampled = rate_filter(sample_key(), F.lit(min(1.0, p.unlabelled / max(1, total))), p.seed + 2)
+    order = F.xxhash64(F.lit(p.seed + 3), sample_key())
+    unlabelled = staged(docs.filter(sampled).select(F.coalesce("text", F.lit("")).alias("text"), order.alias("order")),
+                        "quality-unlabelled")
+    (pos, _), (unl, by) = _rows(positives, p), _rows(unlabelled, p)
+    rest = docs.filter(~sampled | (F.pmod(order, F.lit(3)) == 0))
+    return fit(pos, unl, p, by % 3 == 0, _tally(rest, p)) if len(pos) and len(unl) else None
 
 
 def score(docs: DataFrame, model: QualityModel | None) -> DataFrame:

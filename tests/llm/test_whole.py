@@ -5,7 +5,9 @@ import string
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
+from barsignals.llm import quality
 from barsignals.llm.queries import QUERIES
 
 from conftest import write
@@ -59,3 +61,14 @@ def test_a_window_around_a_long_gap_is_found(spark, tmp_path):
         spark, write(tmp_path, [(k, t, "en") for k, t in enumerate(texts)], bench=[(7, " ".join(item))]))
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in out.collect()}
     assert got == {0: (13, 13, 1), 1: (6, 0, 0), 2: (7, 0, 0), 3: (16, 13, 1)}
+
+
+def test_the_class_prior_comes_from_all_rows(spark):
+    rng = random.Random(6)
+    good = lambda: " ".join("".join(rng.choice(["ka", "lo", "mi", "ta"]) for _ in range(3)) for _ in range(12)) + "."
+    junk = lambda: " ".join(str(rng.randrange(10 ** 6)) + rng.choice("%#|") for _ in range(12))
+    docs = spark.createDataFrame([(k, good() if k % 5 < 2 else junk()) for k in range(12_000)], "doc_id long, text string")
+    labels = docs.filter("doc_id % 5 < 2").select("doc_id", F.lit(1).alias("quality"))
+    for seed in (17, 18, 19):
+        model = quality.train(docs, labels, F.lit(True), quality.QualityParams(positives=600, unlabelled=150, epochs=2, seed=seed))
+        assert abs(model.prior - 0.4) < 0.02, seed

@@ -302,7 +302,7 @@ def _transform(rows: DataFrame, p: RepeatParams) -> DataFrame:
 
 
 def covered(docs: DataFrame, p: RepeatParams = RepeatParams()) -> DataFrame:
-    """Byte ranges (doc_id, th, start, end) of ``docs`` (doc_id, text, th) that repeat."""
+    """Distinct byte ranges (doc_id, th, start, end) of ``docs`` (doc_id, text, th) that repeat."""
     per_batch(docs.sparkSession, 2000)
     schema = "doc_id long, th long, lo int, hi int, anchor int, a long, s long"
     found = staged(docs.select("doc_id", "th", "text").mapInArrow(_range_rows(p, pa.int64()), schema), "repeats-ranges")
@@ -318,16 +318,17 @@ def covered(docs: DataFrame, p: RepeatParams = RepeatParams()) -> DataFrame:
     chosen = shared.dropDuplicates(["a", "s"]).join(one, ["a", "s"])
     wanted = chosen.groupBy("doc_id", "th").agg(F.collect_list(F.struct(
         F.col("a").alias("key"), "lo", "hi", "anchor", "single", F.lit(p.length).alias("length"))).alias("wanted"))
-    texts = docs.select("doc_id", "th", "text")
-    right = wanted.select(F.col("doc_id").alias("wid"), F.col("th").alias("wth"), "wanted")
-    cut = texts.join(right, F.col("doc_id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth"))).select("doc_id", "th", "text", "wanted")
+    # one of the rows that repeat both id and text is cut for all of them; grouped by the keys of the join, so texts move once
+    keys = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), F.col("th")]
+    texts = docs.groupBy(*keys).agg(F.first("text").alias("text"))
+    cut = texts.join(wanted.select(*keys, "doc_id", "wanted"), ["id", "none", "th"]).select("doc_id", "th", "text", "wanted")
     cut = staged(cut.mapInArrow(_cut, "key long, doc_id long, th long, lo int, hi int, anchor int, single boolean, seg binary"), "repeats-cut")
     sizes = groups.select(F.col("a").alias("key"), "segments")
     few = cut.join(sizes.filter(F.col("segments") <= p.group), "key", "left_semi")
     out = whole.unionAll(_transform(few, p))
     for part in _hot(cut.join(sizes.filter(F.col("segments") > p.group), "key", "left_semi"), p):
         out = out.unionAll(part)
-    return out
+    return out.distinct()
 
 
 def _finish(batches):

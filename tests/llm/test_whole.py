@@ -7,7 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from barsignals.llm import quality
+from barsignals.llm import quality, repeats
 from barsignals.llm.queries import QUERIES
 
 from conftest import write
@@ -72,3 +72,23 @@ def test_the_class_prior_comes_from_all_rows(spark):
     for seed in (17, 18, 19):
         model = quality.train(docs, labels, F.lit(True), quality.QualityParams(positives=600, unlabelled=150, epochs=2, seed=seed))
         assert abs(model.prior - 0.4) < 0.02, seed
+
+
+def test_rows_that_repeat_id_and_text_are_cut_once(spark, monkeypatch):
+    sizes, write_table = {}, repeats.staged
+
+    def staged(df, name):
+        out = write_table(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(repeats, "staged", staged)
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcd ") for _ in range(n))
+    passage = word(90)
+    one, two = word(50) + passage + word(50), word(50) + passage + word(50)
+    docs = spark.createDataFrame([(1, one)] * 60 + [(None, two)] * 60 + [(3, word(20) + passage)], "doc_id long, text string")
+    cover = repeats.covered(docs.withColumn("th", F.xxhash64("text")), repeats.RepeatParams(length=40, gram=20)).collect()
+    marks = {(r["doc_id"], k) for r in cover for k in range(r["start"], r["end"])}
+    assert [sum(d == k for d, _ in marks) for k in (1, None, 3)] == [len(one), len(two), 90]
+    assert 0 < sizes["repeats-cut"] < 20 and len(set(cover)) == len(cover)

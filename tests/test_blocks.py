@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from barsignals import enrich
 from barsignals.operators.layout import lay_out, make_layout
 from barsignals.plans import bindings as B
-from conftest import SF_MID
+from paths import SF_MID
 from golden import BARS_DDL
 
 

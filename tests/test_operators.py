@@ -19,7 +19,7 @@ from barsignals.operators.votes import vote_share
 from barsignals.plans import bindings as B
 from barsignals.plans.catalog import register_views
 from barsignals.sources.sinks import write_enriched
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from golden import BARS_DDL, golden_bars
 
 

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from barsignals.plans.oracle import oracle_sql
 from barsignals.plans.queries import QUERIES
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 sys_tables = ["region", "nation", "supplier", "lineitem", "events"]
 ORACLE = oracle_sql()

@@ -8,7 +8,7 @@ from barsignals.operators.votes import vote_share
 from barsignals.plans import bindings as B
 from barsignals.plans.enrich import enrich
 from barsignals.plans.queries import QUERIES
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def _strip(s: str) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from barsignals.plans.bindings import ADJ_FACTOR, event_bars
 from barsignals.streaming import stream_bars
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_stream_bars_match_batch(spark, tmp_path):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from barsignals.llm import quality, repeats
 from barsignals.llm.queries import QUERIES
 
-from conftest import write
+from tables import write
 
 
 @pytest.mark.parametrize("table, share", [("sf0.001", 0.05), ("sf0.1", 0.001), ("sf0.1", 0.3)])

@@ -1,5 +1,6 @@
 """Named queries of the training-data operators, over the whole given tables."""
 
+from barsignals.llm.annuli import op13_exact_top_k
 from barsignals.llm.decontamination import op6_benchmark_decontamination
 from barsignals.llm.lang_id import op1_language_id
 from barsignals.llm.lm_scoring import op9_lm_scoring
@@ -22,4 +23,5 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_document_fingerprints": op10_document_fingerprints,
+    "op13_exact_top_k": op13_exact_top_k,
 }

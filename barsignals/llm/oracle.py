@@ -56,8 +56,67 @@ WINDOW w AS (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST, cr)
 QUALIFY row_number() OVER w <= 5
 """
 
+# crc32 byte by byte; the cheapest edits of all conversations row by row, one least (cost, audit) per last role
+# (0 none, 1 system, 2 user, 3 assistant) with up to two inserts before each row.
+REPAIR = r"""
+WITH RECURSIVE src AS (
+  SELECT conv_id, coalesce(CAST(conv_id AS VARCHAR), ' ') AS k, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+                                        lambda c: CAST(ord(c) AS BIGINT)),
+                         lambda acc, b: list_reduce(range(8), lambda v, n: xor(v >> 1, 3988292384 * (v & 1)), xor(acc, b)),
+                         CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) % 20 AS kind
+  FROM conversations),
+dmg AS (
+  SELECT k, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM src WHERE kind <> 0),
+pos AS (
+  SELECT k, turn, role, text, substr(role, 1, 1) AS ini, row_number() OVER w AS i,
+         NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+         NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut,
+         lag(substr(role, 1, 1)) OVER w AS prev
+  FROM dmg WINDOW w AS (PARTITION BY k ORDER BY turn NULLS FIRST, role, text)),
+seen AS (SELECT *, row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 AS again FROM pos),
+r AS (SELECT k, turn, role, text, ini, i, blank, again AND NOT blank AS dup, cut AND NOT blank AND NOT again AS cut,
+             coalesce(prev || ini NOT IN ('su', 'ua', 'au'), FALSE) AS bad FROM seen),
+ins(s0, s1, c, e) AS (VALUES (0, 0, 0, ''), (0, 2, 2, 'I'), (0, 3, 4, 'II'), (1, 1, 0, ''), (1, 2, 2, 'I'), (1, 3, 4, 'II'),
+                             (2, 2, 0, ''), (2, 3, 2, 'I'), (2, 2, 4, 'II'), (3, 3, 0, ''), (3, 2, 2, 'I'), (3, 3, 4, 'II')),
+act(s1, ini, s2, c, e) AS (VALUES (0, 's', 1, 0, 'K'), (0, 'u', 2, 0, 'K'), (1, 'u', 2, 0, 'K'), (2, 'a', 3, 0, 'K'), (3, 'u', 2, 0, 'K'),
+                                  (0, NULL, 2, 2, 'R'), (1, NULL, 2, 2, 'R'), (2, NULL, 3, 2, 'R'), (3, NULL, 2, 2, 'R'),
+                                  (0, NULL, 0, 3, 'D'), (1, NULL, 1, 3, 'D'), (2, NULL, 2, 3, 'D'), (3, NULL, 3, 3, 'D')),
+walk AS (
+  SELECT k, CAST(0 AS BIGINT) AS i, 0 AS s, {'c': CAST(0 AS BIGINT), 'a': ''} AS x FROM (SELECT DISTINCT k FROM r)
+  UNION ALL
+  SELECT w.k, w.i + 1 AS i, act.s2 AS s,
+         min({'c': CAST(w.x.c + ins.c + act.c + CASE WHEN act.e <> 'D' AND r.cut THEN 1 ELSE 0 END AS BIGINT), 'a': w.x.a || ins.e || act.e}) AS x
+  FROM walk w JOIN ins ON ins.s0 = w.s JOIN r ON r.k = w.k AND r.i = w.i + 1
+  JOIN act ON act.s1 = ins.s1 AND (act.ini IS NULL OR act.ini = r.ini) AND (act.e = 'D' OR NOT (r.blank OR r.dup))
+  GROUP BY w.k, w.i + 1, act.s2),
+ends AS (
+  SELECT w.k, min({'c': CAST(w.x.c + ins.c AS BIGINT), 'a': w.x.a || ins.e}) AS x
+  FROM walk w JOIN (SELECT k, max(i) AS n FROM r GROUP BY k) z ON z.k = w.k AND z.n = w.i JOIN ins ON ins.s0 = w.s AND ins.s1 IN (0, 3)
+  GROUP BY w.k),
+edit AS (SELECT k, j, substr(x.a, j, 1) AS e FROM (SELECT k, x, unnest(range(1, length(x.a) + 1)) AS j FROM ends)),
+made AS (SELECT k, j, e, count(*) FILTER (e <> 'I') OVER w AS i, count(*) FILTER (e <> 'D') OVER w AS m
+         FROM edit WINDOW w AS (PARTITION BY k ORDER BY j)),
+kept AS (SELECT m.k, m.j, m.e, m.m, CASE WHEN m.e = 'I' THEN '' ELSE r.text END AS text, r.role, r.ini
+         FROM made m LEFT JOIN r ON r.k = m.k AND r.i = m.i WHERE m.e <> 'D'),
+lead AS (SELECT k, 1 AS has_s FROM kept WHERE m = 1 AND e = 'K' AND ini = 's'),
+said AS (SELECT kept.k, string_agg(CASE WHEN e = 'K' THEN role WHEN (m + coalesce(has_s, 0)) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                                   || ':' || text, chr(10) ORDER BY j) AS t
+         FROM kept LEFT JOIN lead USING (k) GROUP BY kept.k),
+stat AS (SELECT k, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate,
+                count(*) FILTER (cut) AS truncated, count(*) FILTER (bad) AS illegal FROM r GROUP BY k)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(x.c, 0) AS cost, coalesce(x.a, '') AS audit,
+       sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, k FROM src) c LEFT JOIN stat USING (k) LEFT JOIN ends USING (k) LEFT JOIN said USING (k)
+"""
+
 ORACLE = {
     "op4_suffix_array_dedup": SUFFIX_ARRAY,
     "op6_benchmark_decontamination": DECONTAMINATION,
+    "op11_conversation_repair": REPAIR,
     "op13_exact_top_k": TOP_K,
 }

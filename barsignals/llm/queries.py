@@ -5,6 +5,7 @@ from barsignals.llm.decontamination import op6_benchmark_decontamination
 from barsignals.llm.lang_id import op1_language_id
 from barsignals.llm.lm_scoring import op9_lm_scoring
 from barsignals.llm.quality import op2_quality_classifier
+from barsignals.llm.repair import op11_conversation_repair
 from barsignals.llm.repeats import op4_suffix_array_dedup
 from barsignals.llm.secrets import op3_secret_scans
 from barsignals.llm.sentencepieces import op8_sentencepiece
@@ -23,5 +24,6 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_document_fingerprints": op10_document_fingerprints,
+    "op11_conversation_repair": op11_conversation_repair,
     "op13_exact_top_k": op13_exact_top_k,
 }

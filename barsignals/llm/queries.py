@@ -1,5 +1,6 @@
 """Named queries of the training-data operators, over the whole given tables."""
 
+from barsignals.llm.alignment import op12_tokenizer_alignment
 from barsignals.llm.annuli import op13_exact_top_k
 from barsignals.llm.decontamination import op6_benchmark_decontamination
 from barsignals.llm.lang_id import op1_language_id
@@ -25,5 +26,6 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_document_fingerprints": op10_document_fingerprints,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "op13_exact_top_k": op13_exact_top_k,
 }

@@ -24,6 +24,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ class AlignParams:
     byte_level: str = BYTE_LEVEL
     pieces: str = PIECES
     work: int = 65536  # ends that one piece of the merge holds
-    held: int = 100_000  # distinct stretches that a task remembers, about
+    held: int = 400_000  # distinct stretches that a task remembers, about
     frequent: int = 1 << 18  # commonest pairs whose counts go to every task; the others meet theirs in a join
     batch: int = 1000
 
@@ -127,7 +128,7 @@ def _table(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _csr(lists: list) -> tuple[np.ndarray, np.ndarray]:
     """Integer lists as (flat, offsets)."""
     size = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter((x for part in lists for x in part), np.int64, int(size.sum()))
+    flat = np.fromiter(chain.from_iterable(lists), np.int64, int(size.sum()))
     return flat, np.concatenate([[0], np.cumsum(size)])
 
 
@@ -188,23 +189,21 @@ class Aligner:
         one, two = [], []
         for k in range(0, len(new), 8192):  # an encoding object is large
             part = [s.decode() for s in new[k:k + 8192]]
-            one += [e.ids for e in self.one.encode_batch(part, add_special_tokens=False)]
+            one += [e.ids for e in self.one.encode_batch_fast(part, add_special_tokens=False)]
             two += self.two.encode([s[1:] for s in part], num_threads=1)
         (a, a_at), (b, b_at) = _csr(one), _csr(two)
-        whole = b"".join(new)
-        data = np.frombuffer(whole, np.uint8)
-        at = np.concatenate([[0], np.cumsum([len(s) for s in new])])
+        data = np.frombuffer(b"".join(new), np.uint8)
+        at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))])
         # no tokenizer adds bytes, so a text with a stretch that isn't given back isn't either
         fits = np.ones(len(new), bool)
         for ids, id_at, table in ((a, a_at, self.table_one), (b, b_at, self.table_two)):
             back, back_at = _joined(ids, id_at, table)
             fits &= np.diff(back_at) == np.diff(at)
-            if fits.all() and len(back) == len(data):
-                differ = np.concatenate([[0], np.cumsum(back != data)])
-                fits &= differ[at[1:]] == differ[at[:-1]]
-            else:
-                raw = back.tobytes()
-                fits &= [raw[s:e] == t for s, e, t in zip(back_at[:-1].tolist(), back_at[1:].tolist(), new)]
+            same = np.flatnonzero(fits)
+            (x, size), (y, _) = _take(back, back_at, same), _take(data, at, same)
+            differ = np.concatenate([[0], np.cumsum(x != y)])
+            ends = np.cumsum(size)
+            fits[same] = differ[ends] == differ[ends - size]
         good = np.flatnonzero(fits)
         (a, na), (b, nb) = _take(a, a_at, good), _take(b, b_at, good)
         ends = lambda ids, table: np.cumsum(table[1][ids + 1] - table[1][ids])

@@ -167,7 +167,7 @@ def extremum_stages() -> Stages:
     return [{"extremum": kind}]
 
 
-def ema_stages(subs: dict[int, int], x: str = "close") -> Stages:
+def ema_stages(subs: dict[int, int], x: str = "close", known: bool = False) -> Stages:
     """Pandas-style ``ewm(span).mean()`` (normalised weights, rule Q3).
 
     ``ema_t = sum(r^(t-j) x_j) / sum(r^(t-j))`` over non-NULL ``x_j``, ``r = 1 - 2/(span+1)``.
@@ -175,7 +175,8 @@ def ema_stages(subs: dict[int, int], x: str = "close") -> Stages:
     (scaled by ``r^-k``, which stays below ``exp(2 * 46)`` there), plus the previous
     sub-block's closing sums decayed to the row; older terms weigh below
     ``r^length ~ 1e-20``. Rows with NULL ``x`` repeat the last value. Adds ``ema<span>_local``: NULL where the block's own rows hold no
-    value yet; ``carry_last`` fills those from earlier blocks.
+    value yet; ``carry_last`` fills those from earlier blocks. ``known``: rows marked
+    ``_old`` keep the value that they had in the whole series (``_known_ema<span>``).
     """
     xv = F.col(x)
     before = block_window().rowsBetween(Window.unboundedPreceding, -1)
@@ -196,5 +197,8 @@ def ema_stages(subs: dict[int, int], x: str = "close") -> Stages:
                                               F.lit(0.0))
         num = F.col(s1) * scale + decay * F.col(f"_ps1_{span}")
         den = F.col(s0) * scale + decay * F.col(f"_ps0_{span}")
-        values[f"ema{span}_local"] = F.last(own(F.when(xv.isNotNull(), safe_div(num, den))), True).over(upto)
+        here = F.when(xv.isNotNull(), safe_div(num, den))
+        if known:
+            here = F.when(F.col("_old"), F.col(f"_known_ema{span}")).otherwise(here)
+        values[f"ema{span}_local"] = F.last(own(here), True).over(upto)
     return [sums, prev, values]

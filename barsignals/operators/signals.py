@@ -42,16 +42,29 @@ def condition_columns(p: Params = DEFAULT) -> dict[str, Column]:
     }
 
 
-def condition_stages(p: Params = DEFAULT, rules=RULES) -> list[dict[str, Column]]:
+def condition_stages(p: Params = DEFAULT, rules=RULES, known: bool = False) -> list[dict[str, Column]]:
     """Conditions, then ``_p_<rule>``: the last condition before the row in the block.
 
-    Runs after the indicator stages it reads.
+    Runs after the indicator stages it reads. ``known``: rows marked ``_old`` have the
+    state that the whole series left them in (``_known_<rule>``).
     """
     conds = {k: v for k, v in condition_columns(p).items() if k[3:] in rules}
+    if known:
+        conds = {k: F.when(F.col("_old"), F.col(f"_known_{k[3:]}")).otherwise(v) for k, v in conds.items()}
     before = block_window().rowsBetween(Window.unboundedPreceding, -1)
     return [conds, {f"_p_{c[3:]}": F.last(own(F.col(c)), True).over(before) for c in conds}]
 
 
+def state_before(rule: str) -> Column:
+    """1 (long) or -1 (flat) before the row, once ``_s_<rule>_carry`` is joined in."""
+    return F.coalesce(F.col(f"_p_{rule}"), F.col(f"_s_{rule}_carry"), F.lit(-1))
+
+
+def position(rule: str) -> Column:
+    """1 (long) or -1 (flat) after the row."""
+    return F.coalesce(F.col(f"_s_{rule}"), state_before(rule))
+
+
 def latch_prices(rule: str, price: str = "adj_close") -> dict[str, Column]:
     """buy/sell price columns once ``_s_<rule>_carry`` is joined in.
 
@@ -59,6 +72,6 @@ def latch_prices(rule: str, price: str = "adj_close") -> dict[str, Column]:
     else flat (-1). Buy = up while flat, sell = down while long, price = Adj Close.
     """
     s = F.col(f"_s_{rule}")
-    prev = F.coalesce(F.col(f"_p_{rule}"), F.col(f"_s_{rule}_carry"), F.lit(-1))
+    prev = state_before(rule)
     return {f"{rule}_buy": F.when((s == 1) & (prev == -1), F.col(price)),
             f"{rule}_sell": F.when((s == -1) & (prev == 1), F.col(price))}

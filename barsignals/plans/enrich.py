@@ -19,7 +19,7 @@ from barsignals.operators.indicators import (DEFAULT, Params, apply_stages, col_
                                              rsi_stages, stochastic_stages)
 from barsignals.operators.layout import DEFAULT_CARRY_FANOUT, carry_last, lay_out, make_layout, own_rows
 from barsignals.operators.levels import filter_levels, last_levels, local_extrema
-from barsignals.operators.signals import RULES, condition_stages, latch_prices
+from barsignals.operators.signals import RULES, condition_stages, latch_prices, position
 from barsignals.schema import BAR_COLUMNS, SchemaError, conform_bars
 
 GROUPS = ("sma", "ema", "stochastic", "rsi", "extrema", "signals")
@@ -67,19 +67,35 @@ def _expand(include: Iterable[str], rules: Iterable[str]) -> set[str]:
 
 def enrich(bars: DataFrame, params: Params = DEFAULT, include: Iterable[str] = GROUPS,
            block_rows: int = DEFAULT_BLOCK_ROWS, segment: str | None = None,
-           carry_fanout: int = DEFAULT_CARRY_FANOUT, rules: Iterable[str] = RULES) -> DataFrame:
+           carry_fanout: int = DEFAULT_CARRY_FANOUT, rules: Iterable[str] = RULES, positions: bool = False) -> DataFrame:
     """Bars with the requested indicator groups (all by default) and signal ``rules``.
 
     ``bars`` must already be range- and symbol-filtered (rule Q18); their extra columns
     stay. No job runs here. ``segment`` is the time unit of the position step; it should
     hold at most a few million bars of one symbol. By default ``year`` for DATE bars and
-    ``month`` for timestamp bars (use ``day`` for second bars).
+    ``month`` for timestamp bars (use ``day`` for second bars). ``positions`` adds
+    ``<rule>_position`` after each bar: 1 (bought) or -1 (flat).
     """
+    return _enrich(conform_bars(bars), params, include, block_rows, segment, carry_fanout, rules, positions)
+
+
+KNOWN = "_known_"
+
+
+def bars_back(params: Params = DEFAULT, include: Iterable[str] = GROUPS, rules: Iterable[str] = RULES) -> int:
+    """Rows before a bar that its indicators read (what a series' state has to hold)."""
+    inc = _expand(include, _rules(rules) if "signals" in set(include) else ())
+    return max([params.bounded_lookback(), *(params.ema_sub_blocks().values() if "ema" in inc else ())])
+
+
+def _enrich(bars: DataFrame, params: Params, include: Iterable[str], block_rows: int, segment: str | None,
+            carry_fanout: int, rules: Iterable[str], positions: bool, known: bool = False) -> DataFrame:
+    """``enrich`` over conformed bars; ``known``: rows marked ``_old`` carry ``_known_*`` results of an earlier run."""
     rules = _rules(rules) if "signals" in set(include) else ()
     inc = _expand(include, rules)
-    bars = conform_bars(bars)
-    out_cols = output_columns(params, inc, rules)
-    extra = [c for c in bars.columns if c not in BAR_COLUMNS]
+    out_cols = output_columns(params, inc, rules) + [f"{r}_position" for r in rules if positions]
+    held = ["_old", *[c for c in bars.columns if c.startswith(KNOWN)]] if known else []
+    extra = [c for c in bars.columns if c not in BAR_COLUMNS and c not in held]
     clash = [c for c in extra if c in out_cols or c.startswith("_")]
     if clash:
         raise SchemaError(f"bars have columns that the result uses: {clash}")
@@ -100,10 +116,10 @@ def enrich(bars: DataFrame, params: Params = DEFAULT, include: Iterable[str] = G
     if "extrema" in inc:
         groups.append(extremum_stages())
     if subs:
-        groups.append(ema_stages(subs))
+        groups.append(ema_stages(subs, known=known))
     stages = merge_stages(*groups)
     if rules:
-        stages += condition_stages(params, rules)
+        stages += condition_stages(params, rules, known)
     df = own_rows(apply_stages(df, stages))
     carried = [f"ema{s}_local" for s in subs] + [f"_s_{r}" for r in rules]
     if carried:
@@ -111,9 +127,11 @@ def enrich(bars: DataFrame, params: Params = DEFAULT, include: Iterable[str] = G
     final = {f"ema{s}": F.coalesce(F.col(f"ema{s}_local"), F.col(f"ema{s}_local_carry")) for s in subs}
     for r in rules:
         final.update(latch_prices(r))
+        if positions:
+            final[f"{r}_position"] = position(r)
     if final:
         df = df.withColumns(final)
-    return df.select(*BAR_COLUMNS, *extra, *out_cols[len(BAR_COLUMNS):])
+    return df.select(*BAR_COLUMNS, *extra, *out_cols[len(BAR_COLUMNS):], *[c for c in held if c == "_old"])
 
 
 def indicators(bars: DataFrame, params: Params = DEFAULT, **kw) -> DataFrame:

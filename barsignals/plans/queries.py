@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barsignals.functions.scalar import symbol_base
-from barsignals.operators.filters import default_range
+from barsignals.operators.filters import default_range, in_range
 from barsignals.operators.indicators import Params
 from barsignals.operators.levels import local_extrema
 from barsignals.operators.profile import symbol_profile
@@ -25,6 +25,7 @@ from barsignals.plans import bindings as B
 from barsignals.plans.catalog import register_views
 from barsignals.plans.charts import chart, chart_titles
 from barsignals.plans.enrich import enrich, extrema, levels, support_resistance
+from barsignals.plans.resume import advance, resume, series_state
 from barsignals.sources.bars import load_bars
 from barsignals.sources.sinks import write_enriched
 from barsignals.staging import staged, staging_path
@@ -36,6 +37,7 @@ LONG_EMA = Params(ema_fast=5, ema_slow=100)
 BAND = Params(level_sensitivity=0.6)  # wide enough that some levels drop
 FINE_PRICE = 0.125  # prices times this have three decimals, many of them ties
 RECENT_AS_OF = "1999-01-01"
+RESUME_AT = ("1997-07-01", "1998-02-10")
 
 # The ad-hoc question, as SQL text over the registered view.
 ADHOC_SQL = """SELECT symbol, count(*) AS n_bars, round(avg(rsi), 4) AS avg_rsi,
@@ -240,6 +242,18 @@ def q_enriched_daily(spark, sf):
     return rounded(enrich(stored(B.lineitem_bars(spark, sf, "day"))))
 
 
+def q_enriched_resumed(spark, sf):
+    """Daily bars up to a day, then two later deliveries, each from the state that the run before it left."""
+    bars = stored(B.lineitem_bars(spark, sf, "day"))
+    history = staged(enrich(bars.filter(F.col("bar_date") < RESUME_AT[0]), positions=True), "history")
+    state = staged(series_state(history), "state")
+    for start, end in zip(RESUME_AT, [*RESUME_AT[1:], None]):
+        out = staged(resume(state, in_range(bars, start, end)), "resumed")
+        state = staged(series_state(advance(state, out)), "state")
+        history = advance(history, out)
+    return rounded(history.drop("sma_position", "ema_position", "stoch_position"))
+
+
 def q_enriched_events(spark, sf):
     return rounded(enrich(stored(B.event_bars(spark, sf, "hour"))))
 
@@ -280,6 +294,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "enriched_daily": q_enriched_daily,
     "enriched_events": q_enriched_events,
     "enriched_blocks": q_enriched_blocks,
+    "enriched_resumed": q_enriched_resumed,
     "signals_daily": q_signals_daily,
     "levels_daily": q_levels_daily,
     "levels_band": q_levels_band,

@@ -10,6 +10,7 @@ from barsignals.functions.scalar import nan_to_null
 
 SYMBOL = "symbol"
 BAR_DATE = "bar_date"
+YEAR_COLUMN = "bar_year"  # the partition column of stored bars
 PRICE_COLUMNS = ["open", "high", "low", "close", "adj_close", "volume"]
 BAR_COLUMNS = [SYMBOL, BAR_DATE, *PRICE_COLUMNS]
 

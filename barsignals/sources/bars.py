@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 
 from barsignals.functions.scalar import nan_to_null
 from barsignals.operators.filters import for_symbols, in_range
-from barsignals.schema import BARS_SCHEMA, SchemaError, conform_bars, duplicate_keys
+from barsignals.schema import (BAR_DATE, BARS_SCHEMA, SYMBOL, YEAR_COLUMN, SchemaError, conform_bars,
+                               duplicate_keys)
 
 DATE_UNITS = ("year", "quarter", "month", "week", "day")
 TIME_UNITS = ("hour", "minute", "second")
@@ -19,13 +20,17 @@ TIME_UNITS = ("hour", "minute", "second")
 
 def load_bars(spark: SparkSession, path: str, fmt: str = "parquet", symbols=None,
               start=None, end=None, schema: T.StructType | None = None,
-              options: dict[str, str] | None = None, check_unique: bool = False) -> DataFrame:
+              options: dict[str, str] | None = None, check_unique: bool = False,
+              revision: str | None = None) -> DataFrame:
     """Read stored bars, check the schema, then apply P1/P3 before any window.
 
     The range and symbol filters are plain predicates on the scan, so Catalyst pushes
-    them into the Parquet reader (row-group skipping). ``check_unique`` runs one
-    grouped count (a job) and rejects duplicate ``(symbol, bar_date)`` keys (T1):
-    positions, and with them every indicator, are undefined on duplicates.
+    them into the Parquet reader (row-group skipping); where the bars are stored by
+    ``bar_year`` (``write_enriched``), the range also selects the years, and the other
+    years' files are not listed or opened. A repeated ``(symbol, bar_date)`` (T1) has no
+    place in a series: ``check_unique`` rejects it here with one grouped count (a job);
+    otherwise the position step raises when the rows are read. ``revision`` names a
+    version column by which corrected bars replace earlier ones (``latest_revisions``).
     """
     reader = spark.read.format(fmt).options(**(options or {}))
     if fmt in ("csv", "json"):
@@ -37,15 +42,47 @@ def load_bars(spark: SparkSession, path: str, fmt: str = "parquet", symbols=None
     bars = conform_bars(reader.load(path))
     if start is not None or end is not None:
         bars = in_range(bars, start, end)
+        if YEAR_COLUMN in bars.columns:
+            bars = in_years(bars, start, end)
     if symbols is not None:
         bars = for_symbols(bars, symbols)
-    if check_unique:
+    if revision is not None:
+        bars = latest_revisions(bars, revision)
+    elif check_unique:
         dup = duplicate_keys(bars).limit(1).collect()
         if dup:
             raise SchemaError(f"duplicate (symbol, bar_date) in {path}: {dup[0]['symbol']!r}, {dup[0]['bar_date']}")
     return bars
 
 
+def in_years(bars: DataFrame, start=None, end=None) -> DataFrame:
+    """Partitions by year that ``start <= bar_date < end`` can touch (bounds given as values, not columns)."""
+    low, high = _as_time(start), _as_time(end)
+    year = F.col(YEAR_COLUMN)
+    if isinstance(low, dt.date):
+        bars = bars.filter(year >= low.year)
+    if isinstance(high, dt.date):
+        bars = bars.filter(year <= high.year)
+    return bars
+
+
+def latest_revisions(bars: DataFrame, revision: str) -> DataFrame:
+    """T1 for corrected bars: of each ``(symbol, bar_date)`` the row of the greatest ``revision``.
+
+    One grouped maximum (one exchange, pre-aggregated: a bar corrected very often costs
+    one row per map task). Of rows with one revision the greatest in column order wins,
+    so the result is one of the rows as a whole. A bar that comes more than once with a
+    missing revision has no order and raises. Columns stay, ``revision`` among them.
+    """
+    rest = [c for c in bars.columns if c not in (SYMBOL, BAR_DATE, revision)]
+    row = F.max(F.struct(revision, *rest))
+    unordered = F.raise_error(F.concat(F.lit("a repeated bar has no revision: "), F.col(SYMBOL).cast("string"),
+                                       F.lit(", "), F.col(BAR_DATE).cast("string"))).cast("boolean")
+    best = bars.groupBy(SYMBOL, BAR_DATE).agg(row.alias("_row"), F.count("*").alias("_n"), F.count(revision).alias("_versions"))
+    checked = best.filter(F.when((F.col("_n") > 1) & (F.col("_versions") < F.col("_n")), unordered).otherwise(True))
+    return checked.select(*[F.col(c) if c in (SYMBOL, BAR_DATE) else F.col(f"_row.{c}").alias(c) for c in bars.columns])
+
+
 def bar_key(ts: Column, unit: str, ntz: bool = True) -> Column:
     """Bar start for a tick time: DATE for calendar units, a timestamp below a day.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barsignals.schema import YEAR_COLUMN
+
 
 def write_enriched(df: DataFrame, path: str, mode: str = "errorifexists", fmt: str = "parquet") -> None:
     """Write partitioned by bar year (low cardinality), rows clustered by symbol.
@@ -15,6 +17,6 @@ def write_enriched(df: DataFrame, path: str, mode: str = "errorifexists", fmt: s
     skip row groups on symbol and date filters. Nothing is overwritten unless ``mode``
     says so: "append" adds, "overwrite" replaces the years that ``df`` holds.
     """
-    out = df.withColumn("bar_year", F.year("bar_date")).hint("rebalance", "bar_year")
-    (out.sortWithinPartitions("bar_year", "symbol", "bar_date")
-        .write.mode(mode).format(fmt).partitionBy("bar_year").option("partitionOverwriteMode", "dynamic").save(path))
+    out = df.withColumn(YEAR_COLUMN, F.year("bar_date")).hint("rebalance", YEAR_COLUMN)
+    (out.sortWithinPartitions(YEAR_COLUMN, "symbol", "bar_date")
+        .write.mode(mode).format(fmt).partitionBy(YEAR_COLUMN).option("partitionOverwriteMode", "dynamic").save(path))

@@ -6,7 +6,9 @@ so "last" means last in time (rule Q15).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barsignals.operators.indicators import DEFAULT
@@ -47,3 +49,32 @@ def last_levels(levels: DataFrame) -> DataFrame:
     """The chronologically last surviving level per symbol and kind."""
     return levels.groupBy("symbol", "kind").agg(
         F.max_by("level", "bar_date").alias("level"), F.max("bar_date").alias("bar_date"))
+
+
+def level_clusters(levels: DataFrame, tolerance: float = DEFAULT.level_sensitivity) -> DataFrame:
+    """Levels that lie close together, as one row each: (symbol, kind, cluster, low, high, mean, hits, first_date, last_date).
+
+    Sorted by price, a level further than ``tolerance * |previous level|`` above the one
+    before it starts a new cluster; clusters are numbered upwards from 0, and ``hits`` is
+    how many bars turned there. Prices are first grouped into cells half as wide as the
+    tolerance, whose levels always belong together, with map-side partial aggregation;
+    only one row per cell is sorted, so a window group holds as many rows as the price
+    range has cells (some hundreds), whatever the number of bars. NULL levels count for
+    nothing.
+    """
+    if not tolerance > 0:
+        raise ValueError("the tolerance must be positive")
+    lv = F.col("level")
+    width = math.log1p(tolerance) / 2
+    # NULL for a level of zero, which is a cell of its own
+    cell = F.floor(F.ln(F.when(lv != 0, F.abs(lv))) / F.lit(width))
+    cells = levels.filter(lv.isNotNull()).groupBy("symbol", "kind", F.signum(lv).alias("_sign"), cell.alias("_cell")).agg(
+        F.min(lv).alias("low"), F.max(lv).alias("high"), F.sum(lv).alias("_sum"), F.count(lv).alias("hits"),
+        F.min("bar_date").alias("first_date"), F.max("bar_date").alias("last_date"))
+    upwards = Window.partitionBy("symbol", "kind").orderBy("low")
+    before = F.lag("high").over(upwards)
+    fresh = F.when(F.col("low") - before > F.lit(float(tolerance)) * F.abs(before), 1).otherwise(0)
+    marked = cells.withColumn("_fresh", fresh).withColumn("cluster", F.sum("_fresh").over(upwards))
+    return marked.groupBy("symbol", "kind", "cluster").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), (F.sum("_sum") / F.sum("hits")).alias("mean"), F.sum("hits").alias("hits"),
+        F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"))

@@ -9,6 +9,9 @@
   to a vote label below. No type maps to STRONG_SELL, so that label is absent (P5).
 - Fundamentals: ``events.props`` JSON documents, and a document per supplier (one with
   the name and balance, and one with all nine keys, some of them missing).
+- Corrected bars: daily bars delivered as revision 1, some of them again as 2 and 0.
+- Dated facts: a customer's order stands for a report of the company with that number.
+- Documents of unknown shape: a supplier's values at the top, nested or with a wrong type.
 - Watch list: suppliers of the nations of one region (a semi-join, P3).
 """
 
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barsignals.sources.bars import bars_from_ticks
-from barsignals.sources.fundamentals import FUNDAMENTALS_SCHEMA, load_fundamentals
+from barsignals.sources.fundamentals import FUNDAMENTALS_SCHEMA, load_any_document, load_fundamentals
 from barsignals.sources.votes import VOTE_LABELS, votes_from_tall
 
 # Fixed values for the bindings.
@@ -88,3 +91,39 @@ def watchlist(spark: SparkSession, sf_dir: str, region: str = WATCH_REGION) -> D
     n = table(spark, sf_dir, "nation").join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left_semi")
     s = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"), "left_semi")
     return s.select(F.col("s_suppkey").alias("symbol"))
+
+
+def revised_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars with a ``revision``: all as 1, every third day of the month corrected by 2, every fourth preceded by 0."""
+    first = lineitem_bars(spark, sf_dir, "day").withColumn("revision", F.lit(1))
+    day = F.dayofmonth("bar_date")
+    scaled = lambda k: {c: F.col(c) * k for c in ("high", "low", "close", "adj_close")}
+    better = first.filter(day % 3 == 0).withColumns(scaled(1.25)).withColumn("revision", F.lit(2))
+    stale = first.filter(day % 4 == 0).withColumns(scaled(0.5)).withColumn("revision", F.lit(0))
+    return stale.unionByName(better).unionByName(first)
+
+
+def order_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_custkey").alias("symbol"), F.to_date("o_orderdate").alias("reported"),
+                    F.col("o_totalprice").cast("double").alias("revenue"), F.col("o_orderstatus").alias("status"))
+
+
+# Where a supplier's document may hold a value.
+DOCUMENT_PATHS = {"totalCash": ["$.totalCash", "$.balance.totalCash"], "totalDebt": ["$.balance.debts[0]", "$.totalDebt"],
+                  "debtToEquity": ["$.ratios.debt.toEquity"], "longBusinessSummary": ["$.about.summary", "$.longBusinessSummary"]}
+
+
+def supplier_any_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose shape depends on the supplier: values nested, at the top, as text, or missing."""
+    k, bal, name = F.col("s_suppkey"), F.col("s_acctbal"), F.col("s_name")
+    cash = F.floor(bal)
+    nested = F.to_json(F.struct(F.struct(cash.alias("totalCash"), F.array(F.floor(bal / 2), F.lit(1)).alias("debts")).alias("balance"),
+                                F.struct(F.struct(((k % 32) / 8).alias("toEquity")).alias("debt")).alias("ratios"),
+                                F.struct(name.alias("summary")).alias("about"), (bal / 16384).alias("profitMargins")))
+    flat = F.to_json(F.struct(cash.alias("totalCash"), F.floor(bal / 4).alias("totalDebt"), name.alias("longBusinessSummary"),
+                              F.lit("n/a").alias("profitMargins")))
+    wrong = F.to_json(F.struct(F.concat(cash.cast("string"), F.lit(" EUR")).alias("totalCash"), F.struct(F.array(name).alias("debts")).alias("balance"),
+                               F.lit(7).alias("longBusinessSummary"), (k % 2 == 0).alias("profitMargins"), F.floor(bal * 8).alias("netIncomeToCommon")))
+    doc = F.when(k % 4 == 0, nested).when(k % 4 == 1, flat).when(k % 4 == 2, wrong).otherwise(F.concat(F.lit("{"), name))
+    return load_any_document(table(spark, sf_dir, "supplier").select(k.alias("symbol"), doc.alias("info")), "info", paths=DOCUMENT_PATHS)

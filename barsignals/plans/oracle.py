@@ -10,7 +10,7 @@ minute bars of ``ema_long`` use truncated weighted sums instead.
 from __future__ import annotations
 
 from barsignals.plans import bindings as B
-from barsignals.plans.queries import BAND, DECIMALS, FINE_PRICE, LOOSE, LOOSE_DECIMALS, RECENT_AS_OF
+from barsignals.plans.queries import BAND, CLUSTER_GAP, DECIMALS, FINE_PRICE, LOOSE, LOOSE_DECIMALS, RECENT_AS_OF
 from barsignals.operators.filters import default_range
 from barsignals.operators.indicators import DEFAULT
 from barsignals.functions.scalar import TIE_RTOL
@@ -306,6 +306,64 @@ def _roundtrip(watch: str) -> str:
     return _with(lineitem_bars_cte("day"), enriched_ctes(src)) + _cols("close", "volume", "sma15", "rsi")
 
 
+def _revised() -> str:
+    """Every delivery as a row, the latest revision of each day by rank, then the plain averages."""
+    versions = [("1", "1.0", "TRUE"), ("2", "1.25", "day(bar_date) % 3 = 0"), ("0", "0.5", "day(bar_date) % 4 = 0")]
+    rows = " UNION ALL ".join(f"SELECT symbol, bar_date, {v} AS revision, high * {k} AS high, close * {k} AS close, adj_close * {k} AS adj_close "
+                              f"FROM bars WHERE {w}" for v, k, w in versions)
+    latest = f"""latest AS (SELECT * FROM ({rows}) WHERE bar_date >= DATE '{B.RANGE_START}' AND bar_date < DATE '{B.RANGE_END}'
+  QUALIFY row_number() OVER (PARTITION BY symbol, bar_date ORDER BY revision DESC) = 1)"""
+    pos = "pos AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_date) - 1 AS t FROM latest)"
+    return _with(lineitem_bars_cte("day"), latest, pos) + f"""SELECT symbol, bar_date, revision, round(high, {D}) AS high, round(close, {D}) AS close,
+  round(adj_close, {D}) AS adj_close, round({_full('avg', 'close', 5)}, {D}) AS sma5 FROM pos"""
+
+
+def _fundamentals_any() -> str:
+    kind = "s_suppkey % 4"
+    value = {
+        "profitMargins": f"CASE WHEN {kind} = 0 THEN round(s_acctbal / 16384, {D}) END",
+        "netIncomeToCommon": f"CASE WHEN {kind} = 2 THEN CAST(floor(s_acctbal * 8) AS BIGINT) END",
+        "enterpriseToEbitda": "CAST(NULL AS DOUBLE)",
+        "totalCash": f"CASE WHEN {kind} IN (0, 1) THEN CAST(floor(s_acctbal) AS BIGINT) END",
+        "totalDebt": f"CASE {kind} WHEN 0 THEN CAST(floor(s_acctbal / 2) AS BIGINT) WHEN 1 THEN CAST(floor(s_acctbal / 4) AS BIGINT) END",
+        "ebitdaMargins": "CAST(NULL AS DOUBLE)", "operatingMargins": "CAST(NULL AS DOUBLE)",
+        "debtToEquity": f"CASE WHEN {kind} = 0 THEN (s_suppkey % 32) / 8.0::DOUBLE END",
+        "longBusinessSummary": f"CASE WHEN {kind} IN (0, 1) THEN s_name END"}
+    return "SELECT s_suppkey AS symbol, " + ", ".join(f"{v} AS {c}" for c, v in value.items()) + " FROM supplier"
+
+
+def _as_of() -> str:
+    return _with(lineitem_bars_cte("day"), """reports AS (
+  SELECT o_custkey AS symbol, CAST(o_orderdate AS DATE) AS reported, CAST(o_totalprice AS DOUBLE) AS revenue, o_orderstatus AS status FROM orders
+  QUALIFY row_number() OVER (PARTITION BY o_custkey, CAST(o_orderdate AS DATE) ORDER BY o_totalprice DESC, o_orderstatus DESC) = 1)""") + \
+        f"""SELECT b.symbol, b.bar_date, round(b.close, {D}) AS close, round(b.volume, {D}) AS volume, r.reported, round(r.revenue, {D}) AS revenue, r.status
+FROM bars b ASOF LEFT JOIN reports r ON b.symbol = r.symbol AND b.bar_date >= r.reported"""
+
+
+def _clusters(gap: float) -> str:
+    return _with(lineitem_bars_cte("day"), enriched_ctes(), levels_ctes(),
+                 f"""edge AS (SELECT *, CASE WHEN level - lag(level) OVER w > {_dbl(gap)} * abs(lag(level) OVER w) THEN 1 ELSE 0 END AS fresh,
+                 row_number() OVER w AS n FROM ext WINDOW w AS (PARTITION BY symbol, kind ORDER BY level, bar_date))""",
+                 "island AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY symbol, kind ORDER BY n) AS BIGINT) AS cluster FROM edge)") + \
+        f"""SELECT symbol, kind, cluster, round(min(level), {D}) AS low, round(max(level), {D}) AS high, round(avg(level), {D}) AS mean,
+  count(*) AS hits, min(bar_date) AS first_date, max(bar_date) AS last_date FROM island GROUP BY symbol, kind, cluster"""
+
+
+def _functions() -> str:
+    """Spans that the enriched frame lacks, as windows; the EMA in closed form."""
+    ratio = _dbl(1.0 - 2.0 / 10.0)
+    cum = "(PARTITION BY symbol ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    moves = "(PARTITION BY symbol ORDER BY t ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)"
+    return _with(_month(), "pos AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_date) - 1 AS t FROM bars)",
+                 "step AS (SELECT *, coalesce(close - lag(close) OVER (PARTITION BY symbol ORDER BY t), 0) AS d FROM pos)",
+                 f"""f AS (SELECT symbol, bar_date, {_full('avg', 'close', 7)} AS sma7, {_full('avg', 'close', 3)} AS sma3,
+  {_full('stddev_samp', 'close', 7)} AS std7, sum(close * power({ratio}, -t)) OVER {cum} / sum(power({ratio}, -t)) OVER {cum} AS ema9,
+  CASE WHEN t >= 13 THEN 100 * sum(greatest(d, 0)) OVER {moves} / nullif(sum(abs(d)) OVER {moves}, 0) END AS rsi14,
+  100 * (close - {_full('min', 'low', 9)}) / nullif({_full('max', 'high', 9)} - {_full('min', 'low', 9)}, 0) AS k9 FROM step)""") + \
+        f"""SELECT symbol, bar_date, round(sma7, {D}) AS sma7, {r('std7', 'std7')}, {r('ema9', 'ema9')}, round(rsi14, {D}) AS rsi14, round(k9, {D}) AS k9,
+  {_state('sma3', 'sma7')} AS crossing FROM f"""
+
+
 def _snapshot(scale: float = 1.0) -> str:
     cols = ", ".join(f"round({even2(f'arg_max_null({c}, bar_date) * {_dbl(scale)}')}, {D}) AS {c}" for c in ("close", "high", "low"))
     return _with(_month()) + f"SELECT symbol, max(bar_date) AS bar_date, {cols} FROM bars GROUP BY symbol"
@@ -364,4 +422,9 @@ def oracle_sql() -> dict[str, str]:
         "ema_long": _ema_long(),
         "fundamentals_full": _fundamentals_full(),
         "load_roundtrip": _roundtrip(watch),
+        "bars_revised": _revised(),
+        "fundamentals_any": _fundamentals_any(),
+        "bars_as_of": _as_of(),
+        "level_clusters": _clusters(CLUSTER_GAP),
+        "adhoc_functions": _functions(),
     }

@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barsignals.functions.scalar import symbol_base
+from barsignals.operators.asof import as_of
 from barsignals.operators.filters import default_range, in_range
 from barsignals.operators.indicators import Params
-from barsignals.operators.levels import local_extrema
+from barsignals.operators.levels import level_clusters, local_extrema
 from barsignals.operators.profile import symbol_profile
 from barsignals.operators.snapshot import latest_snapshot
 from barsignals.operators.votes import vote_share
 from barsignals.plans import bindings as B
-from barsignals.plans.catalog import register_views
+from barsignals.plans.catalog import recent_bars, register_functions, register_views
 from barsignals.plans.charts import chart, chart_titles
 from barsignals.plans.enrich import enrich, extrema, levels, support_resistance
 from barsignals.plans.resume import advance, resume, series_state
@@ -37,6 +38,7 @@ LONG_EMA = Params(ema_fast=5, ema_slow=100)
 BAND = Params(level_sensitivity=0.6)  # wide enough that some levels drop
 FINE_PRICE = 0.125  # prices times this have three decimals, many of them ties
 RECENT_AS_OF = "1999-01-01"
+CLUSTER_GAP = 0.002
 RESUME_AT = ("1997-07-01", "1998-02-10")
 
 # The ad-hoc question, as SQL text over the registered view.
@@ -46,6 +48,13 @@ ADHOC_SQL = """SELECT symbol, count(*) AS n_bars, round(avg(rsi), 4) AS avg_rsi,
 FROM bars_enriched GROUP BY symbol"""
 
 
+# Another one, with indicators that the enriched frame does not hold.
+FUNCTION_SQL = """SELECT symbol, bar_date, bar_sma(closes, 7) AS sma7, bar_std(closes, 7) AS std7, bar_ema(closes, 9) AS ema9,
+       bar_rsi(closes, 14) AS rsi14, bar_stoch_k(closes, highs, lows, 9) AS k9,
+       bar_cross(bar_sma(closes, 3), bar_sma(closes, 7)) AS crossing
+FROM bars_recent"""
+
+
 def decimals(name: str) -> int:
     return LOOSE_DECIMALS if name.startswith(LOOSE) and not name.endswith(("_buy", "_sell", "_price")) else DECIMALS
 
@@ -229,6 +238,35 @@ def q_load_roundtrip(spark, sf):
     return _cols(enrich(bars, include=("sma", "rsi")), "close", "volume", "sma15", "rsi")
 
 
+def q_bars_revised(spark, sf):
+    """Corrected bars stored by year, a range of them read back in their latest revision."""
+    path = staging_path(spark, "revisions")
+    write_enriched(B.revised_bars(spark, sf), path)
+    bars = load_bars(spark, path, start=B.RANGE_START, end=B.RANGE_END, revision="revision")
+    return _cols(enrich(stored(bars), include=("sma",)), "revision", "high", "close", "adj_close", "sma5")
+
+
+def q_fundamentals_any(spark, sf):
+    return rounded(B.supplier_any_documents(spark, sf))
+
+
+def q_bars_as_of(spark, sf):
+    """J3 at a point in time: each daily bar with the latest report up to its day."""
+    bars = B.lineitem_bars(spark, sf, "day").select("symbol", "bar_date", "close", "volume")
+    return rounded(as_of(bars, B.order_reports(spark, sf), ["revenue", "status"], at="reported"))
+
+
+def q_level_clusters(spark, sf):
+    return rounded(level_clusters(local_extrema(extrema(stored(B.lineitem_bars(spark, sf, "day")))), CLUSTER_GAP))
+
+
+def q_adhoc_functions(spark, sf):
+    """A question that calls indicators with spans of its own."""
+    register_functions(spark)
+    register_views(recent_bars(stored(monthly(spark, sf)), 120), "bars_recent")
+    return rounded(spark.sql(FUNCTION_SQL))
+
+
 def q_adhoc_sql(spark, sf):
     register_views(enrich(stored(monthly(spark, sf))), "bars_enriched")
     return spark.sql(ADHOC_SQL)
@@ -302,4 +340,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fundamentals_full": q_fundamentals_full,
     "snapshot_rounded": q_snapshot_rounded,
     "load_roundtrip": q_load_roundtrip,
+    "bars_revised": q_bars_revised,
+    "fundamentals_any": q_fundamentals_any,
+    "bars_as_of": q_bars_as_of,
+    "level_clusters": q_level_clusters,
+    "adhoc_functions": q_adhoc_functions,
 }

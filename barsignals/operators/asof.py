@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barsignals.operators.layout import BAR_DATE, DEFAULT_CARRY_FANOUT, SYMBOL, _last_before
+from barsignals.schema import SchemaError
 
 SEGMENTS = {"year": lambda t: F.year(t), "month": lambda t: F.year(t) * 12 + F.month(t), "day": lambda t: F.unix_date(F.to_date(t))}
 
@@ -29,6 +30,9 @@ def as_of(bars: DataFrame, facts: DataFrame, columns: Sequence[str], at: str = "
     """
     if segment not in SEGMENTS:
         raise ValueError(f"unknown segment {segment!r}; use one of {sorted(SEGMENTS)}")
+    clash = [c for c in (at, *columns) if c in bars.columns]
+    if clash:
+        raise SchemaError(f"bars already have columns {clash}")
     fact = F.struct(F.col(at), *columns)
     kept = [c for c in bars.columns if c not in (SYMBOL, BAR_DATE)]
     row = F.struct(*kept) if kept else F.struct(F.lit(1).alias("_one"))

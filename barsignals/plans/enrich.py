@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from barsignals.operators.indicators import (DEFAULT, Params, apply_stages, col_names, ema_stages,
                                              extremum_stages, merge_stages, moving_average_stages,
                                              rsi_stages, stochastic_stages)
-from barsignals.operators.layout import DEFAULT_CARRY_FANOUT, carry_last, lay_out, make_layout, own_rows
+from barsignals.operators.layout import DEFAULT_CARRY_FANOUT, Layout, carry_last, lay_out, make_layout, own_rows
 from barsignals.operators.levels import filter_levels, last_levels, local_extrema
 from barsignals.operators.signals import RULES, condition_stages, latch_prices, position
 from barsignals.schema import BAR_COLUMNS, SchemaError, conform_bars
@@ -105,7 +105,22 @@ def _enrich(bars: DataFrame, params: Params, include: Iterable[str], block_rows:
     layout = make_layout(max([params.bounded_lookback(), *subs.values()]), ahead=1 if "extrema" in inc else 0,
                          block_rows=block_rows, segment=segment,
                          sub=max(subs.values(), default=1), fine=min(subs.values(), default=1))
-    df = lay_out(bars, layout)
+    return _over_blocks(lay_out(bars, layout), bars.columns, params, inc, rules, carry_fanout, positions, known)
+
+
+def series_layout(params: Params = DEFAULT, block_rows: int = DEFAULT_BLOCK_ROWS, segment: str = "year") -> Layout:
+    """The layout that holds what every indicator group needs."""
+    subs = params.ema_sub_blocks()
+    return make_layout(max(params.bounded_lookback(), *subs.values()), 1, block_rows, segment, max(subs.values()), min(subs.values()))
+
+
+def _over_blocks(df: DataFrame, columns: list[str], params: Params, inc: set[str], rules: tuple[str, ...],
+                 carry_fanout: int, positions: bool = False, known: bool = False) -> DataFrame:
+    """The indicators of laid-out bars, which have ``columns`` besides those of the layout."""
+    out_cols = output_columns(params, inc, rules) + [f"{r}_position" for r in rules if positions]
+    held = ["_old", *[c for c in columns if c.startswith(KNOWN)]] if known else []
+    extra = [c for c in columns if c not in BAR_COLUMNS and c not in held]
+    subs = params.ema_sub_blocks() if "ema" in inc else {}
     groups = []
     if "sma" in inc:
         groups.append(moving_average_stages(params))
@@ -123,7 +138,7 @@ def _enrich(bars: DataFrame, params: Params, include: Iterable[str], block_rows:
     df = own_rows(apply_stages(df, stages))
     carried = [f"ema{s}_local" for s in subs] + [f"_s_{r}" for r in rules]
     if carried:
-        df = carry_last(df, carried, carry_fanout, pins=bars.columns)
+        df = carry_last(df, carried, carry_fanout, pins=columns)
     final = {f"ema{s}": F.coalesce(F.col(f"ema{s}_local"), F.col(f"ema{s}_local_carry")) for s in subs}
     for r in rules:
         final.update(latch_prices(r))

@@ -413,6 +413,7 @@ def oracle_sql() -> dict[str, str]:
         "enriched_daily": _with(lineitem_bars_cte("day"), enriched_ctes()) + _enriched_select(),
         "enriched_events": _with(event_bars_cte(), enriched_ctes()) + _enriched_select(),
         "enriched_blocks": _with(lineitem_bars_cte("day"), enriched_ctes()) + _enriched_select(),
+        "enriched_bucketed": _with(lineitem_bars_cte("day"), enriched_ctes()) + _enriched_select(),
         "enriched_resumed": _with(lineitem_bars_cte("day"), enriched_ctes()) + _enriched_select(),
         "signals_daily": _with(lineitem_bars_cte("day"), enriched_ctes()) + _cols(*SIGNAL_COLS),
         "levels_daily": _with(lineitem_bars_cte("day"), enriched_ctes(), levels_ctes()) +

@@ -8,6 +8,7 @@ fixed order (``LOOSE``): there the last bits differ between any two engines.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,7 @@ from barsignals.plans.charts import chart, chart_titles
 from barsignals.plans.enrich import enrich, extrema, levels, support_resistance
 from barsignals.plans.resume import advance, resume, series_state
 from barsignals.sources.bars import load_bars
+from barsignals.sources.blocks import enrich_blocks, write_blocks
 from barsignals.sources.sinks import write_enriched
 from barsignals.staging import staged, staging_path
 
@@ -280,6 +282,13 @@ def q_enriched_daily(spark, sf):
     return rounded(enrich(stored(B.lineitem_bars(spark, sf, "day"))))
 
 
+def q_enriched_bucketed(spark, sf):
+    """Daily bars stored by symbol and block, enriched without moving them."""
+    table = f"bars_by_block_{uuid.uuid4().hex}"
+    write_blocks(stored(B.lineitem_bars(spark, sf, "day")), table, 16, block_rows=690, path=staging_path(spark, "blocks"))
+    return rounded(enrich_blocks(spark, table))
+
+
 def q_enriched_resumed(spark, sf):
     """Daily bars up to a day, then two later deliveries, each from the state that the run before it left."""
     bars = stored(B.lineitem_bars(spark, sf, "day"))
@@ -332,6 +341,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "enriched_daily": q_enriched_daily,
     "enriched_events": q_enriched_events,
     "enriched_blocks": q_enriched_blocks,
+    "enriched_bucketed": q_enriched_bucketed,
     "enriched_resumed": q_enriched_resumed,
     "signals_daily": q_signals_daily,
     "levels_daily": q_levels_daily,

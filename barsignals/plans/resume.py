@@ -6,7 +6,8 @@ all that later bars need: bounded windows read those bars, an EMA's older terms
 below 1e-20 or are the repeated last value, and the latch is the last bar's position.
 A daily run reads the state and the new bars only; its cost does not grow with the
 history. Its result replaces the last stored bar (whose extremum needed the bar after
-it) and adds the new ones.
+it) and adds the new ones. States and results are meant to be stored between runs: as
+lazy frames, each run's plan would hold the plans of all runs before it.
 """
 
 from __future__ import annotations

@@ -28,7 +28,7 @@ class SyncmerParams:
     s: int = 2
     word_chars: int = 24
     bucket_rows: int = 1000  # documents that meet in one window group, about
-    most_buckets: int = 1 << 16
+    most_buckets: int = 1 << 16  # of a larger table each group holds more (a window streams its rows and spills)
 
 
 def with_anchors(df: DataFrame, text: str, out: str, p: SyncmerParams = SyncmerParams()) -> DataFrame:
@@ -76,45 +76,66 @@ def aligned(rows: DataFrame, key: str, a: str, b: str) -> DataFrame:
     return shifts.groupBy(key).agg(F.max_by("shift", "n").alias("shift"), F.max("n").alias("agree"))
 
 
-def _buckets(docs: DataFrame, p: SyncmerParams) -> Column:
-    """Bucket of an id by quantiles of all ids (two levels of splitters); NULL ids are in bucket -1."""
-    total = docs.count()
-    n = max(1, min(p.most_buckets, -(-total // p.bucket_rows)))
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 20 * n)).first()[0]
-    cuts = sorted(set(cuts or [])) if n > 1 else []
+def _with_bucket(docs: DataFrame, p: SyncmerParams) -> DataFrame:
+    """``docs`` (doc_id, text, th) with ``_bucket`` and ``_sub``, both rising in the order of (doc_id, th).
+
+    Buckets are ranges of ids by quantiles of all ids (two levels of splitters); NULL ids
+    are in bucket -1. An id that holds more than two buckets' rows has a bucket of its
+    own, and that (like the NULL one) is cut into ranges of text hashes, so only rows
+    that repeat id and text can outgrow a bucket.
+    """
+    spark = docs.sparkSession
+    ids = docs.select("doc_id")
+    total = ids.count()
+    size = max(p.bucket_rows, -(-total // p.most_buckets))
+    n = max(1, -(-total // size))
+    cuts = ids.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 20 * n)).first()[0]
+    # ids with over two buckets' rows: fewer than half of ``most_buckets``
+    hot = [(r["doc_id"], -(-r["count"] // size)) for r in ids.groupBy("doc_id").count().filter(F.col("count") > 2 * size).collect()]
+    own = [h for h, _ in hot if h is not None]
+    cuts = sorted({*(cuts or [] if n > 1 else []), *own, *[h + 1 for h in own if h < (1 << 63) - 1]})
     side = max(1, int(len(cuts) ** 0.5))
     groups = [cuts[k:k + side] for k in range(0, len(cuts), side)]
-    if not groups:
-        return F.when(F.col("doc_id").isNull(), -1).otherwise(0)
-    coarse = F.array(*[F.lit(g[0]) for g in groups])
-    fine = F.array(*[F.array(*[F.lit(c) for c in g]) for g in groups])
-    below = lambda cuts: F.size(F.filter(cuts, lambda c: c <= F.col("doc_id")))
-    group = below(coarse)
-    inner = F.when(group > 0, below(F.get(fine, group - 1))).otherwise(0)
-    return F.when(F.col("doc_id").isNull(), -1).otherwise(F.when(group > 0, (group - 1) * side + inner).otherwise(0))
+    bucket = F.lit(0)
+    if groups:
+        coarse = F.array(*[F.lit(g[0]).cast("long") for g in groups])
+        fine = F.array(*[F.array(*[F.lit(c).cast("long") for c in g]) for g in groups])
+        below = lambda cuts: F.size(F.filter(cuts, lambda c: c <= F.col("doc_id")))
+        group = below(coarse)
+        inner = F.when(group > 0, below(F.get(fine, group - 1))).otherwise(0)
+        bucket = F.when(group > 0, (group - 1) * side + inner).otherwise(0)
+    docs = docs.withColumn("_bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(bucket))
+    if not hot:
+        return docs.withColumn("_sub", F.lit(0))
+    parts = spark.createDataFrame(hot, "hid long, parts long")
+    docs = docs.join(F.broadcast(parts), F.col("doc_id").eqNullSafe(F.col("hid")), "left")
+    # equal ranges of the hash; its highest value must not open one more
+    sub = F.least(F.floor((F.col("th") / float(1 << 64) + 0.5) * F.col("parts")), F.col("parts") - 1)
+    return docs.withColumn("_sub", F.coalesce(sub, F.lit(0)).cast("int")).drop("hid", "parts")
 
 
 def with_next(docs: DataFrame, p: SyncmerParams = SyncmerParams()) -> tuple[DataFrame, object]:
     """Rows of ``docs`` (doc_id, text, th) laid out so that a window sees the next document.
 
     Order is by descending doc_id (NULL last), then by text hash; the first follows the
-    last. Documents meet in buckets of id ranges; the top row of each bucket is copied
-    to the end of the bucket above, so the next row is always in the same bucket.
+    last. Documents meet in buckets of ids (and text hashes); the top row of each bucket is
+    copied to the end of the bucket above, so the next row is always in the same bucket.
     Returns the rows (``_copy`` marks copies) and the window.
     """
     spark = docs.sparkSession
-    docs = docs.withColumn("_bucket", _buckets(docs.select("doc_id"), p))
-    # at most ``most_buckets`` rows: the top of each bucket
-    tops = (docs.select("_bucket", "doc_id", "th").groupBy("_bucket")
-            .agg(F.max(F.struct("doc_id", "th")).alias("top")).orderBy("_bucket").collect())
-    above = [(r["top"]["doc_id"], r["top"]["th"], tops[(k + 1) % len(tops)]["_bucket"]) for k, r in enumerate(tops)]
-    to = spark.createDataFrame(above, "tid long, tth long, _to int")
+    docs = _with_bucket(docs, p)
+    # a few times ``most_buckets`` rows at most: the top of each bucket
+    tops = (docs.select("_bucket", "_sub", "doc_id", "th").groupBy("_bucket", "_sub")
+            .agg(F.max(F.struct("doc_id", "th")).alias("top")).orderBy("_bucket", "_sub").collect())
+    above = [tops[(k + 1) % len(tops)] for k in range(len(tops))]
+    to = spark.createDataFrame([(r["top"]["doc_id"], r["top"]["th"], t["_bucket"], t["_sub"]) for r, t in zip(tops, above)],
+                               "tid long, tth long, _to int, _to_sub int")
     rows = docs.join(F.broadcast(to), F.col("doc_id").eqNullSafe(F.col("tid")) & (F.col("th") == F.col("tth")), "left")
-    own = F.struct(F.col("_bucket").cast("int").alias("b"), F.lit(False).alias("c"))
-    copy = F.struct(F.col("_to").alias("b"), F.lit(True).alias("c"))
+    own = F.struct(F.col("_bucket").cast("int").alias("b"), F.col("_sub").alias("s"), F.lit(False).alias("c"))
+    copy = F.struct(F.col("_to").alias("b"), F.col("_to_sub").alias("s"), F.lit(True).alias("c"))
     rows = rows.withColumn("_place", F.explode(F.when(F.col("_to").isNull(), F.array(own)).otherwise(F.array(own, copy))))
-    rows = rows.select("doc_id", "text", "th", F.col("_place.b").alias("_bucket"), F.col("_place.c").alias("_copy"))
-    return rows, Window.partitionBy("_bucket").orderBy("_copy", F.col("doc_id").desc_nulls_last(), F.col("th").desc())
+    rows = rows.select("doc_id", "text", "th", F.col("_place.b").alias("_bucket"), F.col("_place.s").alias("_sub"), F.col("_place.c").alias("_copy"))
+    return rows, Window.partitionBy("_bucket", "_sub").orderBy("_copy", F.col("doc_id").desc_nulls_last(), F.col("th").desc())
 
 
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +150,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "edited", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next", F.lit(1), cut)))
     rows = with_anchors(with_anchors(rows, "text", "a"), "edited", "e")
     hashes = lambda c: F.array_distinct(F.transform(F.col(c), lambda x: x["hash"]))
-    rows = rows.select("doc_id", "th", "_bucket", "_copy", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+    rows = rows.select("doc_id", "th", "_bucket", "_sub", "_copy", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
                        digest("a").alias("fingerprint"), digest("e").alias("edited_fingerprint"),
                        hashes("a").alias("a"), hashes("e").alias("e"))
     rows = rows.withColumn("b", F.lead("a").over(order)).filter(~F.col("_copy"))

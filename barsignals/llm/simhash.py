@@ -235,16 +235,18 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row of each class of ``docs``: the least id (NULL last), of these the least fingerprint.
 
-    Rows that share id and fingerprint count as repeated; one of them stays.
+    Rows that share id and text count as repeated; one of them stays. Texts are
+    fingerprinted once; the rows that stay are found again by their id and text hash.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id"), F.col("text"))
-    fps = staged(with_fingerprint(rows.select("doc_id", "text")), "simhash")
+    mark = F.xxhash64("text")
+    rows = docs.select("doc_id", "text", mark.alias("th"))
+    fps = staged(with_fingerprint(rows), "simhash")
     named = classes(fps, radius)
-    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("fp")))
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("fp"), F.col("th")))
     kept = (named.join(fps.groupBy("fp").agg(first.alias("k")), "fp").groupBy("root").agg(F.min("k").alias("k"))
-            .select(F.col("k.doc_id").alias("kid"), F.col("k.fp").alias("kfp")))
+            .select(F.col("k.doc_id").alias("kid"), F.col("k.th").alias("kth")))
     kept = staged(kept, "simhash-kept")
-    found = with_fingerprint(rows.select("doc", "doc_id", "text")).join(
-        kept, F.col("fp").eqNullSafe(F.col("kfp")) & F.col("doc_id").eqNullSafe(F.col("kid")))
-    found = found.dropDuplicates(["kfp", "kid"])
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("id"), mark.alias("th"))
+    found = rows.join(kept, F.col("th").eqNullSafe(F.col("kth")) & F.col("id").eqNullSafe(F.col("kid")))
+    found = found.dropDuplicates(["kth", "kid"])
     return found.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

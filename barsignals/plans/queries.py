@@ -19,13 +19,13 @@ from barsignals.functions.scalar import symbol_base
 from barsignals.operators.asof import as_of
 from barsignals.operators.filters import default_range, in_range
 from barsignals.operators.indicators import Params
-from barsignals.operators.levels import level_clusters, local_extrema
+from barsignals.operators.levels import filter_levels, last_levels, level_clusters, local_extrema
 from barsignals.operators.profile import symbol_profile
 from barsignals.operators.snapshot import latest_snapshot
 from barsignals.operators.votes import vote_share
 from barsignals.plans import bindings as B
 from barsignals.plans.catalog import recent_bars, register_functions, register_views
-from barsignals.plans.charts import chart, chart_titles
+from barsignals.plans.charts import LEVEL_CHARTS, chart, chart_frame, chart_titles
 from barsignals.plans.enrich import enrich, extrema, levels, support_resistance
 from barsignals.plans.resume import advance, resume, series_state
 from barsignals.sources.bars import load_bars
@@ -182,7 +182,9 @@ def q_symbol_base(spark, sf):
 
 def _chart(name: str):
     def query(spark, sf):
-        return rounded_series(chart(stored(monthly(spark, sf)), name))
+        bars = stored(monthly(spark, sf))
+        frame = staged(chart_frame(bars, name), "enriched") if name in LEVEL_CHARTS else None  # read by points and lines
+        return rounded_series(chart(bars, name, frame=frame))
     return query
 
 
@@ -195,10 +197,10 @@ def q_chart_titles(spark, sf):
 
 
 def q_symbol_profile(spark, sf):
-    bars = stored(monthly(spark, sf))
-    prof = symbol_profile(enrich(bars), support_resistance(bars), B.supplier_fundamentals(spark, sf),
-                          B.event_votes(spark, sf))
-    return rounded(prof)
+    # stored once, for the last values and for the levels: one layout and one run of the windows
+    frame = staged(enrich(stored(monthly(spark, sf))), "enriched")
+    levels_of = last_levels(filter_levels(local_extrema(frame)))
+    return rounded(symbol_profile(frame, levels_of, B.supplier_fundamentals(spark, sf), B.event_votes(spark, sf)))
 
 
 def q_signals_daily(spark, sf):

@@ -2,7 +2,8 @@
 
 The caller chooses to stage; no operator does so on its own. Tables go to the folder
 that the session names in ``spark.checkpoint.dir`` (shared on a cluster) or, where it
-is unset, to a folder in the session's warehouse, and they go when the session ends.
+is unset, to a folder in the session's warehouse, and they go when the session ends. A
+warehouse on the driver's own disk is refused on a cluster: executors don't share it.
 """
 
 from __future__ import annotations
@@ -13,8 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staging").rstrip("/")
+    sc = spark.sparkContext
+    named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    warehouse = sc._jvm.org.apache.hadoop.fs.Path(spark.conf.get("spark.sql.warehouse.dir"))
+    scheme = warehouse.getFileSystem(sc._jsc.hadoopConfiguration()).getScheme()
+    if scheme == "file" and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return warehouse.toString().rstrip("/") + "/_staging"
 
 
 def staging_path(spark: SparkSession, name: str) -> str:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from barsignals.sources.bars import bar_aggregates, trades
 
+UTC_ZONES = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
+
 
 def stream_bars(ticks: DataFrame, symbol: str, ts: str, price: str, volume: str | None = None,
                 bar: str = "1 hour", watermark: str = "10 minutes", tiebreak: Sequence[str] = (),
@@ -23,10 +25,14 @@ def stream_bars(ticks: DataFrame, symbol: str, ts: str, price: str, volume: str
     """Streaming bars ``(symbol, bar_date, open, high, low, close, adj_close, volume)``.
 
     ``bar_date`` is the bar's start. Ticks later than the watermark are dropped by
-    Spark, as in any watermarked aggregation.
+    Spark, as in any watermarked aggregation. Wall-clock (NTZ) ticks need a session in
+    UTC: event time must be TIMESTAMP, and in a zone with daylight saving two hours of a
+    wall clock would fall into one.
     """
     ntz = dict(ticks.dtypes)[ts] == "timestamp_ntz"
-    # event time must be TIMESTAMP; wall-clock (NTZ) input is read in the session zone
+    zone = ticks.sparkSession.conf.get("spark.sql.session.timeZone")
+    if ntz and zone not in UTC_ZONES:
+        raise ValueError(f"wall-clock ticks need spark.sql.session.timeZone = UTC, not {zone}")
     bars = (trades(ticks, ts, price)
             .withColumn("_event_time", F.col(ts).cast("timestamp"))
             .withWatermark("_event_time", watermark)

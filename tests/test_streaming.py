@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
 from barsignals.plans.bindings import ADJ_FACTOR, event_bars
@@ -31,3 +32,13 @@ def test_stream_bars_match_batch(spark, tmp_path):
     want = {tuple(r) for r in batch.filter(F.col("bar_date") < last).collect()}
     have = {tuple(r) for r in got.collect()}
     assert want and want == have
+
+
+def test_wall_clock_ticks_need_utc(spark):
+    src = spark.readStream.schema("s string, ts timestamp_ntz, p double").parquet(SF_SMALL)
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        with pytest.raises(ValueError, match="UTC"):
+            stream_bars(src, "s", "ts", "p")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

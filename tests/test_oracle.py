@@ -10,7 +10,7 @@ from barsignals.plans.oracle import oracle_sql
 from barsignals.plans.queries import QUERIES
 from paths import SF_SMALL
 
-sys_tables = ["region", "nation", "supplier", "lineitem", "events"]
+sys_tables = ["region", "nation", "supplier", "orders", "lineitem", "events"]
 ORACLE = oracle_sql()
 
 

@@ -75,3 +75,9 @@ CHART_TITLES = {
 def chart_title(symbol: Column | str, text: str) -> Column:
     """F8: chart title such as ``<symbol> Price History with Bollinger Bands``."""
     return F.concat(_c(symbol).cast("string"), F.lit(" " + text))
+
+
+def vote_chart_title(symbol: Column | str, exchange: Column | str, interval: Column | str) -> Column:
+    """F8: title of the vote shares, from the symbol without its exchange suffix, the exchange and the vote interval."""
+    # fixed value: the words between them
+    return F.concat(F.lit("Recommendations for "), symbol_base(symbol), F.lit(" on "), _c(exchange), F.lit(" - "), _c(interval))

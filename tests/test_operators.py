@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from barsignals import (FUNDAMENTALS_SCHEMA, bars_from_ticks, default_range, enrich, filter_levels, for_symbols,
                         in_range, load_bars, load_fundamentals, select_existing, votes_from_tall)
+from barsignals.functions.scalar import vote_chart_title
 from barsignals.operators.charts import level_lines, to_series
 from barsignals.operators.indicators import DEFAULT, apply_stages, merge_stages, moving_average_stages, rsi_stages
 from barsignals.operators.layout import lay_out, make_layout
@@ -246,3 +247,8 @@ def test_minute_bars_match_duckdb(spark):
         FROM read_parquet('{SF_SMALL}/events.parquet') WHERE value IS NOT NULL AND ts IS NOT NULL
         GROUP BY 1, 2""").fetchall())
     assert got == want
+
+
+def test_vote_chart_title(spark):
+    row = spark.sql("SELECT 'ACME.NS' AS symbol, 'NSE' AS exchange, '1d' AS interval")
+    assert row.select(vote_chart_title("symbol", "exchange", "interval")).first()[0] == "Recommendations for ACME on NSE - 1d"

@@ -2,21 +2,26 @@
 
 Fingerprints are the majority bits of the hashes of 3-word shingles. Distinct
 fingerprints within ``radius`` bits are linked. The comparison is exact and tiled:
-with radius + 1 bit blocks, two linked fingerprints agree in one block at least, so
-fingerprints meet by block value; inside a value, tiles of fingerprints ordered by
-population count are compared by exclusive-or, and tile pairs whose population counts
-differ beyond the radius are skipped, for they cannot hold a link. A value with more
-than ``tile`` fingerprints is split into tiles by population count and hash, and each
-pair of tiles is a row of its own, so no group meets in one task. A tile pair gives a
-spanning forest of its links, not all of them, which leaves the classes the same.
+of ``blocks`` bit blocks (radius + 2 unless stated), two linked fingerprints agree in
+all but ``radius`` at least, so fingerprints meet by the values of every choice of
+blocks - radius blocks (radius 3: 10 choices of two blocks, about 25 bits each; with 6
+blocks 20 choices of 32 bits: more rows, smaller groups). Inside a value, tiles of
+fingerprints ordered by population count are compared by exclusive-or, and tile pairs
+whose population counts differ beyond the radius are skipped, for they cannot hold a
+link. A value with more than ``tile`` fingerprints is split into tiles by population
+count and hash, and each pair of tiles is a row of its own, so no group meets in one
+task. A tile pair gives a spanning forest of its links, not all of them, which leaves
+the classes the same.
 
 NULL texts, empty texts and texts without words have fingerprint zero and link like
-any other. Equal rows share a class. A class whose ids are all NULL has id NULL.
+any other. Very long texts are hashed whole, in pieces of about 1 MiB cut between words.
+Equal rows share a class. A class whose ids are all NULL has id NULL.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +36,7 @@ from barsignals.llm.components import components
 SHINGLE, SEED, RADIUS = 3, 42, 3
 
 TILE = 1024
+SPREAD = 16
 _PIECE = 1 << 20
 _GAP = re.compile(rb"[ \t-\r]")
 
@@ -188,21 +194,31 @@ def _edges(us: list, vs: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(v.astype(np.int64))], ["u", "v"])
 
 
-def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def _masks(radius: int, blocks: int) -> list[int]:
+    """The bits of every choice of blocks - radius blocks: within the radius, one choice agrees at least."""
+    cuts = [64 * k // blocks for k in range(blocks + 1)]
+    part = [(1 << e) - (1 << s) for s, e in zip(cuts, cuts[1:])]
+    masks = [sum(chosen) for chosen in combinations(part, blocks - radius)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, blocks: int | None = None) -> DataFrame:
     """Edges (u, v) that connect all distinct values of ``fp`` within ``radius`` bits of each other."""
     nodes = fps.select("fp").distinct()
-    blocks = radius + 1
-    width = -(-64 // blocks)
-    key = F.array(*[F.lit(k).cast("long") * (1 << width) + F.shiftrightunsigned("fp", k * width).bitwiseAND((1 << width) - 1)
-                    for k in range(blocks)])
+    # a hash of the agreeing bits: a collision only brings more candidates together
+    key = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m)))
+                    for k, m in enumerate(_masks(radius, blocks or radius + 2))])
     keyed = staged(nodes.select("fp", F.bit_count("fp").alias("pc"), F.explode(key).alias("key")), "simhash-keys")
     parts = keyed.groupBy("key", "pc").agg(F.count("*").alias("n"))
     hot = parts.groupBy("key").agg(F.sum("n").alias("total")).filter(F.col("total") > tile).select("key")
     cold = (keyed.join(hot, "key", "left_anti").groupBy("key").agg(F.collect_list("fp").alias("fps"))
             .filter(F.size("fps") > 1).select("fps"))
     found = cold.mapInArrow(_inside(radius), "u long, v long")
-    cut = parts.join(hot, "key", "left_semi").select("key", "pc", F.ceil(F.col("n") / tile).alias("cuts"))
-    tiles = staged(keyed.join(cut, ["key", "pc"]).withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("cuts")))
+    # the fingerprints of a hot (key, pc) meet their number of tiles in SPREAD join groups
+    cut = parts.join(hot, "key", "left_semi").select(
+        "key", "pc", F.ceil(F.col("n") / tile).alias("cuts"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("s"))
+    spread = keyed.withColumns({"h": F.xxhash64("fp"), "s": F.pmod(F.xxhash64(F.lit(SPREAD), F.col("fp")), F.lit(SPREAD)).cast("int")})
+    tiles = staged(spread.join(cut, ["key", "pc", "s"]).withColumn("salt", F.pmod("h", F.col("cuts")))
                    .groupBy("key", "pc", "salt").agg(F.collect_list("fp").alias("fps")), "simhash-tiles")
     one = tiles.select("key", F.col("pc").alias("pa"), F.col("salt").alias("sa"))
     two = tiles.select("key", F.col("pc").alias("pb"), F.col("salt").alias("sb"))

@@ -10,7 +10,9 @@ threshold is the least confidence at which accepted texts reach ``target_precisi
 Prediction is linear before the softmax, so tasks use one table of per-bucket logits
 (``buckets`` x languages, the only thing broadcast; its size doesn't grow with data).
 
-NULL texts and texts without a letter give ``und``, score 0, rejected. Repeated rows
+NULL texts and texts without a letter give ``und``, score 0, rejected. Very long texts are
+read whole, in overlapping pieces of about 1 MiB. Equal logits go to the first language in
+order of their names. Repeated rows
 give repeated results; NULL ids are predicted but never learned from. Without any
 labelled row every text is ``und``.
 """

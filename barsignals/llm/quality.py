@@ -10,7 +10,7 @@ of the unlabelled to the positive share above a threshold, with a margin for cha
 negative label is read.
 
 NULL texts count as empty; these and texts without words get the score of their (zero)
-features. Repeated rows give repeated results. Without positives every score is 0.
+features. Very long texts are read whole, in overlapping pieces of about 1 MiB. Repeated rows give repeated results. Without positives every score is 0.
 """
 
 from __future__ import annotations

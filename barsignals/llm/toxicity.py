@@ -12,8 +12,9 @@ held-back rows as well.
 Counts are summed in Spark over a bounded, hash-chosen sample of labelled rows; only
 the n-grams of that sample are sent to the tasks.
 
-NULL and empty texts score as the curve says for no evidence. Repeated rows give
-repeated results. Without labelled rows of both classes every score is 0.
+NULL and empty texts score as the curve says for no evidence. Very long texts are read
+whole, in overlapping pieces of about 1 MiB. Repeated rows give repeated results, wherever
+they stand in a batch. Without labelled rows of both classes every score is 0.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barsignals.llm.common import (LETTERS, Lookup, buffers, documents, in_fold, labelled_sample, logistic,
-                                   not_in_fold, per_batch, pieces, segment_sums)
+                                   not_in_fold, per_batch, pieces)
 
 
 @dataclass(frozen=True)
@@ -56,13 +57,26 @@ def grams(part: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
-def _inside(starts: np.ndarray, n: int, order: int) -> np.ndarray:
-    """Which n-gram starts lie in one text: its leading and closing space may take part."""
-    ok = np.ones(n, bool)
-    for e in range(1, order - 1):  # the gram would go past the closing space
-        at = starts[1:-1] - e
-        ok[at[(at >= 0) & (at < n)]] = False
-    return ok
+def spans(data: np.ndarray, offsets: np.ndarray, piece: tuple, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(letters, lo, hi, end) of one of ``pieces``: text k's own n-grams start in [lo, hi), its last one before end.
+
+    The spaces around a text take part once: those between the pieces of a long text do not.
+    """
+    i, _, offs, own = piece
+    part, starts = padded(data, offs)
+    first = bool(offs[0] == offsets[i])
+    if not first:
+        part, starts = part[1:], np.maximum(starts - 1, 0)
+    lo = starts[:-1]
+    end = np.maximum(starts[1:] + 2 - order, lo)
+    hi = end if own == offs[-1] - offs[0] else np.minimum(end, own + first)
+    return part, lo, hi, end
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """All numbers of [lo[k], hi[k]), one range after the other."""
+    n = hi - lo
+    return np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
 
 
 class KneserNey:
@@ -118,24 +132,21 @@ class KneserNey:
         rows = len(offsets) - 1
         total, count = np.zeros(rows), np.zeros(rows)
         best = np.full((rows, len(windows)), -np.inf)
-        for i, j, offs, own in pieces(offsets, max(windows) + self.order):
-            part, starts = padded(data, offs)
-            v = self.ratios(grams(part, self.order))
-            if not len(v):
+        for piece in pieces(offsets, max(windows) + self.order):
+            i, j = piece[:2]
+            part, lo, hi, end = spans(data, offsets, piece, self.order)
+            n = hi - lo
+            full = np.flatnonzero(n > 0)
+            if not len(full):
                 continue
-            v = np.where(_inside(starts, len(v), self.order), v, np.float32(0)).astype(np.float64)
-            lo = starts if own == offs[-1] - offs[0] else np.array([0, own])
-            lo = np.minimum(lo, len(v))
-            total[i:j] += segment_sums(v, lo)
-            count[i:j] += np.diff(lo)
+            v = self.ratios(grams(part, self.order)).astype(np.float64)
             run = np.concatenate([[0.0], np.cumsum(v)])
+            at, first = _ranges(lo, hi), (np.cumsum(n) - n)[full]
+            total[i + full] += np.add.reduceat(v[at], first)
+            count[i:j] += n
             for w, size in enumerate(windows):
-                at = np.arange(len(v))
-                end = np.minimum(np.minimum(at + size, len(v)), np.repeat(np.append(lo[1:-1], len(v)), np.diff(np.append(lo[:-1], len(v)))))
-                mean = (run[end] - run[:-1]) / size
-                full = np.flatnonzero(np.diff(lo) > 0)
-                top = np.maximum.reduceat(mean[:lo[-1]], lo[full]) if len(full) else []
-                best[i + full, w] = np.maximum(best[i + full, w], top)
+                mean = (run[np.minimum(at + size, np.repeat(end, n))] - run[at]) / size
+                best[i + full, w] = np.maximum(best[i + full, w], np.maximum.reduceat(mean, first))
         best[np.isinf(best)] = 0
         return np.column_stack([total / np.maximum(count, 1), best, np.log1p(np.diff(offsets)) / 10])
 
@@ -162,16 +173,11 @@ def _counts(p: ToxicityParams):
         for b in batches:
             y = b.column("label").to_numpy(zero_copy_only=False)
             data, offsets, _ = buffers(b.column("text"))
-            for i, j, offs, own in pieces(offsets, p.order):
-                part, starts = padded(data, offs)
-                keys = grams(part, p.order)
-                ok = _inside(starts, len(keys), p.order)
-                if own < offs[-1] - offs[0]:
-                    ok[own:] = False
-                label = np.repeat(y[i:j], np.diff(starts))
-                label = np.append(label, y[j - 1])[:len(keys)]
-                g, inv = np.unique(keys[ok], return_inverse=True)
-                t = np.bincount(inv, label[ok] == 1, len(g))
+            for piece in pieces(offsets, p.order):
+                part, lo, hi, _ = spans(data, offsets, piece, p.order)
+                label = np.repeat(y[piece[0]:piece[1]], hi - lo)
+                g, inv = np.unique(grams(part, p.order)[_ranges(lo, hi)], return_inverse=True)
+                t = np.bincount(inv, label == 1, len(g))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(g.astype(np.int64)), pa.array(t.astype(np.int64)),
                      pa.array((np.bincount(inv, minlength=len(g)) - t).astype(np.int64))], ["gram", "toxic", "ordinary"])

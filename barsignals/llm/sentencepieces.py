@@ -13,6 +13,7 @@ vocabulary. Repeated rows give repeated results.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,14 @@ from barsignals.llm.lattice import UNK_PENALTY, PieceModel, Vocabulary, by_size,
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 21
+LATTICE = 1 << 17  # bytes of stretches in one lattice
+
+
+def _parts(group: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+    """``group`` (stretches) in parts of about ``LATTICE`` bytes; a longer stretch is a part of its own."""
+    ends = np.concatenate([[0], np.cumsum(offsets[group + 1] - offsets[group])])
+    for s, e in chunks(ends, LATTICE):
+        yield group[s:e]
 
 
 class Codec:
@@ -40,7 +49,7 @@ class Codec:
 
     def _encode_distinct(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         parts = []
-        for at in by_size(offsets):
+        for at in (part for group in by_size(offsets) for part in _parts(group, offsets)):
             d, o = take_stretches(data, offsets, at)
             ids, start, by = self.model.best(d, o)
             owner = np.repeat(at, np.diff(by))

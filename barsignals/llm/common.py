@@ -35,9 +35,10 @@ def not_in_fold(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(fold(doc_id, modulus) != remainder, F.lit(False))
 
 
-def per_batch(spark: SparkSession, rows: int) -> None:
-    """Rows in one Arrow batch, so that a batch of whole texts stays a few megabytes."""
+def per_batch(spark: SparkSession, rows: int, size: int = 1 << 26) -> None:
+    """Most rows and about the most bytes of one Arrow batch (a longer text is a batch of its own)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def shared_folder(spark: SparkSession) -> str:

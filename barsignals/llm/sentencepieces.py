@@ -25,6 +25,7 @@ from barsignals.llm.lattice import UNK_PENALTY, PieceModel, Vocabulary, by_size,
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 21
+BATCH = 1 << 23  # bytes of one Arrow batch of texts
 LATTICE = 1 << 17  # bytes of stretches in one lattice
 
 
@@ -104,26 +105,30 @@ class Codec:
 
 def tokenize(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """doc_id, ids, n_tokens, n_bytes (byte pieces), decoded_sha256, exact of every row."""
-    per_batch(docs.sparkSession, 1000)
+    per_batch(docs.sparkSession, 1000, BATCH)
     codec = Codec.load(path)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "ids", "n_tokens", "n_bytes", "decoded_sha256", "exact"]
 
+    def coded(doc_id, text, byte):
+        ids, at = codec.encode(text)
+        data, offsets, _ = buffers(text)
+        digest, same = [], []
+        for s, e, i, j in zip(at[:-1].tolist(), at[1:].tolist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+            back = codec.decode(ids[s:e])
+            digest.append(hashlib.sha256(back).hexdigest())
+            same.append(back == data[i:j].tobytes())
+        total = np.concatenate([[0], np.cumsum(byte[ids])])
+        return pa.RecordBatch.from_arrays([
+            doc_id, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)), pa.array(np.diff(at)),
+            pa.array(total[at[1:]] - total[at[:-1]]), pa.array(digest, pa.string()), pa.array(same, pa.bool_())], names)
+
     def run(batches):
         byte = codec.is_byte()
         for b in batches:
-            text = b.column("text")
-            ids, at = codec.encode(text)
-            data, offsets, _ = buffers(text)
-            spans = list(zip(at[:-1].tolist(), at[1:].tolist()))
-            back = [codec.decode(ids[s:e]) for s, e in spans]
-            total = np.concatenate([[0], np.cumsum(byte[ids])])
-            yield pa.RecordBatch.from_arrays([
-                b.column("doc_id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)),
-                pa.array(np.diff(at)), pa.array(total[at[1:]] - total[at[:-1]]),
-                pa.array([hashlib.sha256(t).hexdigest() for t in back]),
-                pa.array([t == data[s:e].tobytes() for t, s, e in zip(back, offsets[:-1].tolist(), offsets[1:].tolist())], pa.bool_())],
-                names)
+            _, offsets, _ = buffers(b.column("text"))
+            for i, j in chunks(offsets, CHUNK):
+                yield coded(b.column("doc_id").slice(i, j - i), b.column("text").slice(i, j - i), byte)
 
     return docs.select("doc_id", "text").mapInArrow(
         run, f"doc_id {id_type}, ids array<int>, n_tokens long, n_bytes long, decoded_sha256 string, exact boolean")

@@ -40,6 +40,7 @@ class RepeatParams:
     gram: int = 200  # bytes of an anchor
     group: int = 256  # distinct segments of an anchor that meet in one transform
     block: int = 1 << 20  # bytes of segments in one transform, about
+    common: int = 1000  # a segment of over 1 / common of all ranges is looked up without a shuffle
 
 
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -272,6 +273,22 @@ def _whole(rows: DataFrame, p: RepeatParams) -> DataFrame:
     return rows.select("doc_id", "th", F.col("lo").alias("start"), (F.col("hi") + p.length).alias("end"))
 
 
+def _of(rows: DataFrame, many: DataFrame, on: list[str], total: int, p: RepeatParams) -> DataFrame:
+    """Rows whose segment is in ``many`` (with its count ``n`` of all ``total`` rows).
+
+    Fewer than ``common`` segments can have over 1 / common of the rows each, so these go
+    to every task, and no key of the join with the others has more rows than that.
+    """
+    is_common = F.col("n") > F.lit(total) / p.common
+    common = F.broadcast(many.filter(is_common).select(*on))
+    others = rows.join(common, on, "left_anti").join(many.filter(~is_common).select(*on), on, "left_semi")
+    return rows.join(common, on, "left_semi").unionAll(others)
+
+
+def _total(segments: DataFrame) -> int:
+    return segments.agg(F.sum("n")).first()[0] or 0
+
+
 def _hot(rows: DataFrame, p: RepeatParams) -> list[DataFrame]:
     """Covered ranges of the anchors with too many segments, by ever narrower ranges."""
     out, width = [], p.length - p.gram + 1
@@ -283,11 +300,11 @@ def _hot(rows: DataFrame, p: RepeatParams) -> list[DataFrame]:
         groups = staged(segments.groupBy("key").agg(F.count("*").alias("segments"), F.sum("n").alias("ranges"))
                         .filter("ranges > 1"), "repeats-narrow-groups")
         # a segment that occurs twice, or stands for copies, is repeated whole
-        many = segments.filter((F.col("n") > 1) | (F.col("alone") == 0)).select("key", "s")
-        out.append(_whole(rows.join(many, ["key", "s"], "left_semi").filter("single"), p))
+        many = segments.filter((F.col("n") > 1) | (F.col("alone") == 0)).select("key", "s", "n")
+        out.append(_whole(_of(rows.filter("single"), many, ["key", "s"], _total(segments), p), p))
         # one range of each segment, which stands for its copies
         rest = rows.dropDuplicates(["key", "s"]).join(groups.filter("segments > 1"), "key").drop("ranges")
-        marked = rest.join(many.withColumn("twice", F.lit(True)), ["key", "s"], "left")
+        marked = rest.join(many.select("key", "s", F.lit(True).alias("twice")), ["key", "s"], "left")
         marked = marked.withColumn("single", F.col("single") & F.col("twice").isNull()).drop("twice")
         marked = staged(marked, "repeats-marked")
         if width > 1:
@@ -310,8 +327,7 @@ def covered(docs: DataFrame, p: RepeatParams = RepeatParams()) -> DataFrame:
     again = staged(found.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a"), "repeats-again")
     shared = staged(found.join(again, "a", "left_semi"), "repeats-shared")
     segments = staged(shared.groupBy("a", "s").agg(F.count("*").alias("n")), "repeats-segments")
-    many = segments.filter("n > 1").select("a", "s")
-    whole = _whole(shared.join(many, ["a", "s"], "left_semi"), p)
+    whole = _whole(_of(shared, segments.filter("n > 1"), ["a", "s"], _total(segments), p), p)
     groups = segments.groupBy("a").agg(F.count("*").alias("segments"), F.min("n").alias("fewest"))
     groups = staged(groups.filter("segments > 1 and fewest = 1").select("a", "segments"), "repeats-groups")
     one = segments.join(groups, "a").select("a", "s", "segments", (F.col("n") == 1).alias("single"))

@@ -63,15 +63,15 @@ def test_suffix_array_dedup(spark, awkward):
     assert rows(QUERIES["op4_suffix_array_dedup"](spark, folder), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
-@pytest.mark.parametrize("group", [2, 256])
-def test_hot_anchors_are_split_exactly(spark, group):
-    """Many texts share a passage in different surroundings; groups beyond the limit are narrowed."""
+@pytest.mark.parametrize("group, common", [(2, 1000), (2, 8), (256, 1)])
+def test_hot_anchors_are_split_exactly(spark, group, common):
+    """Many texts share a passage in different surroundings, a third are copies; groups beyond the limit are narrowed."""
     rng = np.random.default_rng(3)
     word = lambda n: "".join(rng.choice(list("abcd "), n))
     passage, other = word(90), word(55)
     texts = [word(int(rng.integers(0, 60))) + passage + word(int(rng.integers(0, 60))) for _ in range(40)]
-    texts += [word(20) + other + passage[:30] for _ in range(9)] + [passage * 3, "ab" * 60, ""]
-    p = repeats.RepeatParams(length=40, gram=20, group=group)
+    texts += [word(20) + other + passage[:30] for _ in range(9)] + [passage * 3, "ab" * 60, ""] + [word(30) + other] * 26
+    p = repeats.RepeatParams(length=40, gram=20, group=group, common=common)
     docs = spark.createDataFrame([(k, t, xxhash.xxh64_intdigest(t) >> 2) for k, t in enumerate(texts)], "doc_id long, text string, th long")
     cover = repeats.covered(docs, p).collect()
     want = repeated_bytes(texts, 40)

@@ -77,5 +77,11 @@ def resume(state: DataFrame, bars: DataFrame, params: Params = DEFAULT, include:
 
 
 def advance(stored: DataFrame, resumed: DataFrame) -> DataFrame:
-    """Stored rows (a history, or a state) brought up to date by the rows of ``resume``."""
-    return stored.join(resumed.select(SYMBOL, BAR_DATE), [SYMBOL, BAR_DATE], "left_anti").unionByName(resumed)
+    """Stored rows (a history, or a state) brought up to date by the rows of ``resume``.
+
+    Of a symbol's resumed rows only the first can stand for a stored one (its last bar,
+    once more): all others are later than the state. So the stored rows, which are wide
+    and many, meet one key per symbol and are not moved.
+    """
+    first = resumed.groupBy(SYMBOL).agg(F.min(BAR_DATE).alias(BAR_DATE))
+    return stored.join(F.broadcast(first), [SYMBOL, BAR_DATE], "left_anti").unionByName(resumed)

@@ -89,7 +89,7 @@ def sub_window(fine: bool = False) -> Window:
 
 
 def with_position(bars: DataFrame, segment: str = "year") -> DataFrame:
-    """Add ``_t``: the 0-based row number of each bar within its symbol, by date.
+    """Add ``_t``: the 0-based row number of each bar within its symbol, by date, and ``_rows``, the symbol's bars.
 
     A NULL key and a repeated ``(symbol, bar_date)`` (T1) raise an error when the rows
     are read: such rows have no position. Neither check needs a job or a shuffle.
@@ -99,7 +99,8 @@ def with_position(bars: DataFrame, segment: str = "year") -> DataFrame:
     keyed = keyed.withColumn("_seg", F.date_trunc(segment, F.col(BAR_DATE)))
     counts = keyed.groupBy(SYMBOL, "_seg").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(SYMBOL).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(SYMBOL, "_seg", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    offsets = counts.select(SYMBOL, "_seg", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+                            F.sum("_n").over(Window.partitionBy(SYMBOL)).alias("_rows"))
     inside = Window.partitionBy(SYMBOL, "_seg").orderBy(BAR_DATE)
     ranked = keyed.withColumns({"_i": F.row_number().over(inside), "_before": F.lag(BAR_DATE).over(inside)})
     repeated = F.raise_error(F.concat(F.lit("duplicate (symbol, bar_date): "), F.col(SYMBOL).cast("string"),
@@ -118,15 +119,40 @@ def lay_out(bars: DataFrame, layout: Layout) -> DataFrame:
     if layout.ahead:
         copies.append(F.when((t % b < layout.ahead) & (t >= b), F.lit(1)))
     role = F.col("_role")
+    more = F.col("_blk") < F.floor((F.col("_rows") - 1) / b)
     # the filter drops nothing: joins on these keys add it to one side only, and readers of
     # one exchange must all have it
     return (pos.withColumn("_role", F.explode(F.array_compact(F.array(*copies))))
             .withColumn("_blk", F.floor(t / b).cast("long") - role)
             .withColumn("_sub", F.floor(t / F.lit(layout.sub)).cast("long"))
             .withColumn("_fine", F.floor(t / F.lit(layout.fine)).cast("long"))
+            .withColumn("_more", more).drop("_rows")
             .filter(F.col(SYMBOL).isNotNull() & F.col("_blk").isNotNull()))
 
 
+def dealt(laid: DataFrame) -> DataFrame:
+    """Laid-out bars by block, as every window needs them: one exchange for all that reads them."""
+    return laid.repartition(SYMBOL, "_blk")
+
+
+def above_exchange(cond: Column) -> Column:
+    """``cond`` as a filter that stays where it is: moved below the shared exchange, it would make another one."""
+    return F.when(F.monotonically_increasing_id() >= 0, cond)
+
+
+def not_last_blocks(laid: DataFrame) -> DataFrame:
+    """Blocks that have a later one in their series: only from these is anything carried.
+
+    Also a series' first bar, which no block reads: an empty side would be planned away, with the shared exchange.
+    """
+    return laid.filter(above_exchange(F.col("_more") | (F.col("_t") == 0)))
+
+
+def all_blocks(laid: DataFrame) -> DataFrame:
+    """All rows of ``laid``; reads the columns that ``not_last_blocks`` reads."""
+    return laid.filter(above_exchange(F.col("_more").isNotNull()))
+
+
 def own_rows(df: DataFrame) -> DataFrame:
     return df.filter(F.col("_role") == 0)
 
@@ -140,7 +166,9 @@ DEFAULT_CARRY_FANOUT = 4096
 
 
 def _last_before(summary: DataFrame, key: str, cols: Sequence[str], fanout: int) -> DataFrame:
-    """``<col>_carry``: the last non-NULL ``<col>_last`` of a smaller ``key`` (same symbol).
+    """``<col>_carry``: the last non-NULL ``<col>_last`` of a smaller ``key`` (same symbol), for each key after one of ``summary``.
+
+    Keys are consecutive, so what holds up to a key is what the next one takes over.
 
     Two levels, so no window group grows with the series: a scan inside groups of
     ``fanout`` keys, and a scan over one summary row per group (``fanout`` times
@@ -149,7 +177,7 @@ def _last_before(summary: DataFrame, key: str, cols: Sequence[str], fanout: int)
     grp = F.floor(F.col(key) / F.lit(fanout)).cast("long")
     # dealt out once, for both readers below
     keyed = summary.withColumn("_grp", grp).repartition(SYMBOL, "_grp")
-    inner = Window.partitionBy(SYMBOL, "_grp").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy(SYMBOL, "_grp").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     within = keyed.select(SYMBOL, key, "_grp", *[
         F.last(c + "_last", ignorenulls=True).over(inner).alias(c + "_in") for c in cols])
     groups = keyed.groupBy(SYMBOL, "_grp").agg(*[
@@ -159,25 +187,27 @@ def _last_before(summary: DataFrame, key: str, cols: Sequence[str], fanout: int)
     before = groups.select(SYMBOL, "_grp", *[
         F.last(c + "_g", ignorenulls=True).over(outer).alias(c + "_out") for c in cols])
     return (within.join(before, [SYMBOL, "_grp"], "left")
-            .select(SYMBOL, key, *[F.coalesce(F.col(c + "_in"), F.col(c + "_out")).alias(c + "_carry")
+            .select(SYMBOL, (F.col(key) + 1).alias(key), *[F.coalesce(F.col(c + "_in"), F.col(c + "_out")).alias(c + "_carry")
                                    for c in cols]))
 
 
 def carry_last(df: DataFrame, cols: Sequence[str], fanout: int = DEFAULT_CARRY_FANOUT,
-               pins: Sequence[str] = ()) -> DataFrame:
+               pins: Sequence[str] = (), earlier: DataFrame | None = None) -> DataFrame:
     """For each column add ``<col>_carry``: its last non-NULL value in earlier blocks.
 
-    ``df`` holds own rows only, after the windows, and feeds both the summary and the
-    output. The summary keeps every input column alive up to the shared
-    ``(symbol, _blk)`` exchange (``pins``), so both readers have the same exchange
-    and Spark runs it once; nothing is stored and no job runs here. The summary has
-    one row per block and is scanned in two levels (``_last_before``). It is joined on
-    the key by which ``df`` is already dealt out and sorted, so that join moves only
-    the summary, whatever its size.
+    ``df`` holds own rows only, after the windows. ``earlier`` holds the same for the
+    blocks that have later ones (``not_last_blocks``) and feeds the summary, so a series
+    of one block runs its windows once; by default that is ``df``. The summary keeps
+    every input column alive up to the shared ``(symbol, _blk)`` exchange (``pins``), so
+    both readers have the same exchange and Spark runs it once; nothing is stored and no
+    job runs here. The summary has one row per block and is scanned in two levels
+    (``_last_before``). It is joined on the key by which ``df`` is already dealt out and
+    sorted, so that join moves only the summary, whatever its size.
     """
     first = cols[0]
     last = {c: F.max_by(F.struct(F.col(c).alias("v"), *([F.col(x) for x in pins] if c == first else [])),
                         F.when(F.col(c).isNotNull(), F.col("_t"))) for c in cols}
-    summary = df.groupBy(SYMBOL, "_blk").agg(*[agg.alias(c + "_last") for c, agg in last.items()])
+    read = df if earlier is None else earlier
+    summary = read.groupBy(SYMBOL, "_blk").agg(*[agg.alias(c + "_last") for c, agg in last.items()])
     summary = summary.select(SYMBOL, "_blk", *[F.col(c + "_last.v").alias(c + "_last") for c in cols])
     return df.join(_last_before(summary, "_blk", cols, fanout), [SYMBOL, "_blk"], "left")

@@ -2,8 +2,8 @@
 
 Plan shape (for stored bars): one hash exchange on ``(symbol, segment)`` for row
 positions, one on ``(symbol, _blk)`` for all windows, which share one sort. The
-cross-block carry reads that exchange again (it is reused, not run again) and only
-moves its one-row-per-block summary. Neither exchange puts more than one block
+cross-block carry reads that exchange again (it is reused, not run again), runs the
+windows over the blocks that have later ones, and only moves its one-row-per-block summary. Neither exchange puts more than one block
 (``block_rows`` plus halo) of a symbol into a window group.
 """
 
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from barsignals.operators.indicators import (DEFAULT, Params, apply_stages, col_names, ema_stages,
                                              extremum_stages, merge_stages, moving_average_stages,
                                              rsi_stages, stochastic_stages)
-from barsignals.operators.layout import DEFAULT_CARRY_FANOUT, Layout, carry_last, lay_out, make_layout, own_rows
+from barsignals.operators.layout import (DEFAULT_CARRY_FANOUT, Layout, all_blocks, carry_last, dealt, lay_out, make_layout,
+                                          not_last_blocks, own_rows)
 from barsignals.operators.levels import filter_levels, last_levels, local_extrema
 from barsignals.operators.signals import RULES, condition_stages, latch_prices, position
 from barsignals.schema import BAR_COLUMNS, SchemaError, conform_bars
@@ -105,7 +106,7 @@ def _enrich(bars: DataFrame, params: Params, include: Iterable[str], block_rows:
     layout = make_layout(max([params.bounded_lookback(), *subs.values()]), ahead=1 if "extrema" in inc else 0,
                          block_rows=block_rows, segment=segment,
                          sub=max(subs.values(), default=1), fine=min(subs.values(), default=1))
-    return _over_blocks(lay_out(bars, layout), bars.columns, params, inc, rules, carry_fanout, positions, known)
+    return _over_blocks(dealt(lay_out(bars, layout)), bars.columns, params, inc, rules, carry_fanout, positions, known)
 
 
 def series_layout(params: Params = DEFAULT, block_rows: int = DEFAULT_BLOCK_ROWS, segment: str = "year") -> Layout:
@@ -117,6 +118,8 @@ def series_layout(params: Params = DEFAULT, block_rows: int = DEFAULT_BLOCK_ROWS
 def _over_blocks(df: DataFrame, columns: list[str], params: Params, inc: set[str], rules: tuple[str, ...],
                  carry_fanout: int, positions: bool = False, known: bool = False) -> DataFrame:
     """The indicators of laid-out bars, which have ``columns`` besides those of the layout."""
+    # a generated method of more bytecode is never compiled by the JVM: beyond that, operators run one by one
+    df.sparkSession.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     out_cols = output_columns(params, inc, rules) + [f"{r}_position" for r in rules if positions]
     held = ["_old", *[c for c in columns if c.startswith(KNOWN)]] if known else []
     extra = [c for c in columns if c not in BAR_COLUMNS and c not in held]
@@ -135,10 +138,12 @@ def _over_blocks(df: DataFrame, columns: list[str], params: Params, inc: set[str
     stages = merge_stages(*groups)
     if rules:
         stages += condition_stages(params, rules, known)
-    df = own_rows(apply_stages(df, stages))
     carried = [f"ema{s}_local" for s in subs] + [f"_s_{r}" for r in rules]
     if carried:
-        df = carry_last(df, carried, carry_fanout, pins=columns)
+        earlier = own_rows(apply_stages(not_last_blocks(df), stages))
+        df = carry_last(own_rows(apply_stages(all_blocks(df), stages)), carried, carry_fanout, pins=columns, earlier=earlier)
+    else:
+        df = own_rows(apply_stages(df, stages))
     final = {f"ema{s}": F.coalesce(F.col(f"ema{s}_local"), F.col(f"ema{s}_local_carry")) for s in subs}
     for r in rules:
         final.update(latch_prices(r))

@@ -20,7 +20,7 @@ from barsignals.plans.enrich import DEFAULT_BLOCK_ROWS, GROUPS, _expand, _over_b
 from barsignals.schema import SchemaError, conform_bars
 
 LAYOUT_PROPERTY = "bars.layout"
-LAYOUT_COLUMNS = ("_t", "_role", "_blk", "_sub", "_fine")
+LAYOUT_COLUMNS = ("_t", "_role", "_blk", "_sub", "_fine", "_more")
 
 
 def write_blocks(bars: DataFrame, table: str, buckets: int, params: Params = DEFAULT, block_rows: int = DEFAULT_BLOCK_ROWS,

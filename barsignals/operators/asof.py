@@ -48,7 +48,7 @@ def as_of(bars: DataFrame, facts: DataFrame, columns: Sequence[str], at: str = "
     here = line.withColumn("_here", F.last("_fact", ignorenulls=True).over(seen))
     summary = line.filter(F.col("_fact").isNotNull()).groupBy(SYMBOL, "_seg").agg(F.max(F.struct(BAR_DATE, "_fact")).alias("_m"))
     segments = line.groupBy(SYMBOL, "_seg").agg(F.count("*").alias("_n")).join(summary, [SYMBOL, "_seg"], "left")
-    carried = _last_before(segments.select(SYMBOL, "_seg", F.col("_m._fact").alias("_fact_last")), "_seg", ["_fact"], fanout)
+    carried = _last_before(segments.select(SYMBOL, "_seg", F.col("_m._fact").alias("_fact_last")), "_seg", ["_fact"], fanout, gaps=True)
     out = here.filter(F.col("_row").isNotNull()).join(carried, [SYMBOL, "_seg"], "left")
     best = F.coalesce("_here", "_fact_carry")
     return out.withColumn("_best", best).select(SYMBOL, BAR_DATE, *[F.col(f"_row.{c}").alias(c) for c in kept],

@@ -165,10 +165,11 @@ def own(col: Column) -> Column:
 DEFAULT_CARRY_FANOUT = 4096
 
 
-def _last_before(summary: DataFrame, key: str, cols: Sequence[str], fanout: int) -> DataFrame:
+def _last_before(summary: DataFrame, key: str, cols: Sequence[str], fanout: int, gaps: bool = False) -> DataFrame:
     """``<col>_carry``: the last non-NULL ``<col>_last`` of a smaller ``key`` (same symbol), for each key after one of ``summary``.
 
-    Keys are consecutive, so what holds up to a key is what the next one takes over.
+    Keys are consecutive, so what holds up to a key is what the next one takes over. With ``gaps`` they need not
+    be: ``summary`` has every key, and each gets what holds before it.
 
     Two levels, so no window group grows with the series: a scan inside groups of
     ``fanout`` keys, and a scan over one summary row per group (``fanout`` times
@@ -177,7 +178,7 @@ def _last_before(summary: DataFrame, key: str, cols: Sequence[str], fanout: int)
     grp = F.floor(F.col(key) / F.lit(fanout)).cast("long")
     # dealt out once, for both readers below
     keyed = summary.withColumn("_grp", grp).repartition(SYMBOL, "_grp")
-    inner = Window.partitionBy(SYMBOL, "_grp").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy(SYMBOL, "_grp").orderBy(key).rowsBetween(Window.unboundedPreceding, -1 if gaps else 0)
     within = keyed.select(SYMBOL, key, "_grp", *[
         F.last(c + "_last", ignorenulls=True).over(inner).alias(c + "_in") for c in cols])
     groups = keyed.groupBy(SYMBOL, "_grp").agg(*[
@@ -187,7 +188,7 @@ def _last_before(summary: DataFrame, key: str, cols: Sequence[str], fanout: int)
     before = groups.select(SYMBOL, "_grp", *[
         F.last(c + "_g", ignorenulls=True).over(outer).alias(c + "_out") for c in cols])
     return (within.join(before, [SYMBOL, "_grp"], "left")
-            .select(SYMBOL, (F.col(key) + 1).alias(key), *[F.coalesce(F.col(c + "_in"), F.col(c + "_out")).alias(c + "_carry")
+            .select(SYMBOL, (F.col(key) + (0 if gaps else 1)).alias(key), *[F.coalesce(F.col(c + "_in"), F.col(c + "_out")).alias(c + "_carry")
                                    for c in cols]))
 
 

@@ -167,6 +167,12 @@ def extremum_stages() -> Stages:
     return [{"extremum": kind}]
 
 
+def newest_stages() -> Stages:
+    """``_newest``: a series' last row that is marked ``_old``. Old rows come first, and the next row is in the block."""
+    following = F.lead("_old", 1).over(block_window())
+    return [{"_newest": F.col("_old") & ~F.coalesce(following, F.lit(False))}]
+
+
 def ema_stages(subs: dict[int, int], x: str = "close", known: bool = False) -> Stages:
     """Pandas-style ``ewm(span).mean()`` (normalised weights, rule Q3).
 

@@ -88,32 +88,38 @@ def sub_window(fine: bool = False) -> Window:
     return Window.partitionBy(SYMBOL, "_blk", "_sub").orderBy("_fine", "_t")
 
 
-def with_position(bars: DataFrame, segment: str = "year") -> DataFrame:
+def with_position(bars: DataFrame, segment: str = "year", old: str | None = None) -> DataFrame:
     """Add ``_t``: the 0-based row number of each bar within its symbol, by date, and ``_rows``, the symbol's bars.
 
     A NULL key and a repeated ``(symbol, bar_date)`` (T1) raise an error when the rows
-    are read: such rows have no position. Neither check needs a job or a shuffle.
+    are read: such rows have no position. ``old`` names a column that is true on the bars
+    of a stored state; any other bar that is not later than its symbol's state raises too.
+    No check needs a job or a shuffle: the count table also holds where a state ends.
     """
     stop = F.raise_error(F.lit("a bar has no symbol or bar_date"))
     keyed = bars.withColumns({c: F.coalesce(F.col(c), stop.cast(bars.schema[c].dataType)) for c in (SYMBOL, BAR_DATE)})
     keyed = keyed.withColumn("_seg", F.date_trunc(segment, F.col(BAR_DATE)))
-    counts = keyed.groupBy(SYMBOL, "_seg").agg(F.count(F.lit(1)).alias("_n"))
+    ends = [F.max(F.when(F.col(old), F.col(BAR_DATE))).alias("_end")] if old else []
+    counts = keyed.groupBy(SYMBOL, "_seg").agg(F.count(F.lit(1)).alias("_n"), *ends)
     before = Window.partitionBy(SYMBOL).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(SYMBOL, "_seg", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
-                            F.sum("_n").over(Window.partitionBy(SYMBOL)).alias("_rows"))
+                            F.sum("_n").over(Window.partitionBy(SYMBOL)).alias("_rows"),
+                            *[F.max("_end").over(Window.partitionBy(SYMBOL)).alias("_end") for _ in ends])
     inside = Window.partitionBy(SYMBOL, "_seg").orderBy(BAR_DATE)
     ranked = keyed.withColumns({"_i": F.row_number().over(inside), "_before": F.lag(BAR_DATE).over(inside)})
-    repeated = F.raise_error(F.concat(F.lit("duplicate (symbol, bar_date): "), F.col(SYMBOL).cast("string"),
-                                      F.lit(", "), F.col(BAR_DATE).cast("string"))).cast("long")
-    place = (F.col("_off") + F.col("_i") - 1).cast("long")
-    return (ranked.join(offsets, [SYMBOL, "_seg"])
-            .withColumn("_t", F.when(F.col("_before") == F.col(BAR_DATE), repeated).otherwise(place))
-            .drop("_seg", "_i", "_before", "_off"))
-
-
-def lay_out(bars: DataFrame, layout: Layout) -> DataFrame:
-    """Position the bars and emit each row once per block that needs it."""
-    pos = with_position(bars, layout.segment)
+    stop_at = lambda text: F.raise_error(F.concat(F.lit(text), F.col(SYMBOL).cast("string"),
+                                                  F.lit(", "), F.col(BAR_DATE).cast("string"))).cast("long")
+    place = F.when(F.col("_before") == F.col(BAR_DATE), stop_at("duplicate (symbol, bar_date): ")).otherwise(
+        (F.col("_off") + F.col("_i") - 1).cast("long"))
+    if old:
+        late = ~F.col(old) & (F.col(BAR_DATE) <= F.col("_end"))
+        place = F.when(late, stop_at("a new bar is not later than the state: ")).otherwise(place)
+    return ranked.join(offsets, [SYMBOL, "_seg"]).withColumn("_t", place).drop("_seg", "_i", "_before", "_off", "_end")
+
+
+def lay_out(bars: DataFrame, layout: Layout, old: str | None = None) -> DataFrame:
+    """Position the bars (``old`` as in ``with_position``) and emit each row once per block that needs it."""
+    pos = with_position(bars, layout.segment, old)
     t, b = F.col("_t"), F.lit(layout.block)
     copies = [F.lit(0), F.when(t % b >= layout.block - layout.back, F.lit(-1))]
     if layout.ahead:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from barsignals.operators.indicators import (DEFAULT, Params, apply_stages, col_names, ema_stages,
                                              extremum_stages, merge_stages, moving_average_stages,
-                                             rsi_stages, stochastic_stages)
+                                             newest_stages, rsi_stages, stochastic_stages)
 from barsignals.operators.layout import (DEFAULT_CARRY_FANOUT, Layout, all_blocks, carry_last, dealt, lay_out, make_layout,
                                           not_last_blocks, own_rows)
 from barsignals.operators.levels import filter_levels, last_levels, local_extrema
@@ -91,7 +91,10 @@ def bars_back(params: Params = DEFAULT, include: Iterable[str] = GROUPS, rules:
 
 def _enrich(bars: DataFrame, params: Params, include: Iterable[str], block_rows: int, segment: str | None,
             carry_fanout: int, rules: Iterable[str], positions: bool, known: bool = False) -> DataFrame:
-    """``enrich`` over conformed bars; ``known``: rows marked ``_old`` carry ``_known_*`` results of an earlier run."""
+    """``enrich`` over conformed bars; ``known``: rows marked ``_old`` carry ``_known_*`` results of an earlier run.
+
+    ``_old`` and ``_known_bar`` are then in the result, with ``_newest`` (a symbol's last old row) where there are extrema.
+    """
     rules = _rules(rules) if "signals" in set(include) else ()
     inc = _expand(include, rules)
     out_cols = output_columns(params, inc, rules) + [f"{r}_position" for r in rules if positions]
@@ -106,7 +109,8 @@ def _enrich(bars: DataFrame, params: Params, include: Iterable[str], block_rows:
     layout = make_layout(max([params.bounded_lookback(), *subs.values()]), ahead=1 if "extrema" in inc else 0,
                          block_rows=block_rows, segment=segment,
                          sub=max(subs.values(), default=1), fine=min(subs.values(), default=1))
-    return _over_blocks(dealt(lay_out(bars, layout)), bars.columns, params, inc, rules, carry_fanout, positions, known)
+    laid = dealt(lay_out(bars, layout, "_old" if known else None))
+    return _over_blocks(laid, bars.columns, params, inc, rules, carry_fanout, positions, known)
 
 
 def series_layout(params: Params = DEFAULT, block_rows: int = DEFAULT_BLOCK_ROWS, segment: str = "year") -> Layout:
@@ -133,6 +137,8 @@ def _over_blocks(df: DataFrame, columns: list[str], params: Params, inc: set[str
         groups.append(rsi_stages(params))
     if "extrema" in inc:
         groups.append(extremum_stages())
+        if known:
+            groups.append(newest_stages())
     if subs:
         groups.append(ema_stages(subs, known=known))
     stages = merge_stages(*groups)
@@ -151,7 +157,8 @@ def _over_blocks(df: DataFrame, columns: list[str], params: Params, inc: set[str
             final[f"{r}_position"] = position(r)
     if final:
         df = df.withColumns(final)
-    return df.select(*BAR_COLUMNS, *extra, *out_cols[len(BAR_COLUMNS):], *[c for c in held if c == "_old"])
+    marks = ["_old", f"{KNOWN}bar", *(["_newest"] if "extrema" in inc else [])] if known else []
+    return df.select(*BAR_COLUMNS, *extra, *out_cols[len(BAR_COLUMNS):], *marks)
 
 
 def indicators(bars: DataFrame, params: Params = DEFAULT, **kw) -> DataFrame:

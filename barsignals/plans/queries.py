@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from barsignals.functions.scalar import symbol_base
 from barsignals.operators.asof import as_of
-from barsignals.operators.filters import default_range, in_range
+from barsignals.operators.filters import default_range
 from barsignals.operators.indicators import Params
 from barsignals.operators.levels import filter_levels, last_levels, level_clusters, local_extrema
 from barsignals.operators.profile import symbol_profile
@@ -31,7 +31,7 @@ from barsignals.plans.resume import advance, resume, series_state
 from barsignals.sources.bars import load_bars
 from barsignals.sources.blocks import enrich_blocks, write_blocks
 from barsignals.sources.sinks import write_enriched
-from barsignals.staging import staged, staging_path
+from barsignals.staging import staged, staging_path, unstaged
 
 DECIMALS = 6
 LOOSE_DECIMALS = 4
@@ -304,13 +304,20 @@ def q_enriched_bucketed(spark, sf):
 
 
 def q_enriched_resumed(spark, sf):
-    """Daily bars up to a day, then two later deliveries, each from the state that the run before it left."""
-    bars = stored(B.lineitem_bars(spark, sf, "day"))
-    history = staged(enrich(bars.filter(F.col("bar_date") < RESUME_AT[0]), positions=True), "history")
+    """Daily bars up to a day, then two later deliveries, each from the state that the run before it left.
+
+    Bars are stored as each delivery comes, and go when its results are; a state goes when the next one is stored.
+    """
+    bars = stored(B.lineitem_bars(spark, sf, "day", end=RESUME_AT[0]))
+    history = staged(enrich(bars, positions=True), "history")
+    unstaged(bars)
     state = staged(series_state(history), "state")
     for start, end in zip(RESUME_AT, [*RESUME_AT[1:], None]):
-        out = staged(resume(state, in_range(bars, start, end)), "resumed")
-        state = staged(series_state(advance(state, out)), "state")
+        bars = stored(B.lineitem_bars(spark, sf, "day", start, end))
+        out = staged(resume(state, bars), "resumed")
+        unstaged(bars)
+        before, state = state, staged(series_state(advance(state, out)), "state")
+        unstaged(before)
         history = advance(history, out)
     return rounded(history.drop("sma_position", "ema_position", "stoch_position"))
 
